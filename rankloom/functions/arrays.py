@@ -26,13 +26,3 @@ def dot(left: Column, right: Column) -> Column:
     products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
-
-def blend(first: Column, second: Column, weight: float) -> Column:
-    """``weight`` of the first plus the rest of the second vector; sizes must agree."""
-    summed = F.zip_with(
-        first, second,
-        lambda a, b: F.lit(weight) * a.cast("double") + F.lit(1.0 - weight) * b.cast("double"),
-    )
-    return F.when(F.size(first) == F.size(second), summed).otherwise(
-        F.raise_error(F.lit("embedding sizes differ")).cast("array<double>")
-    )

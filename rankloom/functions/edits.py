@@ -15,7 +15,11 @@ def allowed_edits(term: Column) -> Column:
 
 
 def _letters(term: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.char_length(term)), lambda i: F.substring(term, i, 1))
+    return F.split(term, "")
+
+
+def _sorted_letters(term: Column) -> Column:
+    return F.array_join(F.sort_array(_letters(term)), "")
 
 
 def _full_distance(left: Column, right: Column) -> Column:
@@ -59,33 +63,41 @@ def _full_distance(left: Column, right: Column) -> Column:
 def swap_distance(left: Column, right: Column) -> Column:
     """Edit distance in which swapping two neighbours is one edit.
 
-    Exact up to 2 for terms at plain distance 4 or less and never below the true value,
-    so ``swap_distance <= 2`` is decided exactly.  Only pairs at plain distance 2-4,
-    where a swap can help, run the full recurrence.
+    A swap costs two plain edits, so distance 2 or less needs a plain distance of at most
+    4; larger plain distances are returned as they are.  Only the pairs for which a swap
+    can pay off run the full recurrence.
     """
     plain = F.levenshtein(left, right)
-    may_gain = plain.between(2, 4) & (F.char_length(left) > 1) & (F.char_length(right) > 1)
-    return F.when(may_gain, _full_distance(left, right)).otherwise(plain)
+    same_length = F.char_length(left) == F.char_length(right)
+    # swaps alone keep the letters; a swap with one more edit changes one or two of them
+    only_swaps = same_length & plain.isin(2, 4) & (_sorted_letters(left) == _sorted_letters(right))
+    swap_and_edit = (plain == 3) & (F.levenshtein(_sorted_letters(left), _sorted_letters(right)) <= 2)
+    return F.when(only_swaps | swap_and_edit, _full_distance(left, right)).otherwise(plain)
+
+
+def deletions(term: Column, depth: int = 2) -> Column:
+    """``struct(sig, depth)`` for the term with none, one or two letters removed."""
+    n = F.char_length(term)
 
+    def without(i):
+        return F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, n))
 
-def deletions(term: Column, depth: int) -> Column:
-    """``struct(sig, depth)`` for the term with up to ``depth`` letters removed."""
-    def drop_one(word):
+    def without_both(i):
         return F.transform(
-            F.sequence(F.lit(1), F.char_length(word)),
-            lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))),
+            F.sequence(i + 1, n),
+            lambda j: F.concat(
+                F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, j - i - 1), F.substring(term, j + 1, n)
+            ),
         )
 
-    def drop_from_all(words):
-        return F.array_distinct(F.flatten(F.transform(words, drop_one)))
+    def labelled(words, removed):
+        return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("sig"), F.lit(removed).alias("depth")))
 
-    levels = [F.array(term)]
-    for _ in range(depth):
-        levels.append(drop_from_all(F.filter(levels[-1], lambda w: F.char_length(w) > 0)))
-    return F.flatten(F.array(*[
-        F.transform(words, lambda w, d=d: F.struct(w.alias("sig"), F.lit(d).alias("depth")))
-        for d, words in enumerate(levels)
-    ]))
+    levels = [F.array(term), F.transform(F.sequence(F.lit(1), n), without)]
+    if depth > 1:
+        pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), without_both))
+        levels.append(F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return F.flatten(F.array(*[labelled(words, removed) for removed, words in enumerate(levels)]))
 
 
 def piece_signatures(term: Column, as_query: bool) -> Column:

@@ -82,8 +82,7 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Dat
         totals = good.groupBy("query_id").agg(F.count("*").alias("total"))
         queries = queries.join(totals, "query_id", "left")
     else:
-        # a single total row serves every query
-        queries = queries.join(F.broadcast(good.agg(F.count("*").alias("total"))))
+        queries = queries.withColumn("total", good.agg(F.count("*").alias("total")).scalar())
     hits = F.coalesce("hits_at_k", F.lit(0))
     return queries.select(
         "query_id",

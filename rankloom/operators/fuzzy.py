@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.edits import (
     SHORT_TERM, allowed_edits, deletions, piece_signatures, swap_distance,
 )
-from .sizing import MAX_BROADCAST_ROWS, lookup_join
+from ..workspace import materialize
+from .sizing import MAX_BROADCAST_ROWS, in_parallel, lookup_join
 
 MAX_EXPANSIONS = 50
 
@@ -55,15 +56,16 @@ def fuzzy_match(
     ``max_expansions`` per query term and field (all of them when None).  Candidates come
     from equality on signatures, so no pair of unrelated terms is ever formed.
     """
+    query_terms = materialize(query_terms.select("field", "query_term").distinct(), "asked")
     wanted = query_terms.select("query_term").distinct().withColumn(
         "edits_allowed", allowed_edits(F.col("query_term"))
     )
-    words = vocabulary.select("term").distinct()
+    words = in_parallel(vocabulary.select("term"), "term").distinct()
     loose = wanted.filter("edits_allowed > 0")
     edits = swap_distance(F.col("query_term"), F.col("term"))
+    candidates = _short_pairs(loose, words, max_rows).unionByName(_long_pairs(loose, words, max_rows))
     close = (
-        _short_pairs(loose, words, max_rows)
-        .unionByName(_long_pairs(loose, words, max_rows))
+        in_parallel(candidates, "query_term", "term")
         .distinct()
         .withColumn("edits", edits)
         .filter(F.col("edits") <= F.col("edits_allowed"))

@@ -85,7 +85,7 @@ def query_clauses(analyzed: DataFrame, fields=("title", "content")) -> DataFrame
     needed = F.greatest(F.lit(1), F.floor(F.lit(MIN_SHOULD_MATCH) * F.col("n_positions")))
     return clauses.join(lengths, "query_id").select(
         "query_id",
-        F.array_join("terms", " ").alias("clause"),
+        F.concat(F.when(F.col("expanded"), "~").otherwise("="), F.array_join("terms", " ")).alias("clause"),
         F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"),
         "terms", "expanded", "times", needed.cast("long").alias("needed"),
     )

@@ -34,6 +34,27 @@ def fits(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX
     return rows <= max_rows and size <= max_bytes
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a table read from very few files one partition per core.
+
+    Meant for a plain scan.  Once the scan has at least as many splits as there are cores,
+    which any large table has, the table is returned as it is and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+def in_parallel(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows that are small but costly to process over all cores.
+
+    Adaptive execution sizes partitions by bytes and would put such rows in few tasks.  A
+    following aggregate or join on the same keys reuses the partitioning.
+    """
+    spark = df.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *keys)
+
+
 def hot_keys(df: DataFrame, keys: list, target_rows: int) -> DataFrame:
     """Keys with more than ``target_rows`` rows and the number of splits each needs.
 

@@ -8,8 +8,8 @@ of bounded blocks instead.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.arrays import blend, l2_normalize
-from ..functions.text import bind, term_counts, tokens
+from ..functions.arrays import l2_normalize
+from ..functions.text import tokens
 from ..schema import EMBEDDING_DIM
 from .lexical import topk_per_query
 from .sizing import fits
@@ -23,49 +23,61 @@ FILTERS = {"filter_language": "language", "filter_source": "source", "filter_fil
 # embedding
 
 
-def hashed_features(text: Column, dim: int = EMBEDDING_DIM) -> Column:
-    """Sparse signed counts: ``struct(bucket, value)`` for each distinct token."""
-    def feature(entry):
-        return bind(
-            F.md5(entry["term"]),
-            lambda digest: F.struct(
-                (F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") % dim).cast("int").alias("bucket"),
-                (F.when(F.substring(digest, 9, 1) < "8", 1).otherwise(-1) * entry["tf"]).cast("double").alias("value"),
-            ),
-        )
-
-    return F.transform(term_counts(tokens(text)), feature)
-
-
-def _densify(dim: int):
+def _hash_vectors(dim: int):
     @F.arrow_udf("array<float>")
-    def dense(buckets, values):
+    def vectors(tokens):
+        import hashlib
+
         import numpy as np
         import pyarrow as pa
 
-        sizes = np.diff(buckets.offsets.to_numpy())
-        rows = np.repeat(np.arange(len(buckets)), sizes)
-        matrix = np.zeros((len(buckets), dim))
-        np.add.at(matrix, (rows, buckets.flatten().to_numpy()), values.flatten().to_numpy())
+        coded = tokens.flatten().dictionary_encode()
+        digests = [hashlib.md5(t.encode()).hexdigest() for t in coded.dictionary.to_pylist()]
+        bucket = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+        sign = np.array([1.0 if d[8] < "8" else -1.0 for d in digests])
+        codes = coded.indices.to_numpy()
+        rows = np.repeat(np.arange(len(tokens)), np.diff(tokens.offsets.to_numpy()))
+        matrix = np.zeros((len(tokens), dim))
+        np.add.at(matrix, (rows, bucket[codes]), sign[codes])
         length = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
         matrix = np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-        offsets = pa.array(np.arange(0, len(buckets) * dim + 1, dim), type=pa.int32())
+        offsets = pa.array(np.arange(0, len(tokens) * dim + 1, dim), type=pa.int32())
         return pa.ListArray.from_arrays(offsets, pa.array(matrix.astype("float32").ravel()))
 
-    return dense
+    return vectors
 
 
 def hashing_embedder(dim: int = EMBEDDING_DIM):
-    """Default embedder: hashed token counts scaled to length one.
+    """Default embedder: signed hashed token counts scaled to length one.
 
-    An embedder is a function from a text column to an ``ARRAY<FLOAT>`` column of unit
-    vectors; pass a model-backed one to the functions below to replace it.
+    The bucket of a token is its MD5 prefix modulo ``dim`` and the next hex digit gives
+    the sign.  An embedder is a function from a text column to an ``ARRAY<FLOAT>`` column
+    of unit vectors; pass a model-backed one to the functions below to replace it.
     """
-    def embed(text: Column) -> Column:
-        features = hashed_features(F.coalesce(text, F.lit("")), dim)
-        return _densify(dim)(F.transform(features, lambda f: f["bucket"]), F.transform(features, lambda f: f["value"]))
+    return lambda text: _hash_vectors(dim)(tokens(text))
+
+
+def _blend_vectors(weight: float):
+    @F.arrow_udf("array<float>")
+    def blended(first, second):
+        import numpy as np
+        import pyarrow as pa
+
+        def matrix(column):
+            return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+        if len(first) == 0:
+            return pa.array([], pa.list_(pa.float32()))
+        left, right = matrix(first), matrix(second)
+        if left.shape != right.shape:
+            raise ValueError("embedding sizes differ")
+        mixed = weight * left + (1.0 - weight) * right
+        length = np.sqrt((mixed * mixed).sum(axis=1, keepdims=True))
+        mixed = np.divide(mixed, length, out=np.zeros_like(mixed), where=length > 0)
+        offsets = pa.array(np.arange(0, mixed.size + 1, mixed.shape[1]), type=pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.array(mixed.astype("float32").ravel()))
 
-    return embed
+    return blended
 
 
 def model_embedder(load_model, batch_size: int = 32):
@@ -103,12 +115,8 @@ def embed_query(queries: DataFrame, embedder=None) -> DataFrame:
 def embed_docs(docs: DataFrame, weight_title: float = 0.4, embedder=None) -> DataFrame:
     """Add ``embedding``: the normalised blend of title and content vectors."""
     embedder = embedder or hashing_embedder()
-    parts = docs.withColumns({
-        "_title_vec": embedder(F.btrim(F.col("title"))),
-        "_content_vec": embedder(F.btrim(F.col("content"))),
-    })
-    mixed = l2_normalize(blend(F.col("_title_vec"), F.col("_content_vec"), weight_title))
-    return parts.withColumn("embedding", mixed.cast("array<float>")).drop("_title_vec", "_content_vec")
+    title, content = (embedder(F.btrim(F.col(c))) for c in ("title", "content"))
+    return docs.withColumn("embedding", _blend_vectors(weight_title)(title, content))
 
 
 def normalize_rows(df: DataFrame, column: str = "embedding") -> DataFrame:

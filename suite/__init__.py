@@ -1,5 +1,5 @@
 """Queries registered for checking, grouped like the operators."""
 
-from . import analysis, dataset, quality, sources
+from . import analysis, dataset, lexical, quality, sources, vectors
 
-MODULES = (sources, dataset, quality, analysis)
+MODULES = (sources, dataset, quality, analysis, lexical, vectors)

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rankloom.operators.sizing import spread
+
 AS_OF = "2024-07-01 00:00:00"
 
 
@@ -15,10 +17,10 @@ def as_of():
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` in corpus columns."""
+    """``documents`` in corpus columns, on all cores even when stored as one small file."""
     number = F.col("doc_id")
     created = F.expr("timestamp'2024-01-01 00:00:00' - make_dt_interval(cast(doc_id % 900 as int))")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         number.cast("string").alias("id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("content"),
