@@ -63,7 +63,9 @@ def fuzzy_match(
     words = in_parallel(vocabulary.select("term"), "term").distinct()
     loose = wanted.filter("edits_allowed > 0")
     edits = swap_distance(F.col("query_term"), F.col("term"))
-    candidates = _short_pairs(loose, words, max_rows).unionByName(_long_pairs(loose, words, max_rows))
+    candidates = _short_pairs(loose, words, max_rows)
+    if not loose.filter(F.char_length("query_term") > SHORT_TERM).isEmpty():
+        candidates = candidates.unionByName(_long_pairs(loose, words, max_rows))
     close = (
         in_parallel(candidates, "query_term", "term")
         .distinct()

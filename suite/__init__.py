@@ -1,5 +1,5 @@
 """Queries registered for checking, grouped like the operators."""
 
-from . import analysis, dataset, lexical, quality, sources, vectors
+from . import analysis, dataset, extras, lexical, quality, ranking, sources, vectors
 
-MODULES = (sources, dataset, quality, analysis, lexical, vectors)
+MODULES = (sources, dataset, quality, analysis, lexical, vectors, ranking, extras)

@@ -165,7 +165,7 @@ field_scores AS (
   SELECT query_id, id, field, sum(times * part) AS score, CAST(sum(times) AS BIGINT) AS matched,
          max(needed) AS needed
   FROM per_clause GROUP BY query_id, id, field)"""
-BEST = """matches AS (
+BEST = """matches AS MATERIALIZED (
   SELECT query_id, id, round(max(score * CASE field WHEN 'title' THEN 2.0 ELSE 1.0 END), 6) AS score
   FROM field_scores WHERE matched >= needed GROUP BY query_id, id)"""
 INDEX = (CORPUS, FIELD_TOKENS, FIELD_LEN, POSTINGS, FIELD_STATS, TERM_STATS)
@@ -193,7 +193,7 @@ def fuzzy_ctes(asked: str, vocabulary: str) -> tuple:
   SELECT DISTINCT translate(query_term, '{_ACCENTED}', '{_SPARE}') AS q, query_term,
          CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END AS allowed
   FROM {asked})""", f"""words AS (
-  SELECT DISTINCT translate(term, '{_ACCENTED}', '{_SPARE}') AS t, term FROM {vocabulary})""", """pairs_close AS (
+  SELECT DISTINCT translate(term, '{_ACCENTED}', '{_SPARE}') AS t, term FROM {vocabulary})""", """pairs_close AS MATERIALIZED (
   SELECT q, t, query_term, term, damerau_levenshtein(q, t) AS dl, levenshtein(q, t) AS lev
   FROM asked_terms JOIN words ON abs(length(q) - length(t)) <= allowed
   WHERE allowed > 0 AND damerau_levenshtein(q, t) <= allowed
@@ -209,7 +209,7 @@ def fuzzy_ctes(asked: str, vocabulary: str) -> tuple:
 
 FUZZY_TERMS = ("""asked AS (
   SELECT DISTINCT field, terms[1] AS query_term FROM clauses WHERE NOT expanded)""",
-  *fuzzy_ctes("asked", "term_stats"), """clause_terms AS (
+  *fuzzy_ctes("asked", "term_stats"), """clause_terms AS MATERIALIZED (
   SELECT query_id, clause, field, unnest(terms) AS term, CAST(1.0 AS DOUBLE) AS boost, expanded, times, needed
   FROM clauses WHERE expanded
   UNION ALL
