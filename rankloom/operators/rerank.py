@@ -1,5 +1,8 @@
 """Reranking of fused results with a pair scorer, popularity and freshness."""
 
+from typing import Iterator, Tuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
@@ -26,12 +29,10 @@ def term_share_scorer(query: Column, text: Column) -> Column:
 def model_scorer(load_model, batch_size: int = PAIR_BATCH):
     """Pair scorer around ``load_model() -> model`` whose ``predict(pairs, batch_size)`` gives scores.
 
-    The model is loaded once per Python worker; a failing batch scores 0.5 throughout.
+    The model is loaded once per task; a failing batch scores 0.5 throughout.
     """
     @F.pandas_udf("double")
-    def predict(batches: "Iterator[Tuple[pd.Series, pd.Series]]") -> "Iterator[pd.Series]":  # noqa: F821
-        import pandas as pd
-
+    def predict(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load_model()
         for queries, texts in batches:
             try:

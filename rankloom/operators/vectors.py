@@ -6,6 +6,9 @@ Queries travel to the corpus when they are measured small; larger query sets use
 of bounded blocks instead.
 """
 
+from typing import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import l2_normalize
@@ -83,13 +86,11 @@ def _blend_vectors(weight: float):
 def model_embedder(load_model, batch_size: int = 32):
     """Embedder around ``load_model() -> model`` whose ``encode(list, batch_size)`` gives rows.
 
-    The model is loaded once per Python worker, on first use.
+    The model is loaded once per task, on first use.
     """
     @F.pandas_udf("array<float>")
-    def encode(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import numpy as np
-        import pandas as pd
-
         model = load_model()
         for texts in batches:
             rows = np.asarray(model.encode(texts.fillna("").str.strip().tolist(), batch_size=batch_size), dtype=float)
