@@ -1,10 +1,12 @@
 """Edit distance with adjacent swaps and signatures that find close terms by equality."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .text import bind
 
-SHORT_TERM = 24
+# Term lengths up to which deletions, then halves, find close terms; beyond come pieces.
+SHORT_TERM = 9
+HALVED_TERM = 64
 PIECES = 5
 
 
@@ -18,7 +20,8 @@ def _letters(term: Column) -> Column:
     return F.split(term, "")
 
 
-def _sorted_letters(term: Column) -> Column:
+def sorted_letters(term: Column) -> Column:
+    """The letters of a term in order; neighbours swapped around give the same string."""
     return F.array_join(F.sort_array(_letters(term)), "")
 
 
@@ -60,51 +63,88 @@ def _full_distance(left: Column, right: Column) -> Column:
     return bind(_letters(left), lambda a: bind(_letters(right), lambda b: table(a, b)))
 
 
-def swap_distance(left: Column, right: Column) -> Column:
+def swap_distance(left: Column, right: Column, left_sorted: Column = None, right_sorted: Column = None) -> Column:
     """Edit distance in which swapping two neighbours is one edit.
 
     A swap costs two plain edits, so distance 2 or less needs a plain distance of at most
     4; larger plain distances are returned as they are.  Only the pairs for which a swap
-    can pay off run the full recurrence.
+    can pay off run the full recurrence.  Sorted letters may be passed in when they are
+    already known.
     """
-    plain = F.levenshtein(left, right)
+    left_sorted = sorted_letters(left) if left_sorted is None else left_sorted
+    right_sorted = sorted_letters(right) if right_sorted is None else right_sorted
     same_length = F.char_length(left) == F.char_length(right)
-    # swaps alone keep the letters; a swap with one more edit changes one or two of them
-    only_swaps = same_length & plain.isin(2, 4) & (_sorted_letters(left) == _sorted_letters(right))
-    swap_and_edit = (plain == 3) & (F.levenshtein(_sorted_letters(left), _sorted_letters(right)) <= 2)
-    return F.when(only_swaps | swap_and_edit, _full_distance(left, right)).otherwise(plain)
 
+    def resolve(plain):
+        # swaps alone keep the letters; a swap with one more edit changes one or two of them
+        only_swaps = plain.isin(2, 4) & same_length & (left_sorted == right_sorted)
+        swap_and_edit = (plain == 3) & (F.levenshtein(left_sorted, right_sorted) <= 2)
+        return F.when(only_swaps | swap_and_edit, _full_distance(left, right)).otherwise(plain)
 
-def deletions(term: Column, depth: int = 2) -> Column:
-    """``struct(sig, depth)`` for the term with none, one or two letters removed."""
-    n = F.char_length(term)
-
-    def without(i):
-        return F.concat(F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, n))
-
-    def without_both(i):
-        return F.transform(
-            F.sequence(i + 1, n),
-            lambda j: F.concat(
-                F.substring(term, F.lit(1), i - 1), F.substring(term, i + 1, j - i - 1), F.substring(term, j + 1, n)
-            ),
-        )
+    return bind(F.levenshtein(left, right), resolve)
 
-    def labelled(words, removed):
-        return F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("sig"), F.lit(removed).alias("depth")))
 
-    levels = [F.array(term), F.transform(F.sequence(F.lit(1), n), without)]
-    if depth > 1:
-        pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), without_both))
-        levels.append(F.when(n > 1, pairs).otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*[labelled(words, removed) for removed, words in enumerate(levels)]))
+def with_deletions(df: DataFrame, term: str) -> DataFrame:
+    """One row per way of removing none, one or two letters of ``term``.
 
-
-def piece_signatures(term: Column, as_query: bool) -> Column:
-    """Signatures of long terms: two edits touch at most four of five pieces.
-
-    A query lists its own five pieces.  A vocabulary term lists, for each query length
-    within two letters of its own, each piece at each possible shift.
+    Adds ``sig``, what is left, and ``depth``, the number of letters removed.
+    """
+    n, i, j = F.char_length(term), F.col("_i"), F.col("_j")
+    word = F.col(term)
+    one = F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n))
+    two = F.concat(
+        F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, j - i - 1), F.substring(word, j + 1, n)
+    )
+    return (
+        df.withColumn("_i", F.explode(F.sequence(F.lit(0), n)))
+        .withColumn("_j", F.explode(F.sequence(i, F.when(i == 0, 0).otherwise(n))))
+        .withColumns({
+            "depth": F.when(i == 0, 0).when(i == j, 1).otherwise(2),
+            "sig": F.when(i == 0, word).when(i == j, one).otherwise(two),
+        })
+        .drop("_i", "_j")
+    )
+
+
+def _with_one_deletion(df: DataFrame, part: str) -> DataFrame:
+    """One row for ``part`` itself and for each single letter removed from it, as ``_rest``."""
+    word, i = F.col(part), F.col("_i")
+    one = F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word)))
+    return (
+        df.withColumn("_i", F.explode(F.sequence(F.lit(0), F.char_length(word))))
+        .withColumn("_rest", F.when(i == 0, word).otherwise(one))
+        .drop("_i", part)
+    )
+
+
+def with_halves(df: DataFrame, term: str, own: bool) -> DataFrame:
+    """Add ``sig`` rows from both halves of a term, each with up to one letter removed.
+
+    Two edits leave one half of a term with at most one edit, wherever the cut is; a swap
+    across the cut looks like one replaced letter from either side.  A vocabulary term
+    (``own``) lists its own halves.  A query term lists what could face them for every
+    length within two letters of its own, each part one letter shorter or longer as well.
+    """
+    n, length, side = F.char_length(term), F.col("_length"), F.col("_side")
+    word = F.col(term)
+    size = F.when(side == 0, F.floor(length / 2)).otherwise(length - F.floor(length / 2)).cast("int")
+    lengths = F.array(n) if own else F.sequence(n - 2, n + 2)
+    size = size if own else size + F.col("_more")
+    rows = df.withColumn("_length", F.explode(lengths)).filter(length.between(SHORT_TERM + 1, HALVED_TERM))
+    rows = rows.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(1))))
+    if not own:
+        rows = rows.withColumn("_more", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    part = F.when(side == 0, F.substring(word, F.lit(1), size)).otherwise(F.right(word, size))
+    rows = _with_one_deletion(rows.withColumn("_part", part), "_part")
+    sig = F.concat_ws("\u0001", length.cast("string"), side.cast("string"), "_rest")
+    return rows.withColumn("sig", sig).drop("_length", "_side", "_more", "_rest")
+
+
+def piece_signatures(term: Column, own: bool) -> Column:
+    """Signatures of very long terms: two edits touch at most four of five pieces.
+
+    A vocabulary term (``own``) lists its five pieces.  A query term lists, for every
+    length within two letters of its own, each piece at each possible shift.
     """
     n = F.char_length(term)
 
@@ -117,7 +157,7 @@ def piece_signatures(term: Column, as_query: bool) -> Column:
         )
 
     numbers = F.sequence(F.lit(0), F.lit(PIECES - 1))
-    if as_query:
+    if own:
         return F.transform(numbers, lambda p: piece(n, p, F.lit(0)))
     near = F.sequence(F.lit(-2), F.lit(2))
     return F.array_distinct(F.flatten(F.transform(

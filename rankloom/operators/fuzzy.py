@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.edits import (
-    SHORT_TERM, allowed_edits, deletions, piece_signatures, swap_distance,
+    HALVED_TERM, SHORT_TERM, allowed_edits, piece_signatures, sorted_letters, swap_distance, with_deletions, with_halves,
 )
 from ..workspace import materialize
 from .sizing import MAX_BROADCAST_ROWS, in_parallel, lookup_join
@@ -11,38 +11,56 @@ from .sizing import MAX_BROADCAST_ROWS, in_parallel, lookup_join
 MAX_EXPANSIONS = 50
 
 
-def _short_pairs(wanted: DataFrame, vocabulary: DataFrame, max_rows: int) -> DataFrame:
-    """Candidates for terms of ordinary length: a common string after some deletions."""
+def _of_length(df: DataFrame, column: str, low: int, high: int = None) -> DataFrame:
+    size = F.char_length(column)
+    return df.filter(size >= low) if high is None else df.filter(size.between(low, high))
+
+
+def _short_pairs(wanted: DataFrame, words: DataFrame, max_rows: int) -> DataFrame:
+    """Vocabulary terms of up to nine letters: a common string after some deletions."""
     asked = (
-        wanted.filter(F.char_length("query_term") <= SHORT_TERM)
-        .select("query_term", "edits_allowed", F.explode(deletions(F.col("query_term"), 2)).alias("d"))
-        .filter(F.col("d.depth") <= F.col("edits_allowed"))
-        .select("query_term", "edits_allowed", F.col("d.sig").alias("sig"))
+        with_deletions(_of_length(wanted, "query_term", 3, SHORT_TERM + 2), "query_term")
+        .filter(F.col("depth") <= F.col("edits_allowed"))
+        .drop("depth")
         .distinct()
     )
     offered = (
-        vocabulary.filter(F.char_length("term").between(2, SHORT_TERM + 2))
-        .select("term", F.explode(deletions(F.col("term"), 2)).alias("d"))
-        .select("term", F.col("d.sig").alias("sig"), F.col("d.depth").alias("depth"))
+        with_deletions(_of_length(words, "term", 2, SHORT_TERM), "term")
         # two edits are only granted above five letters, which leave at least four
         .filter((F.col("depth") < 2) | (F.char_length("sig") > 3))
     )
     pairs = lookup_join(offered, asked, ["sig"], ["term"], max_rows=max_rows)
-    return pairs.filter(F.col("depth") <= F.col("edits_allowed")).select("query_term", "edits_allowed", "term")
+    return pairs.filter(F.col("depth") <= F.col("edits_allowed")).drop("sig", "depth")
 
 
-def _long_pairs(wanted: DataFrame, vocabulary: DataFrame, max_rows: int) -> DataFrame:
-    """Candidates for long terms: one of five pieces is untouched by two edits."""
-    asked = (
-        wanted.filter(F.char_length("query_term") > SHORT_TERM)
-        .select("query_term", "edits_allowed", F.explode(piece_signatures(F.col("query_term"), True)).alias("sig"))
+def _halved_pairs(wanted: DataFrame, words: DataFrame, max_rows: int) -> DataFrame:
+    """Vocabulary terms of medium length: one half with at most one edit."""
+    asked = with_halves(_of_length(wanted, "query_term", SHORT_TERM - 1, HALVED_TERM + 2), "query_term", own=False)
+    offered = with_halves(_of_length(words, "term", SHORT_TERM + 1, HALVED_TERM), "term", own=True)
+    return lookup_join(offered, asked.distinct(), ["sig"], ["term"], max_rows=max_rows).drop("sig")
+
+
+def _long_pairs(wanted: DataFrame, words: DataFrame, max_rows: int) -> DataFrame:
+    """Very long vocabulary terms: one of five pieces is untouched."""
+    asked = _of_length(wanted, "query_term", HALVED_TERM - 1).withColumn(
+        "sig", F.explode(piece_signatures(F.col("query_term"), own=False))
     )
-    offered = (
-        vocabulary.filter(F.char_length("term") >= SHORT_TERM - 1)
-        .select("term", F.explode(piece_signatures(F.col("term"), False)).alias("sig"))
+    offered = _of_length(words, "term", HALVED_TERM + 1).withColumn(
+        "sig", F.explode(piece_signatures(F.col("term"), own=True))
+    )
+    return lookup_join(offered, asked, ["sig"], ["term"], max_rows=max_rows).drop("sig")
+
+
+def _verified(candidates: DataFrame) -> DataFrame:
+    """Candidates within the allowed edits, checked where the join finds them."""
+    edits = swap_distance(*[F.col(c) for c in ("query_term", "term", "query_letters", "letters")])
+    return (
+        # exploding a one-element array keeps the optimizer from computing the distance twice
+        candidates.select("query_term", "term", "edits_allowed", F.explode(F.array(edits)).alias("edits"))
+        .filter(F.col("edits") <= F.col("edits_allowed"))
+        .select("query_term", "term", "edits")
+        .distinct()
     )
-    pairs = lookup_join(offered, asked, ["sig"], ["term"], max_rows=max_rows)
-    return pairs.select("query_term", "edits_allowed", "term")
 
 
 def fuzzy_match(
@@ -57,22 +75,19 @@ def fuzzy_match(
     from equality on signatures, so no pair of unrelated terms is ever formed.
     """
     query_terms = materialize(query_terms.select("field", "query_term").distinct(), "asked")
-    wanted = query_terms.select("query_term").distinct().withColumn(
-        "edits_allowed", allowed_edits(F.col("query_term"))
+    wanted = query_terms.select("query_term").distinct().withColumns({
+        "edits_allowed": allowed_edits(F.col("query_term")), "query_letters": sorted_letters(F.col("query_term")),
+    })
+    words = in_parallel(vocabulary.select("term"), "term").distinct().withColumn(
+        "letters", sorted_letters(F.col("term"))
     )
-    words = in_parallel(vocabulary.select("term"), "term").distinct()
     loose = wanted.filter("edits_allowed > 0")
-    edits = swap_distance(F.col("query_term"), F.col("term"))
-    candidates = _short_pairs(loose, words, max_rows)
-    if not loose.filter(F.char_length("query_term") > SHORT_TERM).isEmpty():
-        candidates = candidates.unionByName(_long_pairs(loose, words, max_rows))
-    close = (
-        in_parallel(candidates, "query_term", "term")
-        .distinct()
-        .withColumn("edits", edits)
-        .filter(F.col("edits") <= F.col("edits_allowed"))
-        .select("query_term", "term", "edits")
-    )
+    longest = loose.agg(F.max(F.char_length("query_term"))).first()[0] or 0
+    close = _verified(_short_pairs(loose, words, max_rows))
+    if longest >= SHORT_TERM - 1:
+        close = close.unionByName(_verified(_halved_pairs(loose, words, max_rows)))
+    if longest >= HALVED_TERM - 1:
+        close = close.unionByName(_verified(_long_pairs(loose, words, max_rows)))
     same = wanted.filter("edits_allowed = 0").select(
         "query_term", F.col("query_term").alias("term"), F.lit(0).alias("edits")
     )

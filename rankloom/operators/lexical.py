@@ -71,23 +71,26 @@ def read_index(spark, path: str) -> TextIndex:
 # query side
 
 
-def query_clauses(analyzed: DataFrame, fields=("title", "content")) -> DataFrame:
+def query_clauses(analyzed: DataFrame, fields=TEXT_FIELDS) -> DataFrame:
     """Clauses of each query: the terms that share a position.
 
     Positions with the same terms become one clause that counts ``times``.  ``needed`` is
-    the number of positions a field has to match.
+    the number of positions a field has to match and ``clause`` numbers the clauses of a
+    query from 1.
     """
     positions = analyzed.groupBy("query_id", "position").agg(
         F.array_sort(F.collect_set("term")).alias("terms"), F.max("expanded").alias("expanded")
     )
     clauses = positions.groupBy("query_id", "terms", "expanded").agg(F.count("*").alias("times"))
-    lengths = positions.groupBy("query_id").agg(F.count("*").alias("n_positions"))
-    needed = F.greatest(F.lit(1), F.floor(F.lit(MIN_SHOULD_MATCH) * F.col("n_positions")))
-    return clauses.join(lengths, "query_id").select(
-        "query_id",
-        F.concat(F.when(F.col("expanded"), "~").otherwise("="), F.array_join("terms", " ")).alias("clause"),
-        F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"),
-        "terms", "expanded", "times", needed.cast("long").alias("needed"),
+    per_query = Window.partitionBy("query_id")
+    needed = F.floor(F.lit(MIN_SHOULD_MATCH) * F.sum("times").over(per_query))
+    numbered = clauses.withColumns({
+        "clause": F.row_number().over(per_query.orderBy("terms", "expanded")),
+        "needed": F.greatest(F.lit(1), needed).cast("long"),
+    })
+    return numbered.select(
+        "query_id", "clause", F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"),
+        "terms", "expanded", "times", "needed",
     )
 
 
@@ -95,7 +98,7 @@ def keyword_clauses(queries: DataFrame) -> DataFrame:
     """The whole query string as the only term of the keyword field."""
     text = F.btrim(F.col("query"))
     return queries.filter(text != "").select(
-        "query_id", text.alias("clause"), F.lit("tags").alias("field"), F.array(text).alias("terms"),
+        "query_id", F.lit(1).alias("clause"), F.lit("tags").alias("field"), F.array(text).alias("terms"),
         F.lit(False).alias("expanded"), F.lit(1).cast("long").alias("times"), F.lit(1).cast("long").alias("needed"),
     )
 
@@ -123,19 +126,20 @@ def fuzzy_clause_terms(
 
 
 def weigh_terms(terms: DataFrame, index: TextIndex) -> DataFrame:
-    """Attach idf and average length; a clause uses the highest df of its terms."""
+    """Attach idf and average length; a clause uses the highest df of its terms.
+
+    ``lone`` marks the clauses that have a single term in the index.
+    """
     per_clause = Window.partitionBy("query_id", "clause", "field")
     fields = F.broadcast(index.field_stats)  # one row per field
-    used = terms.select("field", "term").distinct()
-    # the vocabulary is the large side; distinct query terms are broadcast only when measured small
-    found = lookup_join(index.term_stats, used, ["field", "term"], ["field", "term"])
+    # the vocabulary may be large, the query terms are brought to it when measured small
+    found = lookup_join(index.term_stats, terms, ["field", "term"], ["field", "term"])
     return (
-        terms.join(found, ["field", "term"])
-        .withColumn("df", F.max("df").over(per_clause))
+        found.withColumns({"df": F.max("df").over(per_clause), "lone": F.count("*").over(per_clause) == 1})
         .join(fields, "field")
         .select(
-            "query_id", "clause", "field", "term", "boost", "expanded", "times", "needed",
-            scores.idf(F.col("n_docs"), F.col("df")).alias("idf"), "avgdl",
+            "query_id", "clause", "field", "term", "boost", "expanded", "lone", "times", "needed",
+            (F.col("times") * scores.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl",
         )
     )
 
@@ -179,21 +183,23 @@ def field_scores(index: TextIndex, weighted: DataFrame, max_rows: int = MAX_BROA
     """BM25 per query, document and field with the number of matched positions.
 
     Terms of a synonym clause count as one term: their frequencies add up.  Close terms of
-    a fuzzy clause score one by one, each with its boost.
+    a fuzzy clause score one by one, each with its boost.  Clauses with a single term need
+    no grouping of their own and share the group 0 of their document.
     """
     ratio = F.col("dl") / F.col("avgdl")
-    pairs = _matches(index, weighted, max_rows)
+    pairs = _matches(index, weighted, max_rows).select(
+        "query_id", "id", "field", F.when(F.col("lone"), 0).otherwise(F.col("clause")).alias("clause"),
+        "lone", "expanded", "times", "needed", "tf", "weight", ratio.alias("ratio"),
+        (F.col("weight") * F.col("boost") * scores.tf_norm(F.col("tf"), ratio)).alias("part"),
+    )
+    together = F.max("weight") * scores.tf_norm(F.sum("tf"), F.max("ratio"))
     per_clause = pairs.groupBy("query_id", "id", "field", "clause").agg(
-        F.sum("tf").alias("tf"),
-        F.sum(F.col("boost") * scores.tf_norm(F.col("tf"), ratio)).alias("separate"),
-        F.first("dl").alias("dl"), F.first("avgdl").alias("avgdl"), F.first("idf").alias("idf"),
-        F.first("expanded").alias("expanded"), F.first("times").alias("times"), F.first("needed").alias("needed"),
+        F.when(F.max(F.col("expanded") & ~F.col("lone")), together).otherwise(F.sum("part")).alias("part"),
+        F.when(F.col("clause") == 0, F.sum("times")).otherwise(F.max("times")).alias("matched"),
+        F.max("needed").alias("needed"),
     )
-    part = F.when(F.col("expanded"), scores.tf_norm(F.col("tf"), ratio)).otherwise(F.col("separate"))
     return per_clause.groupBy("query_id", "id", "field").agg(
-        F.sum(F.col("times") * F.col("idf") * part).alias("score"),
-        F.sum("times").alias("matched"),
-        F.max("needed").alias("needed"),
+        F.sum("part").alias("score"), F.sum("matched").alias("matched"), F.max("needed").alias("needed")
     )
 
 

@@ -55,6 +55,7 @@ def fuzzy_match(spark, sf_dir):
         F.lit("content").alias("field"), F.col("token").alias("query_term")
     ).distinct()
     vocabulary = term_stats(postings(corpus(spark, sf_dir), ("content",))).select("field", "term")
+    vocabulary = materialize(vocabulary, "vocabulary")
     found = match_fuzzy(asked, vocabulary)
     return found.withColumns({"edits": F.col("edits").cast("long"), "boost": F.round("boost", 6)})
 

@@ -56,13 +56,19 @@ def expansions(query, vocabulary, limit):
 
 
 def test_fuzzy_match_against_brute_force(spark):
-    vocabulary = words(1, 900, 1, 8) + words(2, 60, 23, 30) + ["x" * 26, "x" * 25 + "y", "x" * 24 + "yz"]
-    asked = random.Random(5).sample(vocabulary, 60) + ["x" * 26, "a" * 25, "zzzzzz"]
-    rng = random.Random(6)
-    for term in [t for t in vocabulary if len(t) > 22][:30]:
+    vocabulary = sorted(set(
+        words(1, 900, 1, 8) + words(2, 700, 9, 12, "ab") + words(4, 60, 23, 30) + words(7, 40, 62, 68)
+        + ["x" * 64, "x" * 66, "x" * 25 + "y", "x" * 24 + "yz", "x" * 26]
+    ))
+    rng = random.Random(5)
+    asked = rng.sample([t for t in vocabulary if len(t) < 13], 70) + ["x" * 26, "x" * 65, "a" * 25, "zzzzzz"]
+    for term in rng.sample([t for t in vocabulary if len(t) > 8], 60):
         at = rng.randrange(len(term) - 1)
         asked.append(term[:at] + term[at + 1] + term[at] + term[at + 2:])
-        asked.append(term[:at] + term[at + 2:] + "q")
+        asked.append(term[:at] + term[at + 2:])
+        cut = len(term) // 2
+        swapped = term[:cut - 1] + term[cut] + term[cut - 1] + term[cut + 1:]
+        asked += [swapped[1:], swapped + "q", "q" + swapped]
     voc = spark.createDataFrame([("content", t) for t in vocabulary], "field string, term string")
     ask = spark.createDataFrame([("content", t) for t in sorted(set(asked))], "field string, query_term string")
     want = set().union(*[expansions(q, vocabulary, 50) for q in set(asked)])
