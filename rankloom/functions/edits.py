@@ -25,61 +25,76 @@ def sorted_letters(term: Column) -> Column:
     return F.array_join(F.sort_array(_letters(term)), "")
 
 
-def _full_distance(left: Column, right: Column) -> Column:
-    """Restricted Damerau-Levenshtein distance by dynamic programming over the left letters."""
-    def table(a, b):
-        width = F.size(b)
-        first = F.sequence(F.lit(0), width)
-
-        def next_row(state, i):
-            prev, prev2 = state["prev"], state["prev2"]
-
-            def cell(j):
-                cost = F.when(F.get(a, i - 1) == F.get(b, j - 1), 0).otherwise(1)
-                swapped = (
-                    (i > 1) & (j > 1)
-                    & (F.get(a, i - 1) == F.get(b, j - 2)) & (F.get(a, i - 2) == F.get(b, j - 1))
-                )
-                best = F.least(F.get(prev, j) + 1, F.get(prev, j - 1) + cost)
-                return F.least(best, F.when(swapped, F.get(prev2, j - 2) + 1).otherwise(best))
-
-            # taking the running minimum of (cell - column) accounts for insertions in b
-            raw = F.transform(first, lambda j: F.when(j == 0, i).otherwise(cell(j)))
-            row = bind(
-                raw,
-                lambda cells: F.transform(
-                    first,
-                    lambda j: j + F.array_min(
-                        F.transform(F.slice(cells, 1, j + 1), lambda c, m: c - m)
-                    ),
-                ),
-            )
-            return F.struct(row.alias("prev"), prev.alias("prev2"))
-
-        start = F.struct(first.alias("prev"), first.alias("prev2"))
-        last = F.aggregate(F.sequence(F.lit(1), F.size(a)), start, next_row)
-        return F.get(last["prev"], width)
-
-    return bind(_letters(left), lambda a: bind(_letters(right), lambda b: table(a, b)))
+def _some_swap(left: Column, right: Column, accepts) -> Column:
+    """Whether ``accepts(swapped, i)`` holds for some swap of letters i and i + 1 of ``left``."""
+    n = F.char_length(left)
+
+    def swapped(i):
+        return F.concat(
+            F.substring(left, F.lit(1), i - 1), F.substring(left, i + 1, F.lit(1)),
+            F.substring(left, i, F.lit(1)), F.substring(left, i + 2, n),
+        )
+
+    return F.exists(
+        F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))),
+        lambda i: (n > 1) & bind(swapped(i), lambda s: accepts(s, i)),
+    )
+
+
+def _swap_and_other_edit(left: Column, right: Column) -> Column:
+    """Whether one swap plus one edit elsewhere turns ``left`` into ``right`` (plain distance 3)."""
+    def accepts(swapped, i):
+        # a new letter between the two swapped ones would edit them a second time
+        inside = F.substring(right, i + 1, F.lit(1))
+        between = (
+            (F.char_length(right) > F.char_length(left))
+            & (F.concat(F.left(right, i), F.substring(right, i + 2, F.char_length(right))) == swapped)
+            & (inside != F.substring(left, i, F.lit(1))) & (inside != F.substring(left, i + 1, F.lit(1)))
+        )
+        return (F.levenshtein(swapped, right) == 1) & ~between
+
+    return _some_swap(left, right, accepts)
+
+
+def _two_swaps(left: Column, right: Column) -> Column:
+    """Whether two swaps of separate neighbours turn ``left`` into ``right``."""
+    def crossed(at):
+        return F.substring(left, at, F.lit(2)) == F.reverse(F.substring(right, at, F.lit(2)))
+
+    differing = F.filter(
+        F.sequence(F.lit(1), F.char_length(left)),
+        lambda k: F.substring(left, k, F.lit(1)) != F.substring(right, k, F.lit(1)),
+    )
+    return bind(
+        differing,
+        lambda at: F.coalesce(
+            (F.size(at) == 4) & crossed(F.get(at, F.lit(0))) & crossed(F.get(at, F.lit(2)))
+            & (F.get(at, F.lit(1)) == F.get(at, F.lit(0)) + 1) & (F.get(at, F.lit(3)) == F.get(at, F.lit(2)) + 1),
+            F.lit(False),
+        ),
+    )
 
 
 def swap_distance(left: Column, right: Column, left_sorted: Column = None, right_sorted: Column = None) -> Column:
     """Edit distance in which swapping two neighbours is one edit.
 
     A swap costs two plain edits, so distance 2 or less needs a plain distance of at most
-    4; larger plain distances are returned as they are.  Only the pairs for which a swap
-    can pay off run the full recurrence.  Sorted letters may be passed in when they are
+    4 and results above 2 are plain distances.  Plain 2 may be one swap, plain 3 a swap
+    with one edit, plain 3 or 4 two swaps.  Sorted letters may be passed in when they are
     already known.
     """
     left_sorted = sorted_letters(left) if left_sorted is None else left_sorted
     right_sorted = sorted_letters(right) if right_sorted is None else right_sorted
-    same_length = F.char_length(left) == F.char_length(right)
+    same_letters = (F.char_length(left) == F.char_length(right)) & (left_sorted == right_sorted)
 
     def resolve(plain):
-        # swaps alone keep the letters; a swap with one more edit changes one or two of them
-        only_swaps = plain.isin(2, 4) & same_length & (left_sorted == right_sorted)
-        swap_and_edit = (plain == 3) & (F.levenshtein(left_sorted, right_sorted) <= 2)
-        return F.when(only_swaps | swap_and_edit, _full_distance(left, right)).otherwise(plain)
+        one_swap = (plain == 2) & same_letters & _some_swap(left, right, lambda s, _: s == right)
+        # one edit besides a swap changes at most two of the sorted letters
+        with_edit = (
+            (plain == 3) & (F.levenshtein(left_sorted, right_sorted) <= 2) & _swap_and_other_edit(left, right)
+        )
+        two_swaps = plain.isin(3, 4) & same_letters & _two_swaps(left, right)
+        return F.when(one_swap, 1).when(with_edit | two_swaps, 2).otherwise(plain)
 
     return bind(F.levenshtein(left, right), resolve)
 

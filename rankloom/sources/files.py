@@ -18,10 +18,14 @@ def load_json(spark: SparkSession, path: str, layout: str = "lines") -> DataFram
         return spark.range(0).select(F.parse_json(F.lit("null")).alias("v"))
     reader = spark.read.option("singleVariantColumn", "v").option("multiLine", layout == "array")
     raw = reader.json(path).filter(F.col("v").isNotNull())
-    if layout == "array":
-        raw.createOrReplaceTempView("_raw_json")
-        raw = spark.sql("SELECT e.value AS v FROM _raw_json, LATERAL variant_explode(v) AS e")
-    return raw
+    return unnest_arrays(raw) if layout == "array" else raw
+
+
+def unnest_arrays(raw: DataFrame) -> DataFrame:
+    """One row per element of records that are JSON arrays."""
+    return raw.sparkSession.sql(
+        "SELECT e.value AS v FROM {raw}, LATERAL variant_explode(v) AS e", raw=raw
+    )
 
 
 def load_csv(spark: SparkSession, path: str, schema=FORUM_POSTS, sep: str = ";") -> DataFrame:

@@ -28,22 +28,18 @@ def json_load(spark, sf_dir):
 
 
 def json_load_array(spark, sf_dir):
-    """Files that each hold one JSON array of a language and source group's documents."""
+    """Lines that each hold a JSON array: the paragraphs of a document."""
     path = fresh_path(spark, "json-array")
-    docs = table(spark, sf_dir, "conversations")
-    (
-        docs.groupBy("conv_id")
-        .agg(F.to_json(F.sort_array(F.collect_list(F.struct("turn", "role", "text")))).alias("value"))
-        .select("value").write.text(path)
+    number = F.col("doc_id")
+    paragraphs = F.transform(
+        F.split("text", "\n"), lambda line, i: F.struct(number.alias("doc_id"), i.alias("at"), line.alias("line"))
     )
-    # one array per line here, so each line is parsed as a record and then unnested
-    raw = files.load_json(spark, path)
-    raw.createOrReplaceTempView("_arrays")
-    elements = spark.sql("SELECT e.value AS v FROM _arrays, LATERAL variant_explode(v) AS e")
+    table(spark, sf_dir, "documents").select(F.to_json(paragraphs).alias("value")).write.text(path)
+    elements = files.unnest_arrays(files.load_json(spark, path))
     return elements.select(
-        F.variant_get("v", "$.turn", "bigint").alias("turn"),
-        F.variant_get("v", "$.role", "string").alias("role"),
-        F.variant_get("v", "$.text", "string").alias("text"),
+        F.variant_get("v", "$.doc_id", "bigint").alias("doc_id"),
+        F.variant_get("v", "$.at", "bigint").alias("at"),
+        F.variant_get("v", "$.line", "string").alias("line"),
     )
 
 
@@ -159,7 +155,10 @@ _UPSERTED = with_ctes("""
 
 ORACLE = {
     "json_load": "SELECT doc_id, text, lang FROM documents",
-    "json_load_array": "SELECT turn, role, text FROM conversations",
+    "json_load_array": """
+        SELECT doc_id, i - 1 AS at, lines[i] AS line
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+             LATERAL (SELECT unnest(range(1, len(lines) + 1)) AS i)""",
     "csv_load": "SELECT * FROM part",
     "parquet_load": "SELECT * FROM conversations",
     "synonym_rules": r"""
