@@ -194,13 +194,16 @@ def fuzzy_ctes(asked: str, vocabulary: str) -> tuple:
   SELECT DISTINCT translate(query_term, '{_ACCENTED}', '{_SPARE}') AS q, query_term,
          CASE WHEN length(query_term) <= 2 THEN 0 WHEN length(query_term) <= 5 THEN 1 ELSE 2 END AS allowed
   FROM {asked})""", f"""words AS (
-  SELECT DISTINCT translate(term, '{_ACCENTED}', '{_SPARE}') AS t, term FROM {vocabulary})""", """pairs_close AS MATERIALIZED (
-  SELECT q, t, query_term, term, damerau_levenshtein(q, t) AS dl, levenshtein(q, t) AS lev
-  FROM asked_terms JOIN words ON abs(length(q) - length(t)) <= allowed
-  WHERE allowed > 0 AND damerau_levenshtein(q, t) <= allowed
+  SELECT DISTINCT translate(term, '{_ACCENTED}', '{_SPARE}') AS t, term FROM {vocabulary})""", """asked_lengths AS (
+  SELECT q, query_term, allowed, unnest(range(length(q) - allowed, length(q) + allowed + 1)) AS size
+  FROM asked_terms WHERE allowed > 0)""", """word_lengths AS (SELECT t, term, length(t) AS size FROM words)""", """pairs_close AS MATERIALIZED (
+  SELECT q, t, query_term, term, dl, levenshtein(q, t) AS lev
+  FROM (SELECT q, t, query_term, term, allowed, damerau_levenshtein(q, t) AS dl
+        FROM asked_lengths JOIN word_lengths USING (size))
+  WHERE dl <= allowed
   UNION ALL SELECT q, q, query_term, query_term, 0, 0 FROM asked_terms WHERE allowed = 0)""", f"""close_terms AS (
   SELECT query_term, term, CASE WHEN dl = 2 AND lev > 2 AND NOT {SWAP_OK} THEN 3 ELSE dl END AS edits
-  FROM pairs_close)""", f"""close AS (
+  FROM pairs_close)""", f"""close AS MATERIALIZED (
   SELECT field, query_term, term, edits, CAST(1.0 AS DOUBLE) - edits / least(length(query_term), length(term)) AS boost
   FROM {asked} JOIN close_terms USING (query_term)
        JOIN (SELECT DISTINCT field, term FROM {vocabulary}) v USING (field, term)
