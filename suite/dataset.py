@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.operators import dataset as ops
+from rankloom.operators.sizing import spread
 
 from .inputs import CORPUS, corpus, table, with_ctes
 
@@ -82,12 +83,12 @@ def conform_code_docs(spark, sf_dir):
 
 
 def html_text(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("content"))
+    pages = spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", F.col("html").alias("content"))
     return ops.clean_html(pages)
 
 
 def page_metadata(spark, sf_dir):
-    return ops.page_metadata(table(spark, sf_dir, "pages")).select("page_id", "url", "title", "language", "text")
+    return ops.page_metadata(spread(table(spark, sf_dir, "pages"), "page_id")).select("page_id", "url", "title", "language", "text")
 
 
 def page_links(spark, sf_dir):
