@@ -9,7 +9,7 @@ of bounded blocks instead.
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrays import l2_normalize
 from ..functions.text import tokens
