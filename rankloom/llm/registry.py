@@ -1,6 +1,10 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import simhash
+from . import quality, simhash, toxicity
 
-QUERIES = {"op5_simhash": simhash.op5_simhash}
+QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_quality": quality.op4_quality,
+    "op5_simhash": simhash.op5_simhash,
+}
 ORACLE = {}
