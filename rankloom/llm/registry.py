@@ -1,10 +1,13 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import quality, simhash, toxicity
+from . import decontamination, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
+    "op6_suffixes": suffixes.op6_suffixes,
+    "op8_decontamination": decontamination.op8_decontamination,
 }
-ORACLE = {}
+ORACLE = {"op2_mixing": mixing.ORACLE}
