@@ -1,13 +1,15 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import decontamination, mixing, quality, simhash, suffixes, toxicity
+from . import chat, decontamination, licenses, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
+    "op1_chat": chat.op1_chat,
     "op2_mixing": mixing.op2_mixing,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
     "op6_suffixes": suffixes.op6_suffixes,
+    "op10_licenses": licenses.op10_licenses,
     "op8_decontamination": decontamination.op8_decontamination,
 }
-ORACLE = {"op2_mixing": mixing.ORACLE}
+ORACLE = {"op10_licenses": licenses.ORACLE, "op1_chat": chat.ORACLE, "op2_mixing": mixing.ORACLE}
