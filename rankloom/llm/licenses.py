@@ -103,15 +103,15 @@ def op10_licenses(spark, sf_dir):
     return scan(table(spark, sf_dir, "documents"))
 
 
-def _sql_bigrams(text: str) -> str:
-    w = f"string_split(trim(regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
-    return f"list_distinct([{w}[i] || ' ' || {w}[i + 1] for i in range(1, len({w}))])"
+def _sql_words(text: str) -> str:
+    return f"string_split(trim(regexp_replace(translate({text}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 
 _VALUES = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
 ORACLE = f"""
 WITH templates AS (
-  SELECT template, license, {_sql_bigrams('t')} AS own FROM (VALUES {_VALUES}) v(template, license, t)
+  SELECT template, license, list_distinct(list_zip(w, w[2:], true)) AS own
+  FROM (SELECT template, license, {_sql_words('t')} AS w FROM (VALUES {_VALUES}) v(template, license, t))
 ), parts AS (
   SELECT doc_id, 'line' AS unit, unnest(range(len(string_split(text, chr(10))))) AS place,
          unnest(string_split(text, chr(10))) AS passage FROM documents
@@ -120,8 +120,10 @@ WITH templates AS (
     SELECT doc_id, 'paragraph' AS unit, unnest(range(len(string_split_regex(text, '\\n[ \\t]*\\n')))) AS place,
            unnest(string_split_regex(text, '\\n[ \\t]*\\n')) AS passage FROM documents WHERE contains(text, chr(10))
   ) WHERE contains(trim(passage, ' '), chr(10))
+), cut AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unit, place, passage, {_sql_words('passage')} AS w FROM parts
 ), sets AS (
-  SELECT DISTINCT doc_id, unit, place, passage, {_sql_bigrams('passage')} AS own FROM parts
+  SELECT doc_id, unit, place, passage, list_distinct(list_zip(w, w[2:], true)) AS own FROM cut
 ), each AS (
   SELECT doc_id, unit, place, passage, len(own) AS a, unnest(own) AS bigram FROM sets
 ), entries AS (
