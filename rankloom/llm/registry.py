@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import chat, decontamination, licenses, mixing, quality, simhash, suffixes, toxicity
+from . import chat, decontamination, hnsw, licenses, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_simhash": simhash.op5_simhash,
     "op6_suffixes": suffixes.op6_suffixes,
+    "op9_hnsw": hnsw.op9_hnsw,
     "op10_licenses": licenses.op10_licenses,
     "op8_decontamination": decontamination.op8_decontamination,
 }
