@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import chat, decontamination, hnsw, licenses, mixing, quality, simhash, suffixes, toxicity
+from . import chat, decontamination, hnsw, licenses, lm, mixing, quality, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_suffixes": suffixes.op6_suffixes,
     "op9_hnsw": hnsw.op9_hnsw,
     "op10_licenses": licenses.op10_licenses,
+    "op7_lm": lm.op7_lm,
     "op8_decontamination": decontamination.op8_decontamination,
 }
 ORACLE = {"op10_licenses": licenses.ORACLE, "op1_chat": chat.ORACLE, "op2_mixing": mixing.ORACLE}
