@@ -99,6 +99,7 @@ def _forest(homes: np.ndarray, members: np.ndarray, max_bits: int):
     """Links between members that join what the homes reach, one fewer than the nodes at most."""
     root = np.arange(len(members))
     place = {int(v): i for i, v in enumerate(members)}
+    bits = members.view(np.uint64)  # counts of signed numbers would be those of their absolute values
 
     def find(i):
         while root[i] != i:
@@ -107,7 +108,7 @@ def _forest(homes: np.ndarray, members: np.ndarray, max_bits: int):
         return i
 
     for value in homes:
-        near = np.flatnonzero(np.bitwise_count(members ^ value) <= max_bits)
+        near = np.flatnonzero(np.bitwise_count(bits ^ value.view(np.uint64)) <= max_bits)
         top = find(place[int(value)])
         for i in near:
             other = find(i)
