@@ -4,8 +4,13 @@ Passages are the lines of a text and its paragraphs of several lines.  Both side
 lower-case ASCII words.  Two sets of a and b bigrams reach the coefficient t only if a lies between
 b * t / (2 - t) and b * (2 - t) / t, which rules out most templates by size alone; the others meet
 through shared bigrams, so no passage is compared with a template it has nothing in common with.
+They must also share b * t / (2 - t) bigrams at least, so of any set of one more bigrams than may be
+missing one must be there: a document without a single word of those sets is not cut up at all.
 """
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .shared import table, spread
@@ -33,6 +38,8 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 )
+#: words that tell least; they are chosen last
+_COMMON = {"a", "and", "any", "by", "for", "in", "is", "of", "or", "that", "the", "this", "to", "under", "with"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,6 +61,21 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(rows).alias("t")).select("t.license", "t.text")
 
 
+def _telling(word: str) -> tuple:
+    return word not in _COMMON, len(word)
+
+
+def telling_words(templates: list, threshold: float) -> list:
+    """Words of which every text that reaches ``threshold`` with one of the templates' bigram lists holds one at least."""
+    found: set = set()
+    for own in templates:
+        missing = len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9)
+        longest = sorted((max(pair.split(" "), key=_telling) for pair in own), key=_telling, reverse=True)
+        found.update(longest[: missing + 1])
+    # a word that contains another one of the set is covered by it
+    return sorted(w for w in found if not any(o != w and o in w for o in found))
+
+
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, unit, place, passage): lines, and paragraphs of more than one line, by their number."""
     rows = spread(docs.select("doc_id", "text").filter("text IS NOT NULL"), "doc_id")
@@ -76,9 +98,12 @@ def scan(docs: DataFrame, templates: DataFrame = None, threshold: float = THRESH
     known = templates.select("license", F.monotonically_increasing_id().alias("template"), bigrams(words(F.col("text"))).alias("own"))
     known = known.withColumn("b", F.size("own")).filter("b > 0")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    span = known.agg(F.min("b"), F.max("b")).first()
-    if span[0] is None:
-        span = (1, 0)
+    lists = [row["own"] for row in known.select("own").collect()]
+    span = (min(map(len, lists)), max(map(len, lists))) if lists else (1, 0)
+    telling = telling_words(lists, threshold)
+    # one lower-case text for all tests
+    held = F.exists(F.array(F.lower("text")), lambda t: reduce(lambda a, w: a | F.contains(t, F.lit(w)), telling, F.lit(False)))
+    docs = docs.select("doc_id", "text").filter(held)
     entries = known.select("license", "template", "b", F.explode("own").alias("bigram"))
     found = passages(docs).withColumn("w", words(F.col("passage")))
     # size bounds first: a passage too short or too long for every template is not cut into bigrams
