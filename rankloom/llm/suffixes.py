@@ -28,12 +28,12 @@ from .shared import fits, slices, spread, table
 DEPTH = 50
 GRAM, LONG_GRAM = 12, 32
 DIGITS = (26, 12, 12)
-UNIT = 4 << 20
-GROUP_BYTES = 4 << 20
+UNIT = 2 << 20
+GROUP_BYTES = 8 << 20
 MAX_RUN = 512
 SAMPLE_EVERY = 64
 HOT_SHARE = 1e-5
-_SORT_BYTES = 2 << 20
+_SORT_BYTES = 1 << 20
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
 
@@ -88,16 +88,36 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - (width - size)], values[width - size:]) if width > size else values
 
 
-def _keys(spans: Spans, depth: int, hot: np.ndarray) -> np.ndarray:
-    """The group of the window at each position."""
+def _keys(spans: Spans, depth: int, hot: np.ndarray):
+    """The group key of the window at each position, and whether it is that of a long gram."""
     gram = min(GRAM, depth)
     keys = _least(spans.every(gram), depth - gram + 1)
+    long = np.zeros(len(keys), bool)
     if len(hot):
-        at = np.flatnonzero(hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys)
-        if len(at):
+        long = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
+        if long.any():
             gram = min(LONG_GRAM, depth)
-            keys[at] = _least(spans.every(gram), depth - gram + 1)[at]
-    return keys
+            keys[long] = _least(spans.every(gram), depth - gram + 1)[long]
+    return keys, long
+
+
+def _gram_places(spans: Spans, begin: np.ndarray, keys: np.ndarray, long: np.ndarray, depth: int) -> np.ndarray:
+    """Where in its first window each run has the gram of its key; long grams are marked by the top bit."""
+    out = np.zeros(len(begin), np.uint16)
+    for flag, gram in ((False, min(GRAM, depth)), (True, min(LONG_GRAM, depth))):
+        own = np.flatnonzero(long == flag)
+        grams = spans.every(gram) if len(own) else None
+        for start in range(0, len(own), 16384):
+            part = own[start:start + 16384]
+            same = grams[begin[part][:, None] + np.arange(depth - gram + 1)] == keys[part][:, None]
+            out[part] = same.argmax(axis=1) | (0x8000 if flag else 0)
+    return out
+
+
+def _keys_at(spans: Spans, start: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of runs from the places of their grams."""
+    at = start + (places & 0x7FFF)
+    return spans.at(at, at + np.where(places & 0x8000, min(LONG_GRAM, depth), min(GRAM, depth)))
 
 
 class Unit:
@@ -114,9 +134,9 @@ class Unit:
         self.windows = np.maximum(sizes - depth + 1, 0)
 
     def runs(self, depth: int, hot: np.ndarray):
-        """(start, windows, piece, key, hash) of each run of windows with one key."""
-        spans = Spans(self.data)
-        keys = _keys(spans, depth, hot)
+        """(start, windows, piece, key, whether of a long gram, hash) of each run of windows with one key."""
+        self.spans = spans = Spans(self.data)
+        keys, long = _keys(spans, depth, hot)
         inside = np.zeros(len(keys) + 1, np.int8)
         full = self.windows > 0
         np.add.at(inside, self.starts[full], 1)
@@ -138,7 +158,7 @@ class Unit:
             size = np.minimum(np.repeat(size, parts) - step * MAX_RUN, MAX_RUN)
         piece = np.searchsorted(self.starts, begin, side="right") - 1
         # pieces without bytes share their start with the next one; the last of them holds the window
-        return begin, size, piece, keys[begin], spans.at(begin, begin + size + depth - 1)
+        return begin, size, piece, keys[begin], long[begin], spans.at(begin, begin + size + depth - 1)
 
 
 def _pieces(batches, depth: int):
@@ -159,9 +179,14 @@ def _pieces(batches, depth: int):
         yield held
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours: small numbers where the order is nearly ascending."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _pack(*arrays) -> bytes:
     head = np.array([x.nbytes for x in arrays], np.int64)
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=6).compress(
         np.int64(len(arrays)).tobytes() + head.tobytes() + b"".join(x.tobytes() for x in arrays)
     )
 
@@ -171,12 +196,12 @@ def _unpack(blob: bytes, *kinds) -> list:
     sizes = np.frombuffer(data, np.int64, len(kinds), 8)
     at, out = 8 + 8 * len(kinds), []
     for kind, size in zip(kinds, sizes):
-        out.append(np.frombuffer(data[at:at + size], kind))
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
         at += size
     return out
 
 
-_RUN_ARRAYS = (np.uint32, np.uint16, np.int64, np.uint32, np.int64, np.int64, np.uint8)
+_RUN_ARRAYS = (np.uint16, np.uint16, np.int64, np.uint32, np.int64, np.int64, np.uint8)
 _RANGE_ARRAYS = (np.int64, np.int64, np.int64, np.int64)
 
 
@@ -186,7 +211,7 @@ def _merge(ids, slots, starts, ends):
     ids, slots, starts, ends = ids[order], slots[order], starts[order], ends[order]
     fresh = np.ones(len(ids), bool)
     fresh[1:] = (ids[1:] != ids[:-1]) | (slots[1:] != slots[:-1])
-    # ranges here all have nearly the same length, so comparing neighbours finds what touches
+    # comparing neighbours unites nearly all that touches; _cut unites the rest
     fresh[1:] |= starts[1:] > ends[:-1]
     first = np.flatnonzero(fresh)
     return ids[first], slots[first], starts[first], np.maximum.reduceat(ends, first) if len(first) else ends
@@ -198,7 +223,7 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
     def deal(batches):
         for number, pieces in enumerate(_pieces(batches, depth)):
             unit = Unit(pieces, depth)
-            begin, size, piece, keys, hashes = unit.runs(depth, hot)
+            begin, size, piece, keys, long, hashes = unit.runs(depth, hot)
             if not len(begin):
                 continue
             ids = unit.ids[piece]
@@ -223,10 +248,11 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
             heads = order[head]
             many = np.bincount(string, minlength=len(heads))
             group = (keys[heads] >> _U(32)) % _U(groups)
-            by_group = np.lexsort((keys[heads], group))
+            by_group = np.lexsort((begin[heads], group))  # the order of the text packs best
             offsets = np.concatenate([[0], np.cumsum(many)])
             edges = np.searchsorted(group[by_group], np.arange(groups + 1, dtype=_U))
             out_group, out_blob = [], []
+            places = _gram_places(unit.spans, begin[heads], keys[heads], long[heads], depth)
             data = unit.data
             for g in np.flatnonzero(edges[1:] > edges[:-1]):
                 own = by_group[edges[g]:edges[g + 1]]
@@ -238,8 +264,8 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
                 blob = b"".join([data[s:s + n + depth - 1] for s, n in zip(begin[runs].tolist(), size[runs].tolist())])
                 out_group.append(int(g))
                 out_blob.append(_pack(
-                    (keys[runs] & _U(0xFFFFFFFF)).astype(np.uint32), size[runs].astype(np.uint16), ids[runs],
-                    uses.astype(np.uint32), unit.slots[piece[use]], at, np.frombuffer(blob, np.uint8),
+                    places[own], size[runs].astype(np.uint16), _steps(ids[runs]),
+                    uses.astype(np.uint32), _steps(unit.slots[piece[use]]), _steps(at), np.frombuffer(blob, np.uint8),
                 ))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out_group, pa.int32()), pa.array([False] * len(out_group)), pa.array(out_blob, pa.binary())],
@@ -292,19 +318,24 @@ def _digits(depth: int) -> list:
 def _settle_group(blobs: list, depth: int):
     """(ids, slots, starts, ends) removed from the runs of one group."""
     parts = [_unpack(b, *_RUN_ARRAYS) for b in blobs]
-    keys, size, ids, uses, slots, at, data = (np.concatenate(x) for x in zip(*parts))
+    for part in parts:
+        part[2], part[4], part[5] = np.cumsum(part[2]), np.cumsum(part[4]), np.cumsum(part[5])
+    text = b"".join(part.pop() for part in parts)
+    places, size, ids, uses, slots, at = (np.concatenate(x) for x in zip(*parts))
+    del parts
     size, uses = size.astype(np.int64), uses.astype(np.int64)
     lengths = size + depth - 1
     starts = np.cumsum(lengths) - lengths
-    text = data.tobytes()
-    hashes = np.zeros(len(keys), _U)
+    hashes, keys = np.zeros(len(size), _U), np.zeros(len(size), _U)
     step = 0
-    while step < len(keys):  # hash the runs in stretches, to bound the running sums
+    while step < len(size):  # hash the runs in stretches, to bound the running sums
         end = int(np.searchsorted(starts, starts[step] + _SORT_BYTES, side="right"))
         own = starts[step:end] - starts[step]
-        hashes[step:end] = Spans(text[starts[step]:starts[end - 1] + lengths[end - 1]]).at(own, own + lengths[step:end])
+        spans = Spans(text[starts[step]:starts[end - 1] + lengths[end - 1]])
+        hashes[step:end] = spans.at(own, own + lengths[step:end])
+        keys[step:end] = _keys_at(spans, own, places[step:end], depth)
         step = end
-    same = hashes ^ ((keys.astype(_U) << _U(16)) + size.astype(_U))
+    same = hashes ^ (keys + size.astype(_U))
     order = np.lexsort((ids, same))
     fresh = np.ones(len(order), bool)
     fresh[1:] = same[order][1:] != same[order][:-1]
@@ -372,7 +403,8 @@ def _settle(depth: int):
     def settle(batches):
         current, blobs = None, []
         for batch in batches:
-            for group, settled, blob in zip(*(batch.column(n).to_pylist() for n in ("grp", "settled", "blob"))):
+            for group, settled, blob in zip(*(batch.column(n) for n in ("grp", "settled", "blob"))):
+                group, settled, blob = group.as_py(), settled.as_py(), blob.as_py()
                 if settled:
                     yield rows(*_unpack(blob, *_RANGE_ARRAYS))
                     continue
@@ -428,7 +460,7 @@ def frequent_keys(rows: DataFrame, depth: int) -> np.ndarray:
 
 
 def _squeeze(texts: pd.Series) -> pd.Series:
-    pack = zstandard.ZstdCompressor(level=3).compress
+    pack = zstandard.ZstdCompressor(level=6).compress
     return texts.map(lambda t: None if t is None else pack(t.encode()))
 
 
