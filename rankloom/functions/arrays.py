@@ -21,8 +21,3 @@ def l2_normalize(vector: Column) -> Column:
     )
 
 
-def dot(left: Column, right: Column) -> Column:
-    """Inner product of two arrays of equal size."""
-    products = F.zip_with(left, right, lambda a, b: a.cast("double") * b.cast("double"))
-    return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
-

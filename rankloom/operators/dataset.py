@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.html import html_text
+from ..functions.html import decode_entities, html_text
 from ..schema import CANONICAL_ORDER
 
 # The first substring found in a URL names its technology.
@@ -121,9 +121,15 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """One row per link target of each page, repeated links kept."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(r'(?i)<a\s[^>]*?href="([^"]+)"'), F.lit(1))
-    return pages.select("page_id", "url", F.explode(links).alias("link"))
+    """One row per link target of each page, repeated links kept.
+
+    Targets stand in double, single or no quotes; entities in them are decoded, empty ones left out.
+    """
+    pattern = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    links = F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(1))
+    found = pages.select("page_id", "url", F.explode(links).alias("link"))
+    bare = F.regexp_replace("link", r"""^["'](.*)["']$""", "$1")
+    return found.withColumn("link", decode_entities(bare)).filter(F.col("link") != "")
 
 
 def cast_id(df: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from ..functions.edits import (
 from ..workspace import materialize
 from .sizing import MAX_BROADCAST_ROWS, in_parallel, lookup_join
 
-MAX_EXPANSIONS = 50
-
 
 def _of_length(df: DataFrame, column: str, low: int, high: int = None) -> DataFrame:
     size = F.char_length(column)
@@ -65,14 +63,13 @@ def _verified(candidates: DataFrame) -> DataFrame:
 
 def fuzzy_match(
     query_terms: DataFrame, vocabulary: DataFrame,
-    max_expansions: int = MAX_EXPANSIONS, max_rows: int = MAX_BROADCAST_ROWS,
+    max_expansions: int = None, max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Vocabulary terms within the allowed edits of each query term, per field.
 
     ``query_terms`` has ``(field, query_term)`` and ``vocabulary`` ``(field, term)``.
-    The result holds ``field, query_term, term, edits, boost``, the best
-    ``max_expansions`` per query term and field (all of them when None).  Candidates come
-    from equality on signatures, so no pair of unrelated terms is ever formed.
+    The result holds ``field, query_term, term, edits, boost``: all terms, or with
+    ``max_expansions`` the best of each query term and field.  Candidates come from equality on signatures, so no pair of unrelated terms is ever formed.
     """
     query_terms = materialize(query_terms.select("field", "query_term").distinct(), "asked")
     wanted = query_terms.select("query_term").distinct().withColumns({

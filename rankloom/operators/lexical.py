@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scores
 from ..workspace import materialize
 from .analysis import LENGTH_MARK, TEXT_FIELDS, field_stats, postings, term_stats
-from .fuzzy import MAX_EXPANSIONS, fuzzy_match
+from .fuzzy import fuzzy_match
 from .sizing import MAX_BROADCAST_ROWS, fits, lookup_join, salted_join
 
 # Field boosts and the share of query positions that must match.
@@ -112,7 +112,7 @@ def clause_terms(clauses: DataFrame) -> DataFrame:
 
 
 def fuzzy_clause_terms(
-    clauses: DataFrame, vocabulary: DataFrame, max_expansions: int = MAX_EXPANSIONS,
+    clauses: DataFrame, vocabulary: DataFrame, max_expansions: int = None,
     max_rows: int = MAX_BROADCAST_ROWS,
 ) -> DataFrame:
     """Clause terms in which every unexpanded term is replaced by its close terms."""
@@ -246,13 +246,16 @@ def bm25(docs: DataFrame, analyzed: DataFrame, fields=("content",)) -> DataFrame
 
 def multi_match(
     queries: DataFrame, analyzed: DataFrame, docs: DataFrame = None, index: TextIndex = None,
-    fuzzy: bool = True, max_expansions: int = MAX_EXPANSIONS, fold_index: bool = False,
+    fuzzy: bool = True, max_expansions: int = None, fold_index: bool = False,
 ) -> DataFrame:
     """All documents matching each query over title, content and tags.
 
     Combines the 75 % rule, fuzzy terms and the best boosted field.  Give the corpus
-    ``docs`` for a one-off search or a stored ``index`` to skip the pass over the corpus.
+    ``docs`` for a one-off search or a stored ``index`` to skip the pass over the corpus; a
+    stored index keeps the folding it was written with.
     """
+    if index and fold_index:
+        raise ValueError("fold_index belongs to the writing of a stored index")
     clauses = materialize(query_clauses(analyzed).unionByName(keyword_clauses(queries)), "clauses")
     if fuzzy:
         vocabulary = index.term_stats if index else materialize(

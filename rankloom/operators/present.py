@@ -116,7 +116,7 @@ def empty_query(queries: DataFrame, hits: DataFrame) -> DataFrame:
     counts = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     blank = F.coalesce(F.btrim("query") == "", F.lit(True))
     n = F.when(blank, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long")
-    error = F.when(n == 0, F.lit("No results found or an error occurred."))
+    error = F.when(n == 0, F.lit("no hits"))
     return queries.select("query_id", "query").join(counts, "query_id", "left").select(
         "query_id", "query", n.alias("total_hits"), error.alias("error")
     )

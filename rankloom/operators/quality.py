@@ -17,6 +17,9 @@ def _node(key: str) -> Column:
     return F.try_variant_get(F.col("v"), f"$.{key}", "variant")
 
 
+MALFORMED = "malformed record"
+
+
 def _value(key: str, kind: str) -> Column:
     return F.try_variant_get(F.col("v"), f"$.{key}", kind)
 
@@ -27,8 +30,13 @@ def has_key(key: str) -> Column:
 
 
 def validate_docs(raw: DataFrame, required=REQUIRED_KEYS) -> DataFrame:
-    """Add ``missing_field``: the first required key that is absent, or null when complete."""
-    first_missing = F.coalesce(*[F.when(~has_key(key), F.lit(key)) for key in required])
+    """Add ``missing_field``: the first required key that is absent, or null when complete.
+
+    A record that could not be parsed counts as MALFORMED.
+    """
+    first_missing = F.coalesce(
+        F.when(F.col("v").isNull(), F.lit(MALFORMED)), *[F.when(~has_key(key), F.lit(key)) for key in required]
+    )
     return raw.withColumn("missing_field", first_missing)
 
 
@@ -61,12 +69,15 @@ def impute_modified(docs: DataFrame) -> DataFrame:
 
 
 def _text_date_state(docs: DataFrame) -> DataFrame:
-    given = (F.length(F.col("created_at")) > 0) & (F.length(F.col("modified_at")) > 0)
+    created = F.col("created_at")
+    unusable = (F.length(created) > 0) & F.try_to_timestamp(created).isNull()
+    given = (F.length(created) > 0) & (F.length(F.col("modified_at")) > 0)
     moment = F.try_to_timestamp(F.col("modified_at"))
     broken = given & (~F.col("modified_at").rlike(ZONED) | moment.isNull())
     return docs.withColumns({
         "_moment": F.when(given, moment),
-        "error": F.when(broken, F.lit("modified_at is not a zoned ISO-8601 timestamp")),
+        "error": F.when(unusable, F.lit("created_at is not a timestamp"))
+        .when(broken, F.lit("modified_at is not a zoned ISO-8601 timestamp")),
     })
 
 
@@ -135,7 +146,10 @@ def accepted(prepared: DataFrame) -> DataFrame:
 
 def quarantined(prepared: DataFrame) -> DataFrame:
     """Rejected documents with the reason."""
-    reason = F.coalesce(F.concat(F.lit("missing required field: "), F.col("missing_field")), F.col("error"))
+    missing = F.when(F.col("missing_field") == MALFORMED, F.lit(MALFORMED)).otherwise(
+        F.concat(F.lit("missing required field: "), F.col("missing_field"))
+    )
+    reason = F.coalesce(missing, F.col("error"))
     return prepared.filter(reason.isNotNull()).select("id", reason.alias("reason"))
 
 

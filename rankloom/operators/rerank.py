@@ -7,16 +7,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import tokens
 
-# Weights of the composite score and the pair text limit.
+# Weights of the composite score.
 WEIGHTS = {"cross_encoder": 0.6, "original": 0.25, "popularity": 0.10, "freshness": 0.05}
-MAX_PAIR_TEXT = 512
 PAIR_BATCH = 8
 
 
-def pair_text(title: Column, content: Column, limit: int = MAX_PAIR_TEXT) -> Column:
-    """What the pair scorer reads of a document: title and content up to ``limit`` characters."""
+def pair_text(title: Column, content: Column, limit: int = None) -> Column:
+    """What the pair scorer reads of a document: title and content, up to ``limit`` characters if given."""
     joined = F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(content, F.lit("")))
-    return F.left(joined, F.lit(limit))
+    return joined if limit is None else F.left(joined, F.lit(limit))
 
 
 def term_share_scorer(query: Column, text: Column) -> Column:
@@ -29,24 +28,20 @@ def term_share_scorer(query: Column, text: Column) -> Column:
 def model_scorer(load_model, batch_size: int = PAIR_BATCH):
     """Pair scorer around ``load_model() -> model`` whose ``predict(pairs, batch_size)`` gives scores.
 
-    The model is loaded once per task; a failing batch scores 0.5 throughout.
+    The model is loaded once per task; a failing batch fails the task, so scores never depend on batches.
     """
     @F.pandas_udf("double")
     def predict(batches: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = load_model()
         for queries, texts in batches:
-            try:
-                scores = model.predict(list(zip(queries, texts)), batch_size=batch_size)
-            except Exception:
-                scores = [0.5] * len(queries)
-            yield pd.Series(scores, dtype="float64")
+            yield pd.Series(model.predict(list(zip(queries, texts)), batch_size=batch_size), dtype="float64")
 
     return predict
 
 
-def pair_score(candidates: DataFrame, scorer=term_share_scorer) -> DataFrame:
+def pair_score(candidates: DataFrame, scorer=term_share_scorer, limit: int = None) -> DataFrame:
     """Add ``pair_score`` for rows with ``query``, ``title`` and ``content``."""
-    text = pair_text(F.col("title"), F.col("content"))
+    text = pair_text(F.col("title"), F.col("content"), limit)
     return candidates.withColumn("pair_score", scorer(F.col("query"), text))
 
 
@@ -133,14 +128,14 @@ def rerank_summary(reranked: DataFrame, original: DataFrame) -> DataFrame:
     )
 
 
-def explanation(reranked: DataFrame, shown: int = 5) -> DataFrame:
+def explanation(reranked: DataFrame, shown: int = 5, title_size: int = 50) -> DataFrame:
     """One readable line for each of the first results of a query."""
     gain = F.col("improvement")
     change = F.when(gain > 0, F.format_string("(+%d)", gain)).when(gain < 0, F.format_string("(%d)", gain)).otherwise("(=)")
     parts = F.col("score_breakdown")
     line = F.format_string(
         "%d. %s... %s original %.3f, final %.3f, relevance %.3f, popularity %.2f, freshness %.2f",
-        F.col("new_rank"), F.left("title", F.lit(50)), change, parts["original_es"], F.col("final_score"),
+        F.col("new_rank"), F.left("title", F.lit(title_size)), change, parts["original_es"], F.col("final_score"),
         parts["cross_encoder"], parts["popularity"], parts["freshness"],
     )
     return reranked.filter(F.col("new_rank") <= shown).select("query_id", "new_rank", line.alias("line"))

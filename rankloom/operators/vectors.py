@@ -304,7 +304,19 @@ def _scan_on_grid(docs: DataFrame, asked: DataFrame, scorer, schema: str, query_
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(run, schema)
 
 
+def _checked(df: DataFrame, column: str, size: int) -> DataFrame:
+    """Rows with a vector; one of another length than ``size`` fails the job with its length."""
+    found = F.size(column)
+    wrong = F.concat(F.lit(f"a vector of length {size} was expected, not "), found.cast("string"))
+    return df.filter(F.col(column).isNotNull()).withColumn(
+        column, F.when(found == size, F.col(column)).otherwise(F.raise_error(wrong))
+    )
+
+
 def _search(docs, asked, k, threshold, filters, planes, max_queries):
+    size = asked.agg(F.max(F.size("query_vector"))).first()[0]
+    if size is not None and size >= 0:
+        docs, asked = _checked(docs, "vector", size), _checked(asked, "query_vector", size)
     id_type = docs.schema["id"].dataType.simpleString()
     query_type = asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, score double"

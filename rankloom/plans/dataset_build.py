@@ -7,8 +7,9 @@ from ..operators.dataset import (
 )
 
 
-def build_dataset(posts: DataFrame, functions: DataFrame, loaded_at: Column, sample: int = 5000) -> DataFrame:
-    """A sample of code documentation stacked on all forum posts, in corpus order."""
+def build_dataset(posts: DataFrame, functions: DataFrame, loaded_at: Column, sample: int = None) -> DataFrame:
+    """Code documentation, or ``sample`` rows of it, stacked on all forum posts, in corpus order."""
     forum = canonical_order(cast_id(clean_html(conform_forum_posts(posts))))
-    code = canonical_order(sample_n(conform_code_docs(functions, loaded_at), "id", sample))
+    code = conform_code_docs(functions, loaded_at)
+    code = canonical_order(code if sample is None else sample_n(code, "id", sample))
     return union_sources(code, forum)

@@ -15,7 +15,8 @@ def load_and_index(
 ) -> tuple:
     """Load, validate, score, embed and upsert; returns statistics and quarantined rows.
 
-    The prepared batch is written once because statistics, quarantine and corpus read it.
+    The prepared batch is written once because statistics, quarantine and corpus read it. ``seq``
+    orders the records of this load only; against other loads the later one wins.
     """
     raw = load_json(spark, path, layout).withColumn("seq", F.monotonically_increasing_id())
     prepared = materialize(prepare_docs(raw, as_of, keep=("seq",)), "prepared")

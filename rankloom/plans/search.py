@@ -14,20 +14,25 @@ from ..operators.sizing import lookup_join
 from ..operators.vectors import embed_query, knn_exact, knn_filtered
 from ..workspace import materialize
 
-LIST_SIZE = 10
-
 
 def hybrid_lists(
-    docs: DataFrame, queries: DataFrame, synonyms: DataFrame, text_size: int = LIST_SIZE,
-    vector_size: int = LIST_SIZE, fuzzy: bool = True, filtered: bool = False,
+    docs: DataFrame, queries: DataFrame, synonyms: DataFrame, k: int = 10, text_size: int = None,
+    vector_size: int = None, fuzzy: bool = True, filtered: bool = False,
     as_of: Column = None, index: TextIndex = None, embedder=None,
 ) -> tuple:
-    """The text and the vector list of each query; ``docs`` must carry ``embedding``."""
+    """The text and the vector list of each query; ``docs`` must carry ``embedding``.
+
+    Both lists hold ``k`` rows unless they are given sizes of their own.
+    """
+    text_size, vector_size = text_size or k, vector_size or k
     asked = queries.filter(F.btrim("query") != "")
     analyzed = analyze_query(asked, synonyms)
     matches = multi_match(asked, analyzed, docs, index, fuzzy)
     vectors = embed_query(asked, embedder)
     if filtered:
+        if as_of is not None:  # an open range ends at as_of for both lists
+            open_end = F.when(F.col("date_from").isNotNull(), as_of)
+            asked = asked.withColumn("date_to", F.coalesce("date_to", open_end))
         condition = terms_condition() & date_condition(as_of)
         matches = filter_matches(matches, docs, asked, condition)
         near = knn_filtered(docs, vectors, asked, vector_size)
@@ -55,5 +60,13 @@ def rerank(
 
 
 def search(docs: DataFrame, queries: DataFrame, synonyms: DataFrame, k: int = 10, **options) -> DataFrame:
-    """Complete search: hybrid retrieval, fusion and reranking."""
-    return rerank(hybrid_search(docs, queries, synonyms, **options), docs, queries, k)
+    """Complete search: hybrid retrieval, fusion and reranking.
+
+    The lists are as long as the result. With ``k`` None each query has the size in its own
+    ``top_k``, and the lists that of the largest.
+    """
+    if k is not None:
+        return rerank(hybrid_search(docs, queries, synonyms, k=k, **options), docs, queries, k)
+    most = queries.agg(F.max("top_k")).first()[0] or 1
+    found = rerank(hybrid_search(docs, queries, synonyms, k=most, **options), docs, queries, most)
+    return found.join(queries.select("query_id", "top_k"), "query_id").filter("new_rank <= top_k").drop("top_k")

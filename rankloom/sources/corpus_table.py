@@ -1,9 +1,13 @@
 """The stored corpus: keyed upserts as change sets over a base, and table lifecycle."""
 
+import hashlib
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.sizing import fits
-from ..workspace import list_names, path_exists
+from ..workspace import list_names, materialize, move, path_exists
 
 
 def with_generated_ids(batch: DataFrame) -> DataFrame:
@@ -42,59 +46,73 @@ def upsert_stats(batch: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, path: str) -> list:
-    """Numbers of the completely written versions below ``path``, oldest first."""
-    found = [name for name in list_names(spark, path) if name.startswith("v=")]
-    return [int(name[2:]) for name in found if path_exists(spark, f"{path}/{name}/_SUCCESS")]
-
+def _versions(spark: SparkSession, path: str) -> dict:
+    """Names of the completely written versions below ``path`` by number, oldest first.
 
-def _version_path(path: str, version: int) -> str:
-    return f"{path}/v={version:010d}"
+    A name is ``v=<number>`` and, for a load that may be repeated, ``-<its key>``.
+    """
+    found = [name for name in list_names(spark, path) if name.startswith("v=")]
+    return {int(name[2:12]): name for name in found if path_exists(spark, f"{path}/{name}/_SUCCESS")}
 
 
-def upsert_table(path: str, batch: DataFrame, seq: str = "seq", version: int = None) -> int:
-    """Add ``batch`` to the stored corpus as one change set.
+def upsert_table(path: str, batch: DataFrame, seq: str = "seq", key: str = None) -> int:
+    """Add ``batch`` to the stored corpus as one change set and return its number.
 
-    Only the batch is written.  Readers see a change set once it is complete, and
-    repeating a version number replaces it, so a retried batch is harmless.
+    Only the batch is written, first aside and then under the next free number, so no load
+    replaces another one. A load with a ``key`` that is already there is a repetition and
+    changes nothing.
     """
     spark, changes = batch.sparkSession, f"{path}/changes"
-    if version is None:
-        version = max([-1, *_versions(spark, changes), *_versions(spark, f"{path}/base")]) + 1
-    last = latest_per_id(with_generated_ids(batch), seq)
-    last.write.mode("overwrite").parquet(_version_path(changes, version))
-    return version
-
-
-def read_corpus(spark: SparkSession, path: str, seq: str = "seq") -> DataFrame:
+    mark = "" if key is None else "-" + hashlib.sha256(key.encode()).hexdigest()[:24]
+    if key is not None:
+        done = [number for number, name in _versions(spark, changes).items() if name.endswith(mark)]
+        if done:
+            return done[0]
+    aside = f"{path}/aside/{uuid.uuid4().hex}"
+    latest_per_id(with_generated_ids(batch), seq).write.parquet(aside)
+    while True:
+        taken = [int(n[2:12]) for n in list_names(spark, changes) if n.startswith("v=")]
+        version = max([-1, *taken, *_versions(spark, f"{path}/base")]) + 1
+        if move(spark, aside, f"{changes}/v={version:010d}{mark}"):
+            return version
+
+
+def read_corpus(spark: SparkSession, path: str, seq: str = "seq", by_time: bool = False) -> DataFrame:
     """The current rows: the base with all later change sets applied; None when empty.
 
-    For each id the greatest ``seq`` wins.  Changed ids are brought to the base scan when
-    they are measured small, so reading does not shuffle the base.
+    For each id the last load wins and, inside a load, the greatest ``seq``. With ``by_time``
+    the numbers in ``seq`` are times of events that hold across loads, and the greatest wins
+    wherever it stands. Changed ids are brought to the base scan when they are measured small,
+    so reading does not shuffle the base.
     """
     bases = _versions(spark, f"{path}/base")
-    at = bases[-1] if bases else -1
-    newer = [_version_path(f"{path}/changes", v) for v in _versions(spark, f"{path}/changes") if v > at]
-    base = spark.read.parquet(_version_path(f"{path}/base", at)) if bases else None
+    at = max(bases, default=-1)
+    newer = {v: name for v, name in _versions(spark, f"{path}/changes").items() if v > at}
+    base = spark.read.parquet(f"{path}/base/{bases[at]}") if bases else None
     if not newer:
         return base
-    changed = latest_per_id(spark.read.parquet(*newer), seq)
+    loads = [spark.read.parquet(f"{path}/changes/{name}").withColumn("_load", F.lit(v)) for v, name in newer.items()]
+    loads = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loads)
+    order = F.struct(seq, "_load") if by_time else F.struct("_load", seq)
+    changed = materialize(latest_per_id(loads.withColumn("_order", order), "_order").drop("_order", "_load"), "changed")
     if base is None:
         return changed
 
     def small(df):
         return F.broadcast(df) if fits(df) else df
 
-    heads = changed.select("id", F.col(seq).alias("_new_seq"))
-    stale = base.select("id", seq).join(small(heads), "id").filter(F.col(seq) > F.col("_new_seq")).select("id")
-    wins = changed.join(stale, "id", "left_anti")
-    return base.join(small(wins.select("id")), "id", "left_anti").unionByName(wins, allowMissingColumns=True)
+    if by_time:
+        heads = changed.select("id", F.col(seq).alias("_new_seq"))
+        stale = base.select("id", seq).join(small(heads), "id").filter(F.col(seq) > F.col("_new_seq")).select("id")
+        changed = changed.join(stale, "id", "left_anti")
+    return base.join(small(changed.select("id")), "id", "left_anti").unionByName(changed, allowMissingColumns=True)
 
 
-def compact(spark: SparkSession, path: str, seq: str = "seq") -> int:
+def compact(spark: SparkSession, path: str, seq: str = "seq", by_time: bool = False) -> int:
     """Fold all change sets into a new base, after which reads no longer merge them."""
     version = max(_versions(spark, f"{path}/changes"))
-    read_corpus(spark, path, seq).write.mode("overwrite").parquet(_version_path(f"{path}/base", version))
+    if version not in _versions(spark, f"{path}/base"):
+        read_corpus(spark, path, seq, by_time).write.mode("overwrite").parquet(f"{path}/base/v={version:010d}")
     return version
 
 
@@ -104,7 +122,12 @@ def create_corpus(docs: DataFrame, table: str, force_recreate: bool = False) ->
     if spark.catalog.tableExists(table):
         if not force_recreate:
             return False
+        # the old table stays until the new one is complete; ``docs`` may be read from it
+        fresh = f"{table}_{uuid.uuid4().hex}"
+        docs.write.mode("errorifexists").saveAsTable(fresh)
         spark.sql(f"DROP TABLE {table}")
+        spark.sql(f"ALTER TABLE {fresh} RENAME TO {table}")
+        return True
     docs.write.mode("errorifexists").saveAsTable(table)
     return True
 

@@ -7,18 +7,19 @@ from ..workspace import path_exists
 
 
 def load_json(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
-    """Raw records as one VARIANT column ``v``.
+    """Raw records as one VARIANT column ``v``; a record that is no JSON has a null ``v``.
 
-    ``lines`` reads one record per line and splits large files over tasks.  ``array``
-    reads files that each hold one JSON array; such a file cannot be split, so the
-    parallelism is the number of files.  A missing path gives an empty table and
-    unparsable records are left out.
+    ``lines`` reads one record per line and splits large files over tasks; blank lines are no
+    records.  ``array`` reads files that each hold one JSON array; such a file cannot be split,
+    so the parallelism is the number of files.  A missing path gives an empty table.
     """
     if not path_exists(spark, path):
         return spark.range(0).select(F.parse_json(F.lit("null")).alias("v"))
-    reader = spark.read.option("singleVariantColumn", "v").option("multiLine", layout == "array")
-    raw = reader.json(path).filter(F.col("v").isNotNull())
-    return unnest_arrays(raw) if layout == "array" else raw
+    text = spark.read.text(path, wholetext=layout == "array").filter(F.btrim("value") != "")
+    raw = text.select(F.try_parse_json("value").alias("v"))
+    if layout == "lines":
+        return raw
+    return unnest_arrays(raw.filter("v IS NOT NULL")).unionByName(raw.filter("v IS NULL"))
 
 
 def unnest_arrays(raw: DataFrame) -> DataFrame:
@@ -29,10 +30,13 @@ def unnest_arrays(raw: DataFrame) -> DataFrame:
 
 
 def load_csv(spark: SparkSession, path: str, schema=FORUM_POSTS, sep: str = ";") -> DataFrame:
-    """Delimited text with a header line and an explicit schema."""
+    """Delimited text with a header line and an explicit schema.
+
+    Quoted values may hold line breaks, so a file is read by one task; many files are read in parallel.
+    """
     return (
         spark.read.schema(schema)
-        .options(sep=sep, header=True, multiLine=False, quote='"', escape='"')
+        .options(sep=sep, header=True, multiLine=True, quote='"', escape='"')
         .csv(path)
     )
 

@@ -11,8 +11,9 @@ def stream_upsert(
 ) -> None:
     """Apply all JSON-lines files not yet seen to the stored corpus, then stop.
 
-    Each micro-batch becomes one change set numbered by the batch id, so a batch that is
-    repeated after a failure replaces its own earlier attempt.
+    Each micro-batch becomes one change set under the next free number, beside batch loads. It
+    carries the stream's checkpoint and the batch id as its key, so a batch that is repeated
+    after a failure is not applied twice.
     """
     reader = spark.readStream.schema(schema)
     if max_files:
@@ -20,7 +21,7 @@ def stream_upsert(
     files = reader.json(incoming)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert_table(table_path, transform(batch) if transform else batch, seq, batch_id)
+        upsert_table(table_path, transform(batch) if transform else batch, seq, f"{checkpoint}#{batch_id}")
 
     query = (
         files.writeStream.foreachBatch(apply)

@@ -92,7 +92,11 @@ def page_metadata(spark, sf_dir):
 
 
 def page_links(spark, sf_dir):
-    return ops.page_links(table(spark, sf_dir, "pages")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
+    """Links of pages in all three forms of quoting."""
+    link, form = r'href="([^"\s>]*)"', F.col("page_id") % 3
+    html = F.when(form == 1, F.regexp_replace("html", link, "href='$1'")).when(
+        form == 2, F.regexp_replace("html", link, "href = $1")).otherwise(F.col("html"))
+    return ops.page_links(table(spark, sf_dir, "pages").withColumn("html", html)).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
 def cast_id(spark, sf_dir):
@@ -113,7 +117,7 @@ def union_sources(spark, sf_dir):
 def dataset_build(spark, sf_dir):
     from rankloom.plans.dataset_build import build_dataset
 
-    return _flat(build_dataset(forum_posts(spark, sf_dir), functions_table(spark, sf_dir), _loaded_at(), 5000))
+    return _flat(build_dataset(forum_posts(spark, sf_dir), functions_table(spark, sf_dir), _loaded_at()))
 
 
 def schema_diff(spark, sf_dir):
@@ -179,7 +183,7 @@ ORACLE = {
         FROM pages""",
     "page_links": """
         SELECT page_id, link, count(*) AS n
-        FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages)
+        FROM (SELECT page_id, replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '&amp;', '&') AS link FROM pages)
         GROUP BY ALL""",
     "cast_id": "SELECT CAST(page_id AS VARCHAR) AS id, url FROM pages",
     "canonical_order": with_ctes("""
@@ -189,7 +193,7 @@ ORACLE = {
     "union_sources": with_ctes(
         f"SELECT id, {_COLUMNS} FROM code UNION ALL SELECT CAST(id AS VARCHAR), {_COLUMNS} FROM forum", _FORUM, _CODE),
     "dataset_build": with_ctes(f"""
-        SELECT id, {_COLUMNS} FROM (SELECT * FROM code ORDER BY md5(id), id LIMIT 5000)
+        SELECT id, {_COLUMNS} FROM code
         UNION ALL
         SELECT CAST(id AS VARCHAR), {_COLUMNS.replace('content', html_text_sql('content') + ' AS content')} FROM forum""",
         _FORUM, _CODE),

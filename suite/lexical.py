@@ -207,8 +207,7 @@ def fuzzy_ctes(asked: str, vocabulary: str) -> tuple:
   SELECT field, query_term, term, edits, CAST(1.0 AS DOUBLE) - edits / least(length(query_term), length(term)) AS boost
   FROM {asked} JOIN close_terms USING (query_term)
        JOIN (SELECT DISTINCT field, term FROM {vocabulary}) v USING (field, term)
-  WHERE edits <= 2 AND boost > 0
-  QUALIFY row_number() OVER (PARTITION BY field, query_term ORDER BY boost DESC, term) <= 50)"""
+  WHERE edits <= 2 AND boost > 0)"""
 
 
 FUZZY_TERMS = ("""asked AS (
@@ -291,7 +290,7 @@ ORACLE = {
         FROM top10 JOIN corpus USING (id)""", *BASE, CONTENT, TOP10),
     "empty_query": with_ctes("""
         SELECT query_id, query, count(id) AS total_hits,
-               CASE WHEN count(id) = 0 THEN 'No results found or an error occurred.' END AS error
+               CASE WHEN count(id) = 0 THEN 'no hits' END AS error
         FROM some_queries LEFT JOIN matches USING (query_id) GROUP BY query_id, query""",
         *INDEX, QUERIES_SQL,
         "some_queries AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN '  ' ELSE query END AS query FROM queries)",

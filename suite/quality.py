@@ -32,7 +32,7 @@ def raw_records(spark, sf_dir):
         member("id", quoted(number.cast("string")), F.lit(True)),
         member("title", F.when(number % 17 == 4, F.lit("null")).otherwise(quoted(F.split_part("text", F.lit("\n"), F.lit(1)))), number % 11 != 3),
         member("content", quoted(F.col("text")), number % 19 != 5),
-        member("created_at", F.lit('"2022-01-01T00:00:00Z"'), F.lit(True)),
+        member("created_at", F.when(number % 37 == 9, F.lit('"garbage"')).otherwise(F.lit('"2022-01-01T00:00:00Z"')), F.lit(True)),
         member("modified_at", quoted(stamp), number % 7 != 6),
         member("language", quoted(F.col("lang")), F.lit(True)),
         member("tags", F.to_json(F.array("lang", "source")), number % 23 != 7),
@@ -40,6 +40,7 @@ def raw_records(spark, sf_dir):
         member("github_stars", F.when(number % 9 == 2, F.lit("null")).otherwise((number * 37 % 15000).cast("string")), number % 9 != 1),
         member("view_count", (number * 101 % 150000).cast("string"), F.lit(True)),
     )), ","), F.lit("}"))
+    line = F.when(number % 31 == 8, F.left(line, F.lit(20))).otherwise(line)  # cut off: no JSON
     path = fresh_path(spark, "raw")
     table(spark, sf_dir, "documents").select(line.alias("value")).write.text(path)
     return load_json(spark, path)
@@ -118,15 +119,16 @@ QUERIES = {f.__name__: f for f in (
     clean_text, parse_date, pipeline_stats, count_check,
 )}
 
-_MISSING = """CASE WHEN doc_id % 11 = 3 THEN 'title' WHEN doc_id % 19 = 5 THEN 'content'
+_ID = "CASE WHEN doc_id % 31 <> 8 THEN CAST(doc_id AS VARCHAR) END"
+_MISSING = """CASE WHEN doc_id % 31 = 8 THEN 'malformed record' WHEN doc_id % 11 = 3 THEN 'title' WHEN doc_id % 19 = 5 THEN 'content'
      WHEN doc_id % 23 = 7 THEN 'tags' END"""
 _DAY = "CAST(DATE '2024-07-01' + CAST(40 - doc_id % 500 AS INTEGER) AS VARCHAR)"
 _STAMP = f"""CASE WHEN doc_id % 7 = 6 OR doc_id % 13 = 0 THEN '2022-01-01T00:00:00Z'
      WHEN doc_id % 13 = 1 THEN {_DAY} || 'T10:00:00' WHEN doc_id % 13 = 2 THEN {_DAY} || 'T10:00:00.250+02:00'
      ELSE {_DAY} || 'T10:00:00Z' END"""
 _PREPARED = f"""prepared AS (
-  SELECT CAST(doc_id AS VARCHAR) AS id, {_MISSING} AS missing_field,
-         missing_field IS NULL AND stamp LIKE '%T10:00:00' AS failed,
+  SELECT {_ID} AS id, {_MISSING} AS missing_field,
+         missing_field IS NULL AND (stamp LIKE '%T10:00:00' OR doc_id % 37 = 9) AS failed, doc_id % 37 = 9 AS undated,
          CASE WHEN missing_field IS NULL AND NOT failed AND age >= 0 THEN exp(-age / 365.0) END AS fresh,
          CASE WHEN fresh IS NOT NULL AND doc_id % 9 <> 2 THEN
            0.7 * least(CASE WHEN doc_id % 9 = 1 THEN 0 ELSE doc_id * 37 % 15000 END / 10000.0, 1.0)
@@ -138,8 +140,11 @@ _PREPARED = f"""prepared AS (
 _AGE = f"CAST(date_diff('day', modified_at, TIMESTAMP '{AS_OF}') AS DOUBLE)"
 
 ORACLE = {
-    "validate_docs": f"SELECT CAST(doc_id AS VARCHAR) AS id, {_MISSING} AS missing_field FROM documents",
-    "impute_modified": f"SELECT CAST(doc_id AS VARCHAR) AS id, {_STAMP} AS modified_at FROM documents",
+    "validate_docs": f"SELECT {_ID} AS id, {_MISSING} AS missing_field FROM documents",
+    "impute_modified": f"""
+        SELECT {_ID} AS id, CASE WHEN doc_id % 31 = 8 THEN ''
+               WHEN doc_id % 37 = 9 AND (doc_id % 7 = 6 OR doc_id % 13 = 0) THEN 'garbage' ELSE {_STAMP} END AS modified_at
+        FROM documents""",
     "freshness": with_ctes(
         f"SELECT id, CASE WHEN {_AGE} >= 0 THEN round(exp(-{_AGE} / 365.0), 6) END AS freshness_score FROM corpus", CORPUS),
     "norm_stars": with_ctes("SELECT id, round(least(github_stars / 10000.0, 1.0), 6) AS stars_norm FROM corpus", CORPUS),
@@ -152,7 +157,9 @@ ORACLE = {
         SELECT id, missing_field, failed, round(fresh, 6) AS freshness_score, round(popular, 6) AS popularity_score
         FROM prepared""", _PREPARED),
     "quarantine": with_ctes("""
-        SELECT id, CASE WHEN missing_field IS NOT NULL THEN 'missing required field: ' || missing_field
+        SELECT id, CASE WHEN missing_field = 'malformed record' THEN missing_field
+                   WHEN missing_field IS NOT NULL THEN 'missing required field: ' || missing_field
+                   WHEN undated THEN 'created_at is not a timestamp'
                    ELSE 'modified_at is not a zoned ISO-8601 timestamp' END AS reason
         FROM prepared WHERE missing_field IS NOT NULL OR failed""", _PREPARED),
     "clean_text": """

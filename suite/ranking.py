@@ -103,6 +103,13 @@ def rerank_topk(spark, sf_dir):
     )
 
 
+def search_own_sizes(spark, sf_dir):
+    """The complete search in which every query names the size of its result, 1 to 50."""
+    queries = passages(spark, sf_dir).withColumn("top_k", (F.col("query_id") * 7 % 50 + 1).cast("int"))
+    found = search.search(_docs(spark, sf_dir), queries, default_synonyms(spark), None)
+    return found.select("query_id", "id", "orig_rank", "new_rank", F.round("final_score", 6).alias("final_score"))
+
+
 def no_rerank(spark, sf_dir):
     """The original order with only the cut applied."""
     found = search.rerank(
@@ -128,7 +135,7 @@ def explanation(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     rrf_fusion, hybrid_search, hybrid_filtered, pair_text, pair_score, minmax_norm, composite_score, rerank_topk,
-    no_rerank, rank_improvement, rerank_summary, explanation,
+    search_own_sizes, no_rerank, rank_improvement, rerank_summary, explanation,
 )}
 
 _VECTORS = (*DOC_VECTORS, *QUERY_VECTORS, KNN_DOCUMENTS)
@@ -144,24 +151,26 @@ def _fused_ctes(text: str, near: str) -> tuple:
   FROM stacked GROUP BY query_id, id)"""
 
 
-def _top(source: str, name: str) -> str:
+def _top(source: str, name: str, size: int = 10) -> str:
     return f"""{name} AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {source} QUALIFY rank <= 10)"""
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {source} QUALIFY rank <= {size})"""
 
 
 _NEAR = _top("vector_scores", "near")
 SIMPLE = (*BASE, CONTENT, TOP10, *_VECTORS, _NEAR, *_fused_ctes("top10", "near"))
 FULL = (*FUZZY_BASE, _top("matches", "text_list"), *_VECTORS, _NEAR, *_fused_ctes("text_list", "near"))
+_LARGEST = "(SELECT max(query_id * 7 % 50 + 1) FROM queries)"
+_OWN = (*FUZZY_BASE, _top("matches", "text_list", _LARGEST), *_VECTORS, _top("vector_scores", "near", _LARGEST),
+        *_fused_ctes("text_list", "near"))
 _FILTERED = (
     *FUZZY_BASE,
     f"""filtered AS (SELECT query_id, id, score FROM matches JOIN corpus USING (id) JOIN queries USING (query_id)
   WHERE {_TERMS_CONDITION} AND {_DATE_CONDITION})""",
     _top("filtered", "text_list"), *_VECTORS,
     f"""near_allowed AS (SELECT query_id, id, score FROM vector_scores JOIN corpus USING (id) JOIN queries USING (query_id)
-  WHERE {_TERMS_CONDITION} AND (date_from IS NULL OR created_at >= date_from)
-    AND (date_to IS NULL OR created_at <= date_to))""",
+  WHERE {_TERMS_CONDITION} AND {_DATE_CONDITION})""",
     _top("near_allowed", "near"), *_fused_ctes("text_list", "near"))
-_PAIR_TEXT = "left(title || '. ' || content, 512)"
+_PAIR_TEXT = "title || '. ' || content"
 RERANK = (f"""pairs_scored AS (
   SELECT query_id, id, title, content, score, rank AS orig_rank, {_POPULAR} AS popularity, {_FRESH} AS freshness,
          coalesce(len(list_filter(asked, lambda w: list_contains(found, w))) / nullif(len(asked), 0), 0.0) AS pair_score
@@ -198,6 +207,10 @@ ORACLE = {
         SELECT query_id, id, title, orig_rank, new_rank, improvement, round(score, 9) AS score,
                round(cross_s, 6) AS cross_encoder_score, round(final_score, 6) AS final_score
         FROM reranked""", *FULL, *RERANK),
+    "search_own_sizes": with_ctes("""
+        SELECT query_id, id, orig_rank, new_rank, round(final_score, 6) AS final_score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(final_score, 9) DESC, orig_rank) AS new_rank
+              FROM finals) WHERE new_rank <= query_id * 7 % 50 + 1""", *_OWN, *RERANK[:3]),
     "no_rerank": with_ctes("""
         SELECT query_id, id, rank AS orig_rank, rank AS new_rank, CAST(0 AS BIGINT) AS improvement FROM fused
         WHERE rank <= 10""", *SIMPLE),

@@ -123,9 +123,33 @@ def stream_upsert(spark, sf_dir):
     )
     events.repartitionByRange(3, "seq").write.json(incoming)
     run_stream(spark, incoming, events.schema, path, checkpoint, "seq", max_files=1)
+    return corpus_table.read_corpus(spark, path, by_time=True).drop("seq")
+
+
+def corpus_loads(spark, sf_dir):
+    """Documents, then conversations with the same ids but smaller numbers, then a stream of events: the last load wins."""
+    incoming, path, checkpoint = (fresh_path(spark, n) for n in ("incoming", "loads", "offsets"))
+    docs = corpus(spark, sf_dir).select("id", "source", "content", (F.col("id").cast("long") + 10**6).alias("seq"))
+    corpus_table.upsert_table(path, docs, "seq")
+    corpus_table.compact(spark, path)
+    corpus_table.upsert_table(path, _writes(spark, sf_dir), "seq")
+    events = table(spark, sf_dir, "events").filter("user_id % 10 = 0").select(
+        F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("source"),
+        F.col("props").alias("content"), (-F.col("event_id")).alias("seq"),
+    )
+    events.coalesce(1).write.json(incoming)
+    run_stream(spark, incoming, events.schema, path, checkpoint, "seq")
     return corpus_table.read_corpus(spark, path).drop("seq")
 
 
+def csv_bodies(spark, sf_dir):
+    """Quoted bodies over several lines."""
+    path = fresh_path(spark, "bodies")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("</p>"), F.lit("</p>;\n\n")).alias("body"))
+    pages.write.options(sep=";", header=True, quote='"', escape='"').csv(path)
+    return files.load_csv(spark, path, pages.schema)
+
+
 def corpus_write_mode(spark, sf_dir):
     """What each lifecycle call answers, and the rows left after the forced rewrite."""
     name = "corpus_" + fresh_path(spark, "t").rsplit("-", 1)[1]
@@ -144,7 +168,7 @@ def corpus_write_mode(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     json_load, json_load_array, csv_load, parquet_load, synonym_rules, url_table, json_write, bulk_upsert,
-    bulk_upsert_table, upsert_stats, stream_upsert, corpus_write_mode,
+    bulk_upsert_table, upsert_stats, stream_upsert, corpus_loads, csv_bodies, corpus_write_mode,
 )}
 
 _UPSERTED = with_ctes("""
@@ -186,6 +210,13 @@ ORACLE = {
     "stream_upsert": """
         SELECT CAST(user_id AS VARCHAR) AS id, event_type AS source, props AS content FROM events
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
+    "corpus_loads": with_ctes("""
+        SELECT id, source, content FROM (
+          SELECT id, source, content, 0 AS load, 0 AS seq FROM corpus
+          UNION ALL SELECT CAST(conv_id AS VARCHAR), role, text, 1, turn FROM conversations
+          UNION ALL SELECT CAST(user_id AS VARCHAR), event_type, props, 2, -event_id FROM events WHERE user_id % 10 = 0)
+        QUALIFY row_number() OVER (PARTITION BY id ORDER BY load DESC, seq DESC) = 1""", CORPUS),
+    "csv_bodies": "SELECT page_id, url, replace(html, '</p>', '</p>;' || chr(10) || chr(10)) AS body FROM pages",
     "upsert_stats": """
         SELECT count(*) AS total,
                count(DISTINCT CASE WHEN role <> 'system' THEN CAST(conv_id AS VARCHAR)

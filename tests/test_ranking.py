@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import extras, rerank as ops
@@ -64,7 +65,7 @@ def test_constant_lists_scale_to_zero(spark):
 
 def test_pair_text_and_scorers(spark):
     df = spark.createDataFrame([("api auth", "Api", "x" * 600)], "query string, title string, content string")
-    assert len(df.select(ops.pair_text(F.col("title"), F.col("content")).alias("t")).first().t) == 512
+    assert len(df.select(ops.pair_text(F.col("title"), F.col("content"), 512).alias("t")).first().t) == 512
     assert ops.pair_score(df).first().pair_score == 0.5
 
     class Broken:
@@ -75,7 +76,8 @@ def test_pair_text_and_scorers(spark):
         def predict(self, pairs, batch_size):
             return [float(len(q)) for q, _ in pairs]
 
-    assert ops.pair_score(df, ops.model_scorer(Broken)).first().pair_score == 0.5
+    with pytest.raises(Exception, match="ValueError"):
+        ops.pair_score(df, ops.model_scorer(Broken)).first()
     assert ops.pair_score(df, ops.model_scorer(Lengths)).first().pair_score == 8.0
 
 

@@ -32,15 +32,30 @@ def test_stored_corpus(spark, tmp_path):
     assert rows(ops.read_corpus(spark, path)) == want
     ops.compact(spark, path)
     assert rows(ops.read_corpus(spark, path)) == want
-    # a late write with a smaller number loses; a repeated version replaces itself
+    # the later load wins whatever its numbers; a load with a key is applied once
     for _ in range(2):
-        ops.upsert_table(path, spark.createDataFrame([("a", "late", 4), ("b", "3", 9)], SCHEMA), version=7)
-    assert rows(ops.read_corpus(spark, path)) == {("a", "2"), ("b", "3"), ("c", "2")}
+        last = ops.upsert_table(path, spark.createDataFrame([("a", "late", 4), ("b", "3", 9)], SCHEMA), key="k")
+    assert last == 2
+    assert rows(ops.read_corpus(spark, path)) == {("a", "late"), ("b", "3"), ("c", "2")}
+    # times of events hold across loads
+    assert rows(ops.read_corpus(spark, path, by_time=True)) == {("a", "2"), ("b", "3"), ("c", "2")}
     # a version without its success mark is not read
-    (tmp_path / "corpus" / "changes" / "v=0000000007" / "_SUCCESS").unlink()
+    name = next(p for p in (tmp_path / "corpus" / "changes").iterdir() if p.name.startswith("v=0000000002"))
+    (name / "_SUCCESS").unlink()
     assert rows(ops.read_corpus(spark, path)) == want
 
 
+def test_stream_beside_batch_loads(spark, tmp_path):
+    path, incoming = str(tmp_path / "corpus"), tmp_path / "in"
+    ops.upsert_table(path, spark.createDataFrame([("a", "1", 1), ("b", "1", 2)], SCHEMA))
+    ops.compact(spark, path)
+    ops.upsert_table(path, spark.createDataFrame([("b", "2", 0)], SCHEMA))
+    incoming.mkdir()
+    (incoming / "1.json").write_text(json.dumps({"id": "c", "content": "3", "seq": 0}) + "\n" + json.dumps({"id": "a", "content": "3", "seq": 0}))
+    stream_upsert(spark, str(incoming), SCHEMA, path, str(tmp_path / "marks"))
+    assert rows(ops.read_corpus(spark, path)) == {("a", "3"), ("b", "2"), ("c", "3")}
+
+
 def test_stream_applies_each_file_once(spark, tmp_path):
     incoming = tmp_path / "in"
     incoming.mkdir()
@@ -64,6 +79,8 @@ def test_lifecycle(spark):
     assert ops.create_corpus(docs, "c1") is False
     assert ops.create_corpus(spark.range(5), "c1", force_recreate=True) is True
     assert spark.table("c1").count() == 5
+    assert ops.create_corpus(spark.table("c1").filter("id > 1"), "c1", force_recreate=True) is True
+    assert spark.table("c1").count() == 3
     assert ops.delete_corpus(spark, "c1") is True
 
 

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.functions.arrays import dot, l2_normalize
+from rankloom.functions.arrays import l2_normalize
 from rankloom.operators import vectors as ops
 
 
@@ -130,6 +130,15 @@ def test_model_embedder_is_pluggable(spark):
 
 
 def test_array_expressions(spark):
-    df = spark.createDataFrame([([3.0, 4.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
-    got = df.select(l2_normalize(F.col("a")).alias("n"), dot(F.col("a"), F.col("b")).alias("d")).collect()
-    assert got[0].n == [0.6, 0.8] and got[0].d == 11.0 and got[1].n == [0.0, 0.0]
+    df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "a array<double>")
+    got = df.select(l2_normalize(F.col("a")).alias("n")).collect()
+    assert got[0].n == [0.6, 0.8] and got[1].n == [0.0, 0.0]
+
+
+def test_null_and_uneven_vectors(spark):
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "query_id int, query_vector array<double>")
+    docs = spark.createDataFrame([("a", [1.0, 0.0, 0.0, 0.0]), ("b", None)], "id string, embedding array<double>")
+    assert [r.id for r in ops.knn_exact(docs, asked, 5).collect()] == ["a"]
+    uneven = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0] * 6)], "id string, embedding array<double>")
+    with pytest.raises(Exception, match="a vector of length 4 was expected"):
+        ops.knn_exact(uneven, asked, 5).collect()
