@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .shared import bounded_rows, fold_hash, materialize, slices, spread, table
@@ -29,10 +30,12 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: documents that train the attention model, and subwords they are read for
 MAX_ROWS = 5000
 MAX_SUBWORDS = 3_000_000
-CLASSES, PER_CLASS = 64, 64
+CLASSES, PER_CLASS = 48, 64
 SYMBOLS = CLASSES * PER_CLASS
-WIDTH, HIDDEN, SPAN = 32, 32, 32
+WIDTH, HIDDEN, SPAN = 24, 32, 32
 HALF = SPAN // 2
+#: windows scored at once
+BLOCKS = 512
 GROUP_BYTES = 32 << 20
 UNIT = 4 << 20
 #: words mixed in by their frequency; their hashes and counts travel to every task
@@ -237,8 +240,8 @@ class Attention:
             goal[at + HALF:at + HALF + len(t)] = t
         start = np.repeat(offset - (np.cumsum(blocks) - blocks) * HALF, blocks) + np.arange(blocks.sum()) * HALF
         out = []
-        for i in range(0, len(start), 1024):
-            at = start[i:i + 1024, None]
+        for i in range(0, len(start), BLOCKS):
+            at = start[i:i + BLOCKS, None]
             out.append(self._block(line[at + np.arange(SPAN)], goal[at + np.arange(HALF, SPAN)]))
         return np.concatenate(out)
 
@@ -262,17 +265,18 @@ class Attention:
         logit = y @ p["C"] + p["c"]
         score = logit[np.arange(len(good)), kind] - _log_sum(logit)
         order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        y, kind, place = y[order], kind[order], place[order]
+        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+        logit = p["m"][kind]
         for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c]:edges[c + 1]]
-            logit = y[own] @ p["M"][c] + p["m"][c]
-            score[own] += logit[np.arange(len(own)), place[own]] - _log_sum(logit)
+            logit[edges[c]:edges[c + 1]] += y[edges[c]:edges[c + 1]] @ p["M"][c]
+        score[order] += logit[np.arange(len(good)), place] - _log_sum(logit)
         return score
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithm of the sum of exponentials of each line of logits, which are far from the limits of floats."""
-    return np.log(np.exp(np.minimum(x, 80)).sum(axis=1))
+    """Logarithm of the sum of exponentials of each line of logits, which are far from the limits of floats; ``x`` is lost."""
+    return np.log(np.exp(np.minimum(x, 80, out=x), out=x).sum(axis=1))
 
 
 class Scorer:
@@ -363,7 +367,7 @@ def _count(groups: int, ranks: dict):
     def count(batches):
         subwords = Subwords(ranks)
         totals = np.zeros(subwords.end + 1, np.int64)
-        for unit in units(batches):
+        for serial, unit in enumerate(units(batches)):
             place: dict = {}
             docs, words, uses, trained = [], [], [], []
             for n, (_, _, trains, text) in enumerate(unit):
@@ -385,6 +389,7 @@ def _count(groups: int, ranks: dict):
             group = (hashes >> np.uint64(40)) % np.uint64(groups)
             of_use = group[words] if len(words) else np.zeros(0, np.uint64)
             out_group, out_blob = [], []
+            number_of_unit = TaskContext.get().partitionId() << 32 | serial
             for g in np.unique(group):
                 own = np.flatnonzero(group == g)
                 number = np.zeros(len(place), np.uint32)
@@ -397,56 +402,86 @@ def _count(groups: int, ranks: dict):
                     uses[use].astype(np.uint32), ids[held], slots[held],
                 ))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_group, pa.int32()), pa.array(out_blob, pa.binary())], ["grp", "blob"]
+                [pa.array(out_group, pa.int32()), pa.array([number_of_unit] * len(out_group), pa.int64()), pa.array(out_blob, pa.binary())],
+                ["grp", "unit", "blob"],
             )
         # the subword counts of a task are one row of a group of their own
-        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([_pack(totals)], pa.binary())], ["grp", "blob"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([_pack(totals)], pa.binary())], ["grp", "unit", "blob"]
+        )
 
     return count
 
 
 def _sum_up():
-    def settle(blobs):
+    """Sum the words of a group; give back, packed for each unit, what they add to its documents."""
+
+    def rows(units, hashes, counts, blobs):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, k) for x, k in zip((units, hashes, counts, blobs), kinds)], ["unit", "hash", "n", "blob"]
+        )
+
+    def settle(units, blobs):
         parts = [_unpack(b, _KINDS) for b in blobs]
         hashes, inverse = np.unique(np.concatenate([x[0] for x in parts]), return_inverse=True)
-        counts = np.bincount(inverse, np.concatenate([x[1] for x in parts]), len(hashes))
+        counts = np.bincount(inverse, np.concatenate([x[1] for x in parts]), len(hashes)).astype(np.int64)
         logs, known = np.log10(counts + 1), counts > 0
-        at, out = 0, []
-        for x in parts:
+        at = 0
+        for unit, x in zip(units, parts):
             of_word = inverse[at:at + len(x[0])][x[2]]
             at += len(x[0])
             many = len(x[5])
-            out.append((
-                x[5], x[6], np.bincount(x[3], x[4] * logs[of_word], many), np.bincount(x[3], x[4] * known[of_word], many).astype(np.int64),
-            ))
-        yield _rows(*(np.concatenate(x) for x in zip(*out)), None)
-        # rows without an id: the number of distinct words, and the most frequent words by their hashes
-        yield _rows([None], [None], [0.0], [0], [int(known.sum())])
+            sums = np.bincount(x[3], x[4] * logs[of_word], many), np.bincount(x[3], x[4] * known[of_word], many).astype(np.int64)
+            yield rows([unit], [None], [None], [_pack(x[5], x[6], *sums)])
+        # rows without a unit: the number of distinct words, and the most frequent words by their hashes
+        yield rows([None], [None], [int(known.sum())], [None])
         top = np.flatnonzero(known)
         top = top[np.argsort(-counts[top], kind="stable")[:LEXICON]]
-        yield _rows([None] * len(top), hashes[top].view(np.int64), np.zeros(len(top)), counts[top].astype(np.int64), [0] * len(top))
+        yield rows([None] * len(top), hashes[top].view(np.int64), counts[top], [None] * len(top))
 
     def settle_all(batches):
-        current, blobs = None, []
+        current, units, blobs = None, [], []
         for batch in batches:
-            for group, blob in zip(batch.column("grp").to_pylist(), batch.column("blob").to_pylist()):
-                if group != current and blobs:
-                    yield from settle(blobs)
-                    blobs = []
-                current = group
-                blobs.append(blob)
+            for group, unit, blob in zip(*(batch.column(n) for n in ("grp", "unit", "blob"))):
+                if group.as_py() != current and blobs:
+                    yield from settle(units, blobs)
+                    units, blobs = [], []
+                current = group.as_py()
+                units.append(unit.as_py())
+                blobs.append(blob.as_py())
         if blobs:
-            yield from settle(blobs)
+            yield from settle(units, blobs)
 
     return settle_all
 
 
-def _rows(ids, slots, logs, known, distinct):
-    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-    distinct = np.zeros(len(ids), np.int64) if distinct is None else distinct
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, k) for x, k in zip((ids, slots, logs, known, distinct), kinds)], ["_id", "_slot", "logs", "known", "words"]
-    )
+def _join_up(batches):
+    """(_id, _slot, logs, known) of every document from the packed sums of its unit, which follow one another."""
+
+    def settle(parts):
+        ids, slots, logs, known = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((slots, ids))
+        ids, slots = ids[order], slots[order]
+        fresh = np.ones(len(ids), bool)
+        fresh[1:] = (ids[1:] != ids[:-1]) | (slots[1:] != slots[:-1])
+        first = np.flatnonzero(fresh)
+        if len(first):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids[first]), pa.array(slots[first]), pa.array(np.add.reduceat(logs[order], first)),
+                 pa.array(np.add.reduceat(known[order], first))], ["_id", "_slot", "logs", "known"],
+            )
+
+    current, parts = None, []
+    for batch in batches:
+        for unit, blob in zip(batch.column("unit"), batch.column("blob")):
+            if unit.as_py() != current and parts:
+                yield from settle(parts)
+                parts = []
+            current = unit.as_py()
+            parts.append(_unpack(blob.as_py(), (np.int64, np.int64, np.float64, np.int64)))
+    if parts:
+        yield from settle(parts)
 
 
 def _subword_counts(dealt: DataFrame, size: int) -> np.ndarray:
@@ -496,11 +531,11 @@ def train(sample: DataFrame, ranks: dict, counts: np.ndarray, lexicon: dict, end
 
 def _lexicon(parts: DataFrame, ends: int) -> tuple:
     """({hash: log frequency} of the LEXICON most frequent training words, that of the end)."""
-    top = parts.filter("_id IS NULL AND _slot IS NOT NULL").select("_slot", "known").orderBy(F.desc("known"), "_slot").limit(LEXICON).toArrow()
-    counts = top.column("known").to_numpy().astype(float)
+    top = parts.filter("hash IS NOT NULL").select("hash", "n").orderBy(F.desc("n"), "hash").limit(LEXICON).toArrow()
+    counts = top.column("n").to_numpy().astype(float)
     total = counts.sum() + ends
     logs = np.log(np.append(counts, max(ends, 1e-9)) / max(total, 1))
-    return dict(zip(top.column("_slot").to_numpy().view(np.uint64).tolist(), logs[:-1].tolist())), float(logs[-1])
+    return dict(zip(top.column("hash").to_numpy().view(np.uint64).tolist(), logs[:-1].tolist())), float(logs[-1])
 
 
 def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int = MAX_ROWS, max_subwords: int = MAX_SUBWORDS) -> DataFrame:
@@ -516,12 +551,12 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int = MAX_ROWS,
     rows = spread(keyed(docs.select("doc_id", "text")), "_id").withColumn("trains", fold_hash("doc_id", FOLDS) != HELD_OUT)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
-    dealt = materialize(rows.select("_id", "_slot", "trains", "text").mapInArrow(_count(groups, ranks), "grp int, blob binary"), "counts")
+    dealt = materialize(rows.select("_id", "_slot", "trains", "text").mapInArrow(_count(groups, ranks), "grp int, unit long, blob binary"), "counts")
     end = max(ranks.values()) + 1
     counts = _subword_counts(dealt, end + 1)
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 20_000))
     parts = dealt.filter("grp >= 0").repartition(width, "grp").sortWithinPartitions("grp").mapInArrow(
-        _sum_up(), "_id long, _slot long, logs double, known long, words long"
+        _sum_up(), "unit long, hash long, n long, blob binary"
     )
     parts = materialize(parts, "parts")
     sample = bounded_rows(rows.filter("trains").select("_id", "_slot", "text"), F.col("_id"), max_rows)
@@ -544,9 +579,10 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int = MAX_ROWS,
         apply, f"doc_id {kind}, _id long, _slot long, trains boolean, n_tokens long, score double"
     ), "scored")
     tokens = scored.filter("trains").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    words = parts.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    words = parts.filter("unit IS NULL AND hash IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     distinct = words + (1 if ends else 0)
-    of_doc = parts.filter("_id IS NOT NULL").groupBy("_id", "_slot").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
+    sums = parts.filter("unit IS NOT NULL").select("unit", "blob").repartition(width, "unit").sortWithinPartitions("unit")
+    of_doc = sums.mapInArrow(_join_up, "_id long, _slot long, logs double, known long").groupBy("_id", "_slot").agg(F.sum("logs").alias("logs"), F.sum("known").alias("known"))
     # rows that agree in id and text have each added the same parts
     twins = scored.groupBy("_id", "_slot").agg(F.count("*").alias("twins"))
     of_doc = of_doc.join(twins, ["_id", "_slot"]).select(
