@@ -2,7 +2,7 @@
 
 Every byte position starts a suffix; only its first ``depth`` bytes (the window) matter.
 
-* Dealing.  A suffix goes to the group of its window's least 12-byte gram (by hash).  Equal windows
+* Dealing.  A suffix goes to the group of its window's least 10-byte gram (by hash).  Equal windows
   have equal least grams, and neighbouring suffixes mostly share theirs, so they travel together as
   one run of text (about 20 windows in 70 bytes) instead of one row each.  Grams that are frequent
   in a sample of the documents are replaced by the window's least 32-byte gram; that sample decides
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from .shared import fits, slices, spread, table
 
 DEPTH = 50
-GRAM, LONG_GRAM = 12, 32
+GRAM, LONG_GRAM = 10, 32
 DIGITS = (26, 12, 12)
 UNIT = 2 << 20
 GROUP_BYTES = 8 << 20
@@ -484,8 +484,9 @@ def _with_ranges(docs: DataFrame, depth: int) -> DataFrame:
     """Rows of ``docs``, the text packed as _z, with all their ranges."""
     rows = keyed(docs)
     # equal rows share their ranges, so a set is enough however often a row is repeated
-    ranges = removed_ranges(rows, depth).groupBy("_id", "_slot").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
-    return rows.withColumn("_z", F.pandas_udf(_squeeze, "binary")("text")).drop("text").join(ranges, ["_id", "_slot"], "left")
+    ranges = removed_ranges(rows, depth).groupBy("_id").agg(F.collect_set(F.struct("_slot", "start", "end")).alias("_ranges"))
+    packed = rows.withColumn("_z", F.pandas_udf(_squeeze, "binary")("text")).drop("text").join(ranges, "_id", "left")
+    return packed.withColumn("_ranges", F.filter("_ranges", lambda r: r["_slot"] == F.col("_slot")))
 
 
 def digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
