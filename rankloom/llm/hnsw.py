@@ -1,15 +1,16 @@
 """Embedding near-duplicates through hierarchical navigable small-world graphs, one for each shard.
 
 Distinct vectors are dealt over shards.  A shard's task builds its graph, audits it against brute force
-on a sample of its vectors, widens the beam until the audit passes, and then lets the vectors of all
-shards stream through as queries.  What a beam finds above the threshold is followed through the graph
+with a fixed set of vectors of all shards, widens the beam until the audit passes, and then lets the
+vectors of all shards stream through as queries.  An audit counts links to other vectors only, and where
+it meets too few of them, the nearest neighbours; where no beam passes, the shard is scanned whole.  What a beam finds above the threshold is followed through the graph
 until nothing more is found, so groups larger than the beam are found whole.  Cosines near the
 threshold are decided in double precision.  A shard gives counts and a forest of links, never pairs.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from rankloom.operators.sizing import salted_join
 
@@ -22,8 +23,13 @@ SHARD_ROWS = 250_000
 LINKS = 12
 BEAM = 24
 BUILD_BEAM = 48
-AUDIT_ROWS = 256
+#: widest beam; a scan of the shard by matrix products costs less than wider ones
+MAX_BEAM = 96
+AUDIT_ROWS = 512
 AUDIT_RECALL = 0.98
+#: sampled vectors with links that an audit by links takes, and the neighbours that are looked for otherwise
+AUDIT_LINKED = 64
+AUDIT_NEAREST = 10
 HOT_COPIES = 100_000
 _STATE_BYTES = 16 << 20
 
@@ -161,14 +167,19 @@ class Graph:
             hits.seen = seen
         return np.where(np.take_along_axis(sims, order, 1) > -1.5, np.take_along_axis(ids, order, 1), -1), np.take_along_axis(sims, order, 1)
 
-    def within(self, queries: np.ndarray, threshold: float, width: int):
-        """(query number, node) of everything found above ``threshold``, beam first, then from hit to hit."""
+    def nearest(self, queries: np.ndarray, width: int, hits=None) -> np.ndarray:
+        """The nodes of the last beam for each query, best first (-1: none)."""
         queries = queries.astype(np.float32)
         at = np.full((len(queries), 1), self.entry)
         for k in range(self.top, 0, -1):
             at = self._beam(queries, at, k, 4)[0][:, :4]
+        return self._beam(queries, at, 0, width, hits)[0]
+
+    def within(self, queries: np.ndarray, threshold: float, width: int):
+        """(query number, node) of everything found above ``threshold``, beam first, then from hit to hit."""
+        queries = queries.astype(np.float32)
         hits = _Hits(threshold)
-        self._beam(queries, at, 0, width, hits)
+        self.nearest(queries, width, hits)
         rows, nodes = (np.concatenate(x) for x in zip(*hits.found)) if hits.found else (np.zeros(0, int),) * 2
         out, seen = [(rows, nodes)], hits.seen
         while len(rows):
@@ -200,34 +211,73 @@ class _Hits:
 
 
 class Shard:
-    """A graph with the double-precision vectors, the audited beam and the links seen so far."""
+    """A graph with the double-precision vectors, the audited beam (None: no beam passed) and the links seen so far.
+
+    ``audit`` holds (nodes, vectors) of the audit's queries, of any shard; without it the shard's own are sampled.
+    """
 
-    def __init__(self, nodes: np.ndarray, copies: np.ndarray, vectors: np.ndarray, threshold: float):
+    def __init__(self, nodes: np.ndarray, copies: np.ndarray, vectors: np.ndarray, threshold: float, audit=None):
         self.nodes, self.copies, self.vectors, self.threshold = nodes, copies, vectors, threshold
         self.graph = Graph(vectors)
         self.root = np.arange(len(nodes))
-        self.beam = self._audited()
+        if audit is None:
+            own = np.linspace(0, len(nodes) - 1, min(AUDIT_ROWS, len(nodes))).astype(int)
+            audit = nodes[own], vectors[own]
+        self.beam = self._audited(*audit)
 
-    def _candidates(self, vectors: np.ndarray, beam: int):
+    def _candidates(self, vectors: np.ndarray, beam: int | None):
         step = max(16, min(512, _STATE_BYTES // max(1, len(self.nodes))))
         for start in range(0, len(vectors), step):
-            rows, found = self.graph.within(vectors[start:start + step], self.threshold - 1e-5, beam)
+            part = vectors[start:start + step]
+            if beam is None:
+                rows, found = np.nonzero(part.astype(np.float32) @ self.graph.x.T >= self.threshold - 1e-5)
+            else:
+                rows, found = self.graph.within(part, self.threshold - 1e-5, beam)
             yield rows + start, found
 
-    def _audited(self) -> int:
-        """Double the beam until the sampled vectors find themselves and enough of their true links."""
-        sample = np.linspace(0, len(self.nodes) - 1, min(AUDIT_ROWS, len(self.nodes))).astype(int)
-        truth = (self.vectors[sample] @ self.vectors.T >= self.threshold).sum()
+    def _audited(self, asked: np.ndarray, vectors: np.ndarray) -> int | None:
+        """Double the beam until the audit's vectors find enough of what a scan finds, themselves left out."""
+        links, linked, nearest = [], 0, []
+        for start in range(0, len(asked), 64):
+            sims = vectors[start:start + 64] @ self.vectors.T
+            sims[asked[start:start + 64, None] == self.nodes] = -2
+            found = (sims >= self.threshold).sum(axis=1)
+            links.append(found)
+            linked += (found > 0).sum()
+            k = min(AUDIT_NEAREST, len(self.nodes))
+            nearest.append(np.partition(sims, len(self.nodes) - k, axis=1)[:, len(self.nodes) - k])
+        links, nearest = (np.concatenate(x) if x else np.zeros(0) for x in (links, nearest))
         beam = BEAM
-        while beam < len(self.nodes):
-            found = sum(
-                (np.einsum("ij,ij->i", self.vectors[sample[rows]], self.vectors[at]) >= self.threshold).sum()
-                for rows, at in self._candidates(self.vectors[sample], beam)
-            )
-            if found >= AUDIT_RECALL * truth:
-                break
+        while beam <= MAX_BEAM:
+            if self._finds_links(asked, vectors, links, beam) and (
+                linked >= AUDIT_LINKED or self._finds_nearest(asked, vectors, nearest, beam)
+            ):
+                return beam
             beam *= 2
-        return beam
+        return None
+
+    def _finds_links(self, asked: np.ndarray, vectors: np.ndarray, links: np.ndarray, beam: int) -> bool:
+        """Recall of all links, and its mean over the vectors that have some: large groups do not hide small ones."""
+        found = np.zeros(len(asked), np.int64)
+        for rows, at in self._candidates(vectors, beam):
+            good = np.einsum("ij,ij->i", vectors[rows], self.vectors[at]) >= self.threshold
+            good &= asked[rows] != self.nodes[at]
+            found += np.bincount(rows[good], minlength=len(asked))
+        some = links > 0
+        return not some.any() or min(found.sum() / links.sum(), (found[some] / links[some]).mean()) >= AUDIT_RECALL
+
+    def _finds_nearest(self, asked: np.ndarray, vectors: np.ndarray, nearest: np.ndarray, beam: int) -> bool:
+        """Recall of the AUDIT_NEAREST nearest; ``nearest`` has the cosine of each vector's last one."""
+        k = min(AUDIT_NEAREST, len(self.nodes) - 1)
+        found, wanted = 0, 0
+        for start in range(0, len(asked), 64):
+            own = slice(start, start + 64)
+            at = self.graph.nearest(vectors[own], beam)
+            sims = np.einsum("ijk,ik->ij", self.vectors[np.maximum(at, 0)], vectors[own])
+            good = (at >= 0) & (asked[own, None] != self.nodes[at]) & (sims >= nearest[own, None] - 1e-6)
+            found += np.minimum(good.sum(axis=1), k).sum()
+            wanted += k * len(at)
+        return found >= AUDIT_RECALL * wanted
 
     def _find(self, i: int) -> int:
         root = self.root
@@ -279,14 +329,15 @@ def _serve(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(counts, pa.int64()), pa.array(others, pa.int64())], ["node", "n", "other"])
 
     def serve(batches):
-        """Rows come by shard, its own vectors (role 0) before the queries (role 1)."""
-        key, shard, held = None, None, []
+        """Rows come by shard, its own vectors (role 0) before the audit's (role 1) and the queries (role 2)."""
+        key, shard, held, audit = None, None, [], []
 
         def ready():
-            table_ = pa.Table.from_batches(held)
+            table_, asked = pa.Table.from_batches(held), pa.Table.from_batches(audit, held[0].schema)
             return Shard(
                 table_.column("node").to_numpy(), table_.column("copies").to_numpy(),
                 _units(table_.column("v").combine_chunks()), threshold,
+                (asked.column("node").to_numpy(), _units(asked.column("v").combine_chunks())),
             )
 
         for batch in batches:
@@ -299,13 +350,15 @@ def _serve(threshold: float):
                     if shard is not None:
                         nodes, others = shard.forest()
                         yield rows(nodes, np.zeros(len(nodes), np.int64), others)
-                    key, shard, held = shards[start], None, []
+                    key, shard, held, audit = shards[start], None, [], []
                 part = batch.slice(start, end - start)
-                if roles[start] == 0:
-                    held.append(part)
+                if roles[start] < 2:
+                    (audit if roles[start] else held).append(part)
                     continue
                 if shard is None:
-                    shard, held = ready(), []
+                    if not held:  # no vector of this length was dealt to this shard
+                        continue
+                    shard, held, audit = ready(), [], []
                 found = shard.answer(part.column("node").to_numpy(), _units(part.column("v")))
                 if found:
                     yield rows(*found)
@@ -322,7 +375,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, min_shards
     Equal vectors are one node with a number of copies. Vectors that are null, empty, zero or hold null
     or non-finite components have no links; vectors of different lengths are not compared. A repeated
     vec_id keeps its rows; a null vec_id is never the smallest of a component with other ids. Links are
-    those the audited graphs find, none below ``threshold``; an empty table gives an empty result.
+    those the audited graphs (or scans) find, none below ``threshold``; an empty table gives an empty result.
     """
     v = F.transform("embedding", lambda c: c.cast("double"))
     fine = F.exists("v", lambda c: c != 0) & F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -336,8 +389,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, min_shards
     own = F.xxhash64("node")
     key = F.size("v").cast("long") * shards
     kept = nodes.select((key + F.pmod(own, F.lit(shards))).alias("shard"), F.lit(0).alias("role"), "node", "copies", "v")
-    asked = nodes.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: key + i)).alias("shard"), F.lit(1).alias("role"), "node", "copies", "v")
-    dealt = kept.unionByName(asked).repartition(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard", "role")
+    everywhere = F.explode(F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: key + i)).alias("shard")
+    asked = nodes.select(everywhere, F.lit(2).alias("role"), "node", "copies", "v")
+    # the same vectors audit all shards of a length
+    place = F.row_number().over(Window.partitionBy(F.size("v")).orderBy(F.xxhash64("node", F.lit(29)), "node"))
+    chosen = nodes.select("node", "copies", "v", place.alias("place")).filter(F.col("place") <= AUDIT_ROWS)
+    audit = chosen.select(everywhere, F.lit(1).alias("role"), "node", "copies", "v")
+    dealt = kept.unionByName(audit).unionByName(asked).repartition(shards, F.pmod("shard", F.lit(shards))).sortWithinPartitions("shard", "role")
     found = materialize(dealt.mapInArrow(_serve(threshold), "node long, n long, other long"), "links")
     joined = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))

@@ -457,6 +457,37 @@ def test_graph_recall_on_close_groups():
     assert counts.sum() / truth.sum() >= 0.95 and (counts <= truth[nodes]).all()
 
 
+@pytest.mark.parametrize("linked", [0, 4, 300])
+def test_audit_does_not_count_self_matches(monkeypatch, linked):
+    """A graph in which vectors only find themselves passes no audit, however few links the audit meets."""
+
+    def selves(self, queries, *rest):
+        return np.nonzero(queries.astype(np.float32) @ self.x.T >= 0.9999)
+
+    monkeypatch.setattr(hnsw.Graph, "within", selves)
+    monkeypatch.setattr(hnsw.Graph, "nearest", lambda self, queries, *rest: np.argmax(queries @ self.x.T, axis=1)[:, None], raising=False)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 48))
+    x[700 - linked:] = x[:linked] + 0.02 * rng.standard_normal((linked, 48))
+    others = x[100:150] + 0.02 * rng.standard_normal((50, 48))  # of another shard
+    x, others = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, others))
+    shard = hnsw.Shard(np.arange(700), np.ones(700, int), x, 0.9)
+    nodes, counts, _ = shard.answer(np.arange(700, 750), others)
+    assert nodes.tolist() == list(range(700, 750)) and counts.tolist() == (others @ x.T >= 0.9).sum(axis=1).tolist()
+
+
+def test_good_graphs_pass_their_audit():
+    """Links of vectors of other shards are enough for the narrow beam; the shard is then not scanned."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 16))
+    others = x[:200] + 0.02 * rng.standard_normal((200, 16))
+    x, others = (v / np.linalg.norm(v, axis=1)[:, None] for v in (x, others))
+    shard = hnsw.Shard(np.arange(2000), np.ones(2000, int), x, 0.9, (np.arange(2000, 2200), others))
+    assert shard.beam is not None
+    nodes, counts, _ = shard.answer(np.arange(2000, 2200), others)
+    assert counts.sum() >= 0.98 * (others @ x.T >= 0.9).sum()
+
+
 # --- language model ---------------------------------------------------------------------------------
 
 
