@@ -526,6 +526,13 @@ def test_gradients_of_the_attention_model():
         assert gradients[name].reshape(-1)[at] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=1e-7), name
 
 
+def test_model_keeps_its_size():
+    """A smaller vocabulary or width changes scores on every input; cost is no reason for one."""
+    assert (lm.CLASSES * lm.PER_CLASS, lm.WIDTH) == (4096, 32)
+    counts = np.arange(5001, 0, -1)
+    assert len(set(lm.Symbols(counts, 5000).of[:4094].tolist())) == 4094
+
+
 def test_windows_score_each_symbol_once():
     rng = np.random.default_rng(6)
     model = lm.Attention(np.log(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS)))
