@@ -27,9 +27,16 @@ from .suffixes import keyed
 
 FOLDS, HELD_OUT = 7, 2
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: documents that train the attention model, and subwords they are read for
-MAX_ROWS = 5000
-MAX_SUBWORDS = 3_000_000
+#: rounds of training over parts of the documents that together hold each one once
+ROUNDS = 4
+#: a table of fewer subwords is passed over up to MAX_PASSES times
+FEW_SUBWORDS, MAX_PASSES = 3_000_000, 3
+#: windows that a task shuffles and takes its steps from, and windows of a step
+POOL, STEP = 8192, 64
+#: least steps of a task in a round; a small table trains in fewer tasks, so that averaging does not starve it of steps
+LEAST_STEPS = 100
+#: one in SHARES training documents fits the lexicon's share instead of the model
+SHARES = 50
 CLASSES, PER_CLASS = 64, 64
 SYMBOLS = CLASSES * PER_CLASS
 WIDTH, HIDDEN, SPAN = 32, 32, 32
@@ -143,21 +150,36 @@ class Attention:
         x /= x.sum(axis=-1, keepdims=True)
         return x
 
-    def train(self, windows: np.ndarray, targets: np.ndarray, passes: int = 1, rate: float = 6e-3, batch: int = 64) -> None:
-        """Passes of Adam over windows of SPAN inputs and their next symbols (-1: none)."""
+    def train(self, pools, rate: float = 6e-3, batch: int = STEP, warm: int = 20) -> int:
+        """Adam over pools of windows of SPAN inputs and their next symbols (-1: none); gives the number of symbols."""
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         rng = np.random.default_rng(11)
-        order = np.concatenate([rng.permutation(len(windows)) for _ in range(passes)])
-        steps = max(1, len(order) // batch)
-        for step in range(steps):
-            own = order[step * batch:(step + 1) * batch]
-            gradients = self._gradients(windows[own], targets[own])
-            now = rate * min(1.0, (step + 1) / 20) * (1 - 0.9 * step / steps)
-            for k, g in gradients.items():
-                first, second = state[k]
-                first += 0.1 * (g - first)
-                second += 0.02 * (g * g - second)
-                self.p[k] -= now * (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.98 ** (step + 1))) + 1e-8)
+        step, total = 0, 0
+        for windows, targets in pools:
+            order = rng.permutation(len(windows))
+            total += int((targets >= 0).sum())
+            for start in range(0, len(order), batch):
+                own = order[start:start + batch]
+                gradients = self._gradients(windows[own], targets[own])
+                # a rest of few windows moves the parameters by its share of a step
+                now = rate * min(1.0, (step + 1) / warm) * len(own) / batch
+                for k, g in gradients.items():
+                    first, second = state[k]
+                    first += 0.1 * (g - first)
+                    second += 0.02 * (g * g - second)
+                    self.p[k] -= now * (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.98 ** (step + 1))) + 1e-8)
+                step += 1
+        return total
+
+    def flat(self) -> np.ndarray:
+        """All parameters as one array of doubles."""
+        return np.concatenate([v.ravel() for v in self.p.values()]).astype(float)
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at:at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
 
     def _gradients(self, inputs: np.ndarray, targets: np.ndarray) -> dict:
         p = self.p
@@ -313,13 +335,6 @@ class Scorer:
             np.concatenate([self.known[at], np.full(len(texts), self.end)]),
         )
 
-    def fit_share(self, texts: list, rounds: int = 12) -> None:
-        """The lexicon's share, by expectation and maximisation on texts that did not train the model."""
-        _, spelled, known = self.parts(texts)
-        for _ in range(rounds if len(spelled) else 0):
-            a, b = np.log(self.share) + known, np.log1p(-self.share) + spelled
-            self.share = float(np.clip(np.exp(a - np.logaddexp(a, b)).mean(), 0.02, 0.98))
-
     def log10(self, texts: list) -> np.ndarray:
         """log10 probability of each text, given as its words."""
         text, spelled, known = self.parts(texts)
@@ -503,30 +518,125 @@ def _subword_counts(dealt: DataFrame, size: int) -> np.ndarray:
 # --- training and scoring ---------------------------------------------------------------------------
 
 
-def train(sample: DataFrame, ranks: dict, counts: np.ndarray, lexicon: dict, end: float, max_subwords: int = MAX_SUBWORDS) -> Scorer:
-    """Fit the attention model and the lexicon's share on a bounded table of texts, on the driver."""
-    subwords = Subwords(ranks)
-    symbols = Symbols(counts, subwords.end)
-    windows, goals, kept, total = [], [], [], 0
-    for number, row in enumerate(sample.orderBy(F.xxhash64("_id", "_slot")).toLocalIterator()):
-        if total >= max_subwords:
-            break
-        words = (row["text"] or "").encode().lower().split()
-        if number % 50 == 7:  # for the share
-            kept.append(words[:2000])
-            continue
-        line = np.concatenate([[SYMBOLS], symbols.of[subwords.ids(words)[: max_subwords // 50]], [symbols.end]])
-        total += len(line)
-        for start in range(0, len(line) - 1, SPAN):
-            part = line[start:start + SPAN + 1]
-            windows.append(np.pad(part[:-1], (0, SPAN + 1 - len(part)), constant_values=0).astype(np.int32))
-            goals.append(np.pad(part[1:], (0, SPAN + 1 - len(part)), constant_values=-1).astype(np.int32))
+def windows_of(symbols: Symbols, ids: np.ndarray) -> tuple:
+    """All windows of SPAN inputs of one whole text, given by its subwords, and their next symbols (-1: none)."""
+    line = np.concatenate([[SYMBOLS], symbols.of[ids], [symbols.end]]).astype(np.int32)
+    many = -(-(len(line) - 1) // SPAN)
+    inputs, goals = np.zeros(many * SPAN, np.int32), np.full(many * SPAN, -1, np.int32)
+    inputs[: len(line) - 1], goals[: len(line) - 1] = line[:-1], line[1:]
+    return inputs.reshape(many, SPAN), goals.reshape(many, SPAN)
+
+
+def _pools(batches, subwords: Subwords, symbols: Symbols):
+    """Windows of whole texts, cut into pools of at most POOL."""
+    inputs, goals, size = [], [], 0
+    for _, found in slices(batches):
+        for text in found:
+            x, y = windows_of(symbols, subwords.ids(text.lower().split()))
+            for start in range(0, len(x), POOL):
+                inputs.append(x[start:start + POOL])
+                goals.append(y[start:start + POOL])
+                size += len(inputs[-1])
+                if size >= POOL:
+                    yield np.concatenate(inputs), np.concatenate(goals)
+                    inputs, goals, size = [], [], 0
+    if size:
+        yield np.concatenate(inputs), np.concatenate(goals)
+
+
+_PIECE = 1 << 14
+
+
+def _trained(ranks: dict, symbols: Symbols, model: Attention, rate: float, warm: int):
+    """A task's parameters after its documents, in pieces and times the number of its symbols."""
+
+    def run(batches):
+        total = model.train(_pools(batches, Subwords(ranks), symbols), rate, warm=warm)
+        flat = model.flat() * total
+        for piece in range(-(-len(flat) // _PIECE) if total else 0):
+            part = flat[piece * _PIECE:(piece + 1) * _PIECE]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([piece], pa.int32()), pa.array([total], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["piece", "n", "sums"]
+            )
+
+    return run
+
+
+def _add_up(batches):
+    sums: dict = {}
+    for batch in batches:
+        for piece, n, blob in zip(*(batch.column(c).to_pylist() for c in ("piece", "n", "sums"))):
+            held = sums.get(piece)
+            part = np.frombuffer(blob)
+            sums[piece] = (held[0] + n, held[1] + part) if held else (n, part)
+    for piece, (n, part) in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([piece], pa.int32()), pa.array([n], pa.int64()), pa.array([part.tobytes()], pa.binary())], ["piece", "n", "sums"]
+        )
+
+
+def _round(texts: DataFrame, ranks: dict, symbols: Symbols, model: Attention, rate: float, warm: int) -> int:
+    """Train on all partitions of ``texts`` at once from the same parameters, then take their weighted mean."""
+    schema = "piece int, n long, sums binary"
+    rows = texts.mapInArrow(_trained(ranks, symbols, model, rate, warm), schema).repartition("piece").mapInArrow(_add_up, schema).toArrow()
+    if not len(rows):
+        return 0
+    rows = rows.sort_by("piece")
+    model.load(np.concatenate([np.frombuffer(b) for b in rows.column("sums").to_pylist()]) / rows.column("n")[0].as_py())
+    return rows.column("n")[0].as_py()
+
+
+#: logarithmic differences between lexicon and model are counted in bins of 1/64
+_BINS, _FINE = 8192, 64
+
+
+def _differences(scorer_of):
+    def run(batches):
+        scorer, counts = scorer_of(), np.zeros(_BINS + 1, np.int64)
+        for _, found in slices(batches):
+            _, spelled, known = scorer.parts([text.lower().split() for text in found])
+            d = np.where(np.isfinite(known), known - spelled, -np.inf)
+            bins = np.where(np.isfinite(d), np.clip(np.floor(np.where(np.isfinite(d), d, 0) * _FINE) + _BINS // 2, 0, _BINS - 1), _BINS)
+            counts += np.bincount(bins.astype(np.int64), minlength=_BINS + 1)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some])], ["bin", "n"])
+
+    return run
+
+
+def _fit_share(texts: DataFrame, scorer_of, rounds: int = 12) -> float:
+    """The lexicon's share, by expectation and maximisation on whole texts that did not train the model."""
+    found = texts.mapInArrow(_differences(scorer_of), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toArrow()
+    bins, n = found.column("bin").to_numpy(), found.column("n").to_numpy()
+    ratio = np.where(bins == _BINS, 0.0, np.exp((bins - _BINS // 2 + 0.5) / _FINE))
+    share = 0.5
+    for _ in range(rounds if len(n) else 0):
+        share = float(np.clip((n * (share * ratio / (share * ratio + 1 - share))).sum() / n.sum(), 0.02, 0.98))
+    return share
+
+
+def train(texts: DataFrame, ranks: dict, counts: np.ndarray, lexicon: dict, end: float) -> tuple:
+    """(symbols, model, lexicon's share), learnt from all ``texts``, whole, in their tasks.
+
+    Each round every task starts from the same parameters, takes Adam steps over its documents of the
+    round, and the tasks' parameters are averaged by their numbers of symbols. The rounds of a pass
+    share the documents out by a hash, so each document trains once a pass.
+    """
+    last = max(ranks.values()) + 1
+    symbols = Symbols(counts, last)
     model = Attention(symbols.log_unigram)
-    if windows:
-        model.train(np.array(windows), np.array(goals), passes=max(1, min(3, max_subwords // max(total, 1))))
-    scorer = Scorer(ranks, symbols, model, lexicon, end)
-    scorer.fit_share(kept)
-    return scorer
+    lot = F.pmod(F.xxhash64("_id", "_slot", F.lit(7)), F.lit(SHARES * ROUNDS))
+    passes = max(1, min(MAX_PASSES, FEW_SUBWORDS // max(int(counts.sum()), 1)))
+    tasks = max(1, int(counts.sum()) // (SPAN * STEP * ROUNDS * LEAST_STEPS))
+    if tasks < texts.rdd.getNumPartitions():
+        texts = texts.coalesce(tasks)
+    rounds = ROUNDS if tasks > 1 else 1
+    for number in range(passes * rounds):
+        own = texts.filter((lot % SHARES != 0) & (F.floor(lot / SHARES) % rounds == number % rounds))
+        # later rounds start from trained parameters
+        _round(own, ranks, symbols, model, 6e-3 * (1 - 0.9 * number / (passes * rounds)), 1 if number else 20)
+    share = _fit_share(texts.filter(lot % SHARES == 0), lambda: Scorer(ranks, symbols, model, lexicon, end))
+    return symbols, model, share
 
 
 def _lexicon(parts: DataFrame, ends: int) -> tuple:
@@ -538,11 +648,12 @@ def _lexicon(parts: DataFrame, ends: int) -> tuple:
     return dict(zip(top.column("hash").to_numpy().view(np.uint64).tolist(), logs[:-1].tolist())), float(logs[-1])
 
 
-def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int = MAX_ROWS, max_subwords: int = MAX_SUBWORDS) -> DataFrame:
+def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int | None = None, max_subwords: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
-    Rows whose crc32(doc_id) mod 7 is not 2 train: all of them count for the word and subword counts,
-    about ``max_rows`` of them, chosen by a hash, fit the attention model. Null and empty texts consist
+    Rows whose crc32(doc_id) mod 7 is not 2 train: all of them count for the word and subword counts
+    and fit the attention model, each as a whole. Only a caller that asks for it, by ``max_rows`` documents
+    or ``max_subwords`` subwords, gets a model of about that many, chosen by a hash. Null and empty texts consist
     of their end. Words are separated by ASCII white space and A-Z is folded. Equal rows get equal
     scores; an empty table gives an empty result, and without training rows the model is uniform
     but for its initial weights.
@@ -559,10 +670,15 @@ def score(docs: DataFrame, tokenizer: str = TOKENIZER, max_rows: int = MAX_ROWS,
         _sum_up(), "unit long, hash long, n long, blob binary"
     )
     parts = materialize(parts, "parts")
-    sample = bounded_rows(rows.filter("trains").select("_id", "_slot", "text"), F.col("_id"), max_rows)
     ends = rows.filter("trains").count()
-    fitted = train(sample, ranks, counts, *_lexicon(parts, ends), max_subwords)
-    symbols, model, lexicon, end_log, share = fitted.symbols, fitted.model, fitted.lexicon, fitted.end, fitted.share
+    learnt = rows.filter("trains").select("_id", "_slot", "text")
+    if max_subwords is not None and counts.sum() > max_subwords:
+        bound = max(1, int(ends * max_subwords / counts.sum()))
+        max_rows = bound if max_rows is None else min(bound, max_rows)
+    if max_rows is not None:
+        learnt = bounded_rows(learnt, F.col("_id"), max_rows)
+    lexicon, end_log = _lexicon(parts, ends)
+    symbols, model, share = train(learnt, ranks, counts, lexicon, end_log)
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def apply(batches):

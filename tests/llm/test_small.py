@@ -549,6 +549,36 @@ def test_windows_score_each_symbol_once():
     assert total == pytest.approx(1, abs=1e-3)
 
 
+def test_all_documents_train_the_model_whole(spark, monkeypatch):
+    rng = random.Random(8)
+    made = [(i, " ".join(rng.choice("abcdefghij") * 3 for _ in range(n))) for i, n in enumerate([3000] + [5] * 5600)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    held = sum(zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in made)
+    seen, inner = [], lm._round
+    monkeypatch.setattr(lm, "MAX_PASSES", 1)
+    monkeypatch.setattr(lm, "SHARES", 5000, raising=False)
+    monkeypatch.setattr(lm, "_round", lambda texts, *rest: seen.append((texts.count(), inner(texts, *rest))))
+    counts = []
+    subwords = lm._subword_counts
+    monkeypatch.setattr(lm, "_subword_counts", lambda *rest: counts.append(subwords(*rest)) or counts[-1])
+    assert lm.score(docs).filter("score < 0").count() == len(made)
+    assert len(made) - held - 10 <= sum(n for n, _ in seen) <= len(made) - held
+    assert counts[0].sum() * 0.98 <= sum(n for _, n in seen) <= counts[0].sum()
+
+
+def test_training_in_tasks_lowers_the_loss(spark):
+    text = "the quick brown fox jumps over the lazy dog and " * 10
+    ranks = lm.read_ranks(lm.TOKENIZER)
+    ids = lm.Subwords(ranks).ids(text.encode().split())
+    counts = np.bincount(ids, minlength=max(ranks.values()) + 2) * 200
+    texts = spark.createDataFrame([(i, i, text) for i in range(200)], "_id long, _slot long, text string")
+    symbols, model, share = lm.train(texts, ranks, counts, {}, -5.0)
+    plain = lm.Attention(symbols.log_unigram)
+    model.prepare(), plain.prepare()
+    line = [symbols.of[ids]]
+    assert model.log_chances(line).mean() > plain.log_chances(line).mean() + 0.5 and 0.02 <= share < 0.5
+
+
 def test_lm_scores(docs, rows, empty):
     got = lm.score(docs, max_rows=50, max_subwords=20_000).collect()
     counts = Counter()
