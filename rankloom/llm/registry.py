@@ -1,6 +1,8 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
-from . import chat, decontamination, hnsw, licenses, lm, mixing, quality, simhash, suffixes, toxicity
+from . import (
+    chat, decontamination, fingerprint, hnsw, lexical, licenses, lm, mixing, quality, simhash, suffixes, toxicity,
+)
 
 QUERIES = {
     "op1_chat": chat.op1_chat,
@@ -13,5 +15,10 @@ QUERIES = {
     "op10_licenses": licenses.op10_licenses,
     "op7_lm": lm.op7_lm,
     "op8_decontamination": decontamination.op8_decontamination,
+    "op11_lexical": lexical.op11_lexical,
+    "op12_fingerprint": fingerprint.op12_fingerprint,
+}
+ORACLE = {
+    "op10_licenses": licenses.ORACLE, "op1_chat": chat.ORACLE, "op2_mixing": mixing.ORACLE,
+    "op11_lexical": lexical.ORACLE, "op12_fingerprint": fingerprint.ORACLE,
 }
-ORACLE = {"op10_licenses": licenses.ORACLE, "op1_chat": chat.ORACLE, "op2_mixing": mixing.ORACLE}
