@@ -1,7 +1,7 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
 from . import (
-    chat, decontamination, fingerprint, hnsw, lexical, licenses, lm, mixing, quality, simhash, suffixes, toxicity,
+    chat, collocations, decontamination, fingerprint, hnsw, lexical, licenses, lm, mixing, quality, simhash, suffixes, toxicity,
 )
 
 QUERIES = {
@@ -17,8 +17,10 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op11_lexical": lexical.op11_lexical,
     "op12_fingerprint": fingerprint.op12_fingerprint,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLE = {
     "op10_licenses": licenses.ORACLE, "op1_chat": chat.ORACLE, "op2_mixing": mixing.ORACLE,
     "op11_lexical": lexical.ORACLE, "op12_fingerprint": fingerprint.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
