@@ -173,6 +173,20 @@ def agreed_labels(labels: DataFrame, column: str) -> DataFrame:
     )
 
 
+def _sample(labels: DataFrame, max_rows: int) -> DataFrame:
+    """(doc_id, y) of the rows to learn from, about ``max_rows`` at most."""
+    known = agreed_labels(labels, "quality").filter(fold_hash("doc_id", FOLDS) != 0)
+    return bounded_rows(known, F.col("doc_id"), max_rows)
+
+
+def _fit(labelled: DataFrame) -> Trees:
+    """Trees for rows (doc_id, stats, y); of several texts with one id the one with the least statistics counts."""
+    training = labelled.groupBy("doc_id", "y").agg(F.min("stats").alias("stats")).toArrow()
+    order = np.argsort(training.column("doc_id").to_numpy(), kind="stable")
+    x = np.array(training.column("stats").to_pylist(), float).reshape(-1, len(STATISTICS))[order]
+    return fit_trees(x, training.column("y").to_numpy().astype(float)[order])
+
+
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
@@ -182,12 +196,8 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshol
     scored by their (zero) statistics; equal texts get equal scores; repeated ids keep their rows.
     """
     stats = materialize(document_statistics(docs), "statistics")
-    known = agreed_labels(labels, "quality").filter(fold_hash("doc_id", FOLDS) != 0)
-    sample = bounded_rows(known, F.col("doc_id"), max_rows)
-    training = stats.join(sample, "doc_id").groupBy("doc_id", "y").agg(F.first("stats").alias("stats")).toArrow()
-    order = np.argsort(training.column("doc_id").to_numpy(), kind="stable")
-    x = np.array(training.column("stats").to_pylist(), float).reshape(-1, len(STATISTICS))[order]
-    model = fit_trees(x, training.column("y").to_numpy().astype(float)[order])
+    sample = _sample(labels, max_rows)
+    model = _fit(stats.join(sample, "doc_id"))
     kind = stats.schema["doc_id"].dataType.simpleString()
 
     def apply(batches):
@@ -204,10 +214,22 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshol
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` whose text is not rejected. A doc_id with several texts goes only if all are rejected."""
-    judged = score(docs, labels, max_rows, threshold)
-    kept = judged.groupBy("doc_id").agg(F.max("predicted").alias("_kept")).filter("_kept = 0").select("doc_id")
-    return docs.join(kept, "doc_id", "left_anti")
+    """Rows of ``docs`` whose own text is not rejected.
+
+    The model is that of ``score``.  Each row is judged where it is read and only its text visits a
+    Python worker, so nothing is shuffled.  Rows that share a doc_id, also a null one, are judged one
+    by one.
+    """
+    sample = _sample(labels, max_rows)
+    model = _fit(document_statistics(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).join(sample, "doc_id"))
+
+    @F.arrow_udf("double")
+    def judged(texts_):
+        found = [statistics(text.as_py() or b"") for text in texts_.cast(pa.large_binary())]
+        values = np.array(found, float).reshape(-1, len(STATISTICS))
+        return pa.array(np.concatenate([model.probability(values[i:i + 4096]) for i in range(0, len(values), 4096)] or [[]]))
+
+    return docs.filter(judged(F.col("text")) >= threshold)
 
 
 def op4_quality(spark, sf_dir):

@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rankloom.operators.sizing import salted_join
+from rankloom.operators.sizing import lookup_join, salted_join
 
 from .components import components
 from .shared import fits, materialize, slices, table, texts
@@ -28,6 +28,8 @@ HOT_ANCHOR = 20_000
 PIECES = (0, 16, 32, 48)
 #: copies of one fingerprint beyond which its rows are split over tasks
 HOT_COPIES = 100_000
+#: ids that are sent to the documents to drop them, eight bytes each; more are joined by shuffling
+MAX_GONE = 8_000_000
 _HASHES = 1 << 16
 
 
@@ -208,7 +210,8 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     Rows with a null doc_id stay, because they cannot be told from one another.
     """
     gone = near_duplicates(docs, shingle, max_bits).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    # ids only: within the measured bound they are sent to the rows, and no text moves
+    return lookup_join(docs, materialize(gone, "gone"), ["doc_id"], ["doc_id"], "left_anti", max_rows=MAX_GONE)
 
 
 def op5_simhash(spark, sf_dir):
