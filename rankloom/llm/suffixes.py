@@ -484,9 +484,9 @@ def _with_ranges(docs: DataFrame, depth: int) -> DataFrame:
     """Rows of ``docs``, the text packed as _z, with all their ranges."""
     rows = keyed(docs)
     # equal rows share their ranges, so a set is enough however often a row is repeated
-    ranges = removed_ranges(rows, depth).groupBy("_id").agg(F.collect_set(F.struct("_slot", "start", "end")).alias("_ranges"))
-    packed = rows.withColumn("_z", F.pandas_udf(_squeeze, "binary")("text")).drop("text").join(ranges, "_id", "left")
-    return packed.withColumn("_ranges", F.filter("_ranges", lambda r: r["_slot"] == F.col("_slot")))
+    ranges = removed_ranges(rows, depth).groupBy("_id", "_slot").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
+    packed = rows.withColumn("_z", F.pandas_udf(_squeeze, "binary")("text")).drop("text")
+    return packed.join(ranges, ["_id", "_slot"], "left")
 
 
 def digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
