@@ -81,7 +81,7 @@ def solve(cells: DataFrame, tolerance: float = TOLERANCE, max_steps: int = MAX_S
     return state.withColumn("rate", F.when(live, F.exp("lambda")).otherwise(F.lit(0.0))).drop("lambda")
 
 
-def _copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
+def _copies(rows: DataFrame, rates: DataFrame, max_copies: int) -> DataFrame:
     """Whole copies of each document, and one more up to the threshold in the source's order.
 
     The order is cut into bins by its first digits. Bins are summed before anything meets; whole bins are
@@ -110,7 +110,7 @@ def _copies(rows: DataFrame, rates: DataFrame) -> DataFrame:
     within = Window.partitionBy("_source", "_bin").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.col("before") + F.sum("size").over(within) - F.col("size") / 2
     border = known.filter("more IS NULL").withColumn("more", (reach <= F.col("extra")).cast("int"))
-    return settled.unionByName(border).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(MAX_COPIES)))
+    return settled.unionByName(border).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(max_copies)))
 
 
 def mix(docs: DataFrame, cycle: tuple = (1, 2, 3), max_copies: int = MAX_COPIES) -> DataFrame:
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, cycle: tuple = (1, 2, 3), max_copies: int = MAX_COPIES)
     rows = materialize(sized(docs), "sized")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     rates = solve(share_out(weigh(sources, cycle), max_copies))
-    return _copies(rows, rates).select(
+    return _copies(rows, rates, max_copies).select(
         "doc_id", "source", "size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"),
         (F.col("size") * F.col("copies")).alias("taken"),
     )
