@@ -4,7 +4,26 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+# Ranges of ideographs and hiragana, which are written without blanks.
+IDEOGRAPHS = r"\u2E80-\u2FDF\u3005\u3007\u3021-\u3029\u3038-\u303B\u3041-\u309F\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+# Characters that join two letters, and those that join two digits.
+BETWEEN_LETTERS, BETWEEN_DIGITS = ".'\u2019:\u00B7", ".'\u2019,;"
+
+
+def _word_pattern() -> str:
+    """A word: letters, digits, their combining marks and low lines, from a letter or digit on.
+
+    One of BETWEEN_LETTERS between two letters and one of BETWEEN_DIGITS between two digits belongs to
+    the word; an ideograph is a word of its own.  ASCII is named first because it is the usual case.
+    """
+    start = rf"[a-zA-Z0-9[\p{{L}}\p{{N}}&&[^{IDEOGRAPHS}]]]"
+    inner = rf"[a-zA-Z0-9_[\p{{L}}\p{{N}}\p{{M}}&&[^{IDEOGRAPHS}]]]"
+    joint = rf"(?:[{BETWEEN_LETTERS}](?<=[\p{{L}}\p{{M}}].)(?=\p{{L}})|[{BETWEEN_DIGITS}](?<=\p{{N}}.)(?=\p{{N}}))"
+    # possessive: a long chain of joints must not nest
+    return rf"{start}{inner}*+(?:{joint}{inner}++)*+|[{IDEOGRAPHS}&&[\p{{L}}\p{{N}}]]\p{{M}}*+"
+
+
+WORD = _word_pattern()
 
 # The English stop words of the default "stop" filter.
 STOP_WORDS = (

@@ -4,7 +4,7 @@ The two sides differ on purpose.  The index keeps accents and stop words; the qu
 folds accents, expands synonyms and then drops stop words.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import STOP_WORDS, ascii_fold as fold_column, term_counts, tokens
 from .sizing import lookup_join
@@ -31,13 +31,66 @@ def query_tokens(queries: DataFrame, fold: bool = True) -> DataFrame:
     return queries.select("query_id", F.posexplode(tokens(text)).alias("position", "token"))
 
 
+def synonym_runs(query_terms: DataFrame, inputs: DataFrame) -> DataFrame:
+    """``query_id, position, words, lhs``: where queries hold rule inputs of several tokens.
+
+    ``inputs`` has the column ``lhs``, tokens joined by blanks.  Queries are read from left to right;
+    of the inputs that begin at a position the longest is taken, and the next one begins after it.
+    Only tokens that occur in such an input move, so queries without any cost one semi join.
+    """
+    several = inputs.select("lhs", F.split("lhs", " ").alias("parts")).filter(F.size("parts") > 1).distinct()
+    longest = several.agg(F.max(F.size("parts"))).first()[0] or 0
+    members = several.select(F.explode("parts").alias("token")).distinct()
+    tokens_ = query_terms.select("query_id", "position", "token").distinct()
+    kept = lookup_join(tokens_, members, ["token"], ["query_id", "position"], "left_semi")
+    ahead = Window.partitionBy("query_id").orderBy("position")
+    # the tokens that follow without a gap
+    following = [
+        F.when(F.lead("position", n).over(ahead) == F.col("position") + n, F.lead("token", n).over(ahead))
+        for n in range(1, longest)
+    ]
+    runs = kept.withColumn("words", F.array("token", *following)).select(
+        "query_id", "position", F.explode(F.transform(
+            F.sequence(F.lit(2), F.greatest(F.lit(2), F.size("words"))), lambda n: F.slice("words", 1, n))).alias("words"),
+    )
+    runs = runs.filter(~F.exists("words", lambda w: w.isNull())).select(
+        "query_id", "position", F.size("words").alias("words"), F.array_join("words", " ").alias("lhs"),
+    )
+    found = lookup_join(runs, several.select("lhs"), ["lhs"], ["query_id", "position"], "left_semi")
+    # the matches of one query, longest first at each position
+    match = F.struct("position", (-F.col("words")).alias("rank"), "words", "lhs")
+    chosen = F.aggregate(
+        "matches",
+        F.struct(F.lit(-1).cast("long").alias("last"), F.filter("matches", lambda m: F.lit(False)).alias("taken")),
+        lambda state, m: F.when(
+            m["position"] > state["last"],
+            F.struct((m["position"] + m["words"] - 1).cast("long").alias("last"), F.array_append(state["taken"], m).alias("taken")),
+        ).otherwise(state),
+        lambda state: state["taken"],
+    )
+    return (
+        found.groupBy("query_id").agg(F.array_sort(F.collect_list(match)).alias("matches"))
+        .select("query_id", F.inline(chosen)).drop("rank")
+    )
+
+
 def synonym_expand(query_terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Replace tokens by their synonyms at the same position.
 
-    A token without a rule stays; one with several rules gets the union.  Outputs are
-    not expanded again.
+    A token without a rule stays; one with several rules gets the union.  Outputs are not expanded
+    again.  A run of tokens that is an input of its own is replaced as a whole, before its tokens are
+    looked at: the outputs take its first position and its other positions hold nothing.
     """
     rules = synonyms.select(F.col("lhs").alias("token"), "rhs")
+    several = synonyms.select("lhs").filter(F.contains("lhs", F.lit(" "))).distinct()
+    if not several.isEmpty():
+        runs = synonym_runs(query_terms, several)
+        covered = runs.select("query_id", F.explode(F.sequence("position", F.col("position") + F.col("words") - 1)).alias("position"))
+        # one row for each token inside a run of several, which the rules bound but queries repeat
+        rest = lookup_join(query_terms, covered, ["query_id", "position"], ["token"], "left_anti")
+        query_terms = rest.select("query_id", "position", "token").unionByName(
+            runs.select("query_id", "position", F.col("lhs").alias("token"))
+        )
     return (
         lookup_join(query_terms, rules, ["token"], ["query_id", "position"], "left")
         .select(

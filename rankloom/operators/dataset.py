@@ -3,7 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.html import decode_entities, html_text
+from ..functions.links import resolve
 from ..schema import CANONICAL_ORDER
+from ..workspace import materialize
+from .sizing import fits
 
 # The first substring found in a URL names its technology.
 TECHNOLOGY_RULES = (
@@ -40,19 +43,50 @@ def _shuffled(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
 
 
-def stratified_topn(df: DataFrame, group: str, key: str, n: int = 10, seed: str = "") -> DataFrame:
-    """At most ``n`` random rows per group.
+def _first_by_hash(df: DataFrame, group: str, key: str, n: int, seed: str, edge_rows: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest hashes, found by a threshold on the hashes.
 
-    The row limit is applied on the map side before the shuffle, so a group holding
-    most of the table sends only ``n`` rows per task.
+    Counts by leading digits tell in which range of hashes the n-th row of a group lies; the range is
+    narrowed, three digits at a time, until few rows are left in it.  Rows below it are filtered where
+    they are read; only those inside it are ranked, so no task holds ``n`` rows.
     """
-    order = Window.partitionBy(group).orderBy(_shuffled(key, seed), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
+    hashed = df.withColumn("_h", F.coalesce(_shuffled(key, seed), F.lit("0" * 32)))  # null keys come first
+    same = hashed[group].eqNullSafe(F.col("_group"))
+    edge = None
+    for digits in range(3, 33, 3):
+        rest = hashed.withColumn("_need", F.lit(n)) if edge is None else hashed.join(
+            F.broadcast(edge) if fits(edge) else edge, same & F.startswith("_h", "_prefix")
+        ).drop("_group", "_prefix", "_rows")
+        counts = rest.groupBy(F.col(group).alias("_group"), F.substring("_h", 1, digits).alias("_prefix")).agg(
+            F.count("*").alias("_rows"), F.max("_need").alias("_need")
+        )
+        upto = F.sum("_rows").over(Window.partitionBy("_group").orderBy("_prefix"))
+        found = counts.withColumn("_need", F.col("_need") - (upto - F.col("_rows")))
+        edge = materialize(found.filter((F.col("_need") > 0) & (F.col("_need") <= F.col("_rows"))), "edge")
+        if (edge.agg(F.max("_rows")).first()[0] or 0) <= edge_rows:
+            break
+    # a group without an edge has fewer than n rows and stays whole
+    joined = hashed.join(F.broadcast(edge) if fits(edge) else edge, same, "left")
+    inside = F.startswith("_h", "_prefix")
+    sure = joined.filter(F.col("_prefix").isNull() | ((F.col("_h") < F.col("_prefix")) & ~inside))
+    order = Window.partitionBy(group).orderBy("_h", key)
+    near = joined.filter(inside).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= F.col("_need"))
+    return sure.select(*df.columns).unionByName(near.select(*df.columns))
+
+
+def stratified_topn(
+    df: DataFrame, group: str, key: str, n: int = 10, seed: str = "", edge_rows: int = 10_000,
+) -> DataFrame:
+    """At most ``n`` random rows per group; a null group is one of its own.
+
+    Rows with one key share their place, so which of them are taken is open.
+    """
+    return _first_by_hash(df, group, key, n, seed, edge_rows)
 
 
-def sample_n(df: DataFrame, key: str, n: int, seed: str = "") -> DataFrame:
+def sample_n(df: DataFrame, key: str, n: int, seed: str = "", edge_rows: int = 10_000) -> DataFrame:
     """``n`` random rows without replacement; a shorter table comes back whole."""
-    return df.orderBy(_shuffled(key, seed), F.col(key)).limit(n)
+    return _first_by_hash(df.withColumn("_all", F.lit(0)), "_all", key, n, seed, edge_rows).drop("_all")
 
 
 def split_tags(df: DataFrame, column: str = "tags", into: str = "tag_list") -> DataFrame:
@@ -120,16 +154,26 @@ def page_metadata(pages: DataFrame) -> DataFrame:
     })
 
 
+_HREF = r"""href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def _unquoted(value: Column) -> Column:
+    return decode_entities(F.regexp_replace(value, r"""(?s)^["'](.*)["']$""", "$1"))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """One row per link target of each page, repeated links kept.
 
     Targets stand in double, single or no quotes; entities in them are decoded, empty ones left out.
+    ``target`` is the absolute address: the link resolved against ``<base href>``, which may itself
+    be relative to ``url``, or against ``url`` alone.
     """
-    pattern = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    links = F.regexp_extract_all(F.col("html"), F.lit(pattern), F.lit(1))
-    found = pages.select("page_id", "url", F.explode(links).alias("link"))
-    bare = F.regexp_replace("link", r"""^["'](.*)["']$""", "$1")
-    return found.withColumn("link", decode_entities(bare)).filter(F.col("link") != "")
+    links = F.regexp_extract_all(F.col("html"), F.lit(rf"(?i)<a\s(?:[^>]*?\s)?{_HREF}"), F.lit(1))
+    stated = F.regexp_extract("html", rf"(?i)<base\s(?:[^>]*?\s)?{_HREF}", 1)
+    base = F.when(stated == "", F.col("url")).otherwise(resolve(F.col("url"), _unquoted(stated)))
+    found = pages.withColumn("_base", base).select("page_id", "url", "_base", F.explode(links).alias("link"))
+    found = found.withColumn("link", _unquoted(F.col("link"))).filter(F.col("link") != "")
+    return found.withColumn("target", resolve(F.col("_base"), F.col("link"))).drop("_base")
 
 
 def cast_id(df: DataFrame) -> DataFrame:

@@ -21,6 +21,8 @@ from .sizing import MAX_BROADCAST_ROWS, fits, lookup_join, salted_join
 FIELD_BOOSTS = {"title": 2.0, "content": 1.0, "tags": 1.0}
 MIN_SHOULD_MATCH = 0.75
 TERM_BUCKETS = 256
+LEVELS = 16  # blocks of a term for each unit of contribution
+SEED_POSTINGS = 20  # postings scored for each wanted hit before the rest is bounded
 HOT_TERM = 1_000_000  # postings of one term that a single task may hold
 
 
@@ -31,6 +33,25 @@ class TextIndex:
     postings: DataFrame
     term_stats: DataFrame
     field_stats: DataFrame
+    levels: DataFrame = None
+
+
+def impact_levels(index: "TextIndex") -> DataFrame:
+    """``field, term, level, n, peak``: the postings of a term in blocks of similar contribution.
+
+    The contribution of a posting without its term's weight is below ``K1 + 1``; ``level`` counts its
+    sixteenths and ``peak`` is the largest of the block.  A term has a few dozen blocks at most.
+    """
+    rows = index.postings.filter((F.col("term") != LENGTH_MARK) & F.col("dl").isNotNull())
+    rows = rows.join(F.broadcast(index.field_stats), "field")  # one row per field
+    part = scores.tf_norm(F.col("tf"), F.col("dl") / F.col("avgdl"))
+    return rows.select("field", "term", part.alias("part")).groupBy("field", "term", _level(F.col("part")).alias("level")).agg(
+        F.count("*").alias("n"), F.max("part").alias("peak")
+    )
+
+
+def _level(part: Column) -> Column:
+    return F.floor(part * LEVELS).cast("int")
 
 
 def text_index(docs: DataFrame, fold_index: bool = False) -> TextIndex:
@@ -60,11 +81,13 @@ def write_index(docs: DataFrame, path: str) -> None:
     stored = docs.sparkSession.read.parquet(f"{path}/postings")
     term_stats(stored).write.parquet(f"{path}/term_stats")
     field_stats(stored).write.parquet(f"{path}/field_stats")
+    written = TextIndex(stored, None, docs.sparkSession.read.parquet(f"{path}/field_stats"))
+    impact_levels(written).write.parquet(f"{path}/levels")
 
 
 def read_index(spark, path: str) -> TextIndex:
     """Open a stored index."""
-    return TextIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "field_stats")])
+    return TextIndex(*[spark.read.parquet(f"{path}/{t}") for t in ("postings", "term_stats", "field_stats", "levels")])
 
 
 # ---------------------------------------------------------------------------
@@ -135,11 +158,11 @@ def weigh_terms(terms: DataFrame, index: TextIndex) -> DataFrame:
     # the vocabulary may be large, the query terms are brought to it when measured small
     found = lookup_join(index.term_stats, terms, ["field", "term"], ["field", "term"])
     return (
-        found.withColumns({"df": F.max("df").over(per_clause), "lone": F.count("*").over(per_clause) == 1})
+        found.withColumns({"df": F.max("df").over(per_clause), "own_df": F.col("df"), "lone": F.count("*").over(per_clause) == 1})
         .join(fields, "field")
         .select(
             "query_id", "clause", "field", "term", "boost", "expanded", "lone", "times", "needed",
-            (F.col("times") * scores.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl",
+            (F.col("times") * scores.idf(F.col("n_docs"), F.col("df"))).alias("weight"), "avgdl", "own_df",
         )
     )
 
@@ -161,16 +184,22 @@ def narrowed_index(docs: DataFrame, terms: DataFrame, fields=None, fold_index: b
     return TextIndex(kept, term_stats(kept), field_stats(kept))
 
 
+def _used_postings(index: TextIndex, weighted: DataFrame, small: bool) -> DataFrame:
+    """Postings without length marks; those of a stored index only from the buckets of the terms."""
+    rows = index.postings.filter(F.col("term") != LENGTH_MARK).drop("filled")
+    if "bucket" not in rows.columns:
+        return rows
+    # naming the bucket lets partition pruning skip the files of all other terms
+    used = weighted.select("field", "term").distinct().withColumn("bucket", _bucket(F.col("term")))
+    used = F.broadcast(used) if small else used
+    return rows.join(used, ["bucket", "field", "term"], "left_semi").drop("bucket")
+
+
 def _matches(index: TextIndex, weighted: DataFrame, max_rows: int) -> DataFrame:
     """Postings joined with weighted query terms, partitioned by document."""
     keys = ["field", "term"]
-    rows = index.postings.filter(F.col("term") != LENGTH_MARK).drop("filled")
     small = fits(weighted, max_rows)
-    if "bucket" in rows.columns:
-        # naming the bucket lets partition pruning skip the files of all other terms
-        used = weighted.select(*keys).distinct().withColumn("bucket", _bucket(F.col("term")))
-        used = F.broadcast(used) if small else used
-        rows = rows.join(used, ["bucket", *keys], "left_semi").drop("bucket")
+    rows = _used_postings(index, weighted, small)
     if small:
         return rows.repartition("id").join(F.broadcast(weighted), keys)
     hot = index.term_stats.filter(F.col("df") > HOT_TERM).select(
@@ -179,15 +208,61 @@ def _matches(index: TextIndex, weighted: DataFrame, max_rows: int) -> DataFrame:
     return salted_join(rows, weighted, keys, ["id"], "inner", hot=hot)
 
 
-def field_scores(index: TextIndex, weighted: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def leading_terms(weighted: DataFrame) -> DataFrame:
+    """``query_id, field, term`` of the clauses without which a field cannot match enough positions.
+
+    Clauses are taken from the most frequent on while their positions stay below ``needed``.  A
+    document that holds only such clauses matches too few, so it has to hold one of the others,
+    the rarest.  Where all present clauses together stay below ``needed``, none is left.
+    """
+    clauses = weighted.groupBy("query_id", "field", "clause").agg(
+        F.sum("own_df").alias("df"), F.max("times").alias("times"), F.max("needed").alias("needed")
+    )
+    frequent_first = Window.partitionBy("query_id", "field").orderBy(F.desc("df"), "clause")
+    running = F.sum("times").over(frequent_first.rowsBetween(Window.unboundedPreceding, 0))
+    leading = clauses.withColumn("reached", running).filter(F.col("reached") >= F.col("needed"))
+    return weighted.join(leading.select("query_id", "field", "clause"), ["query_id", "field", "clause"]).select(
+        "query_id", "field", "term"
+    )
+
+
+def candidates(index: TextIndex, weighted: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Distinct ``query_id, id, field`` that can pass the 75 % rule: those that hold a leading term."""
+    leading = materialize(leading_terms(weighted), "leading")
+    return _matches(index, leading, max_rows).select("query_id", "id", "field").distinct()
+
+
+def candidate_matches(
+    index: TextIndex, weighted: DataFrame, found: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """Postings of the candidates (``query_id, id, field``) with the weighted terms of their queries.
+
+    Each candidate looks up the terms of its query, so the work is candidates times terms, not
+    postings times queries.
+    """
+    keys = ["id", "field", "term"]
+    found = materialize(found, "candidates")
+    wanted = lookup_join(found, weighted, ["query_id", "field"], ["id"], max_rows=max_rows)
+    rows = _used_postings(index, weighted, fits(weighted, max_rows))
+    if fits(wanted, max_rows):
+        return rows.join(F.broadcast(wanted), keys)
+    rows = lookup_join(rows, found.select("id", "field").distinct(), ["id", "field"], ["term"], "left_semi", max_rows)
+    return rows.join(wanted, keys)
+
+
+def field_scores(
+    index: TextIndex, weighted: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, found: DataFrame = None,
+) -> DataFrame:
     """BM25 per query, document and field with the number of matched positions.
 
     Terms of a synonym clause count as one term: their frequencies add up.  Close terms of
     a fuzzy clause score one by one, each with its boost.  Clauses with a single term need
-    no grouping of their own and share the group 0 of their document.
+    no grouping of their own and share the group 0 of their document.  With ``found``, only
+    these candidates (``query_id, id, field``) are scored.
     """
     ratio = F.col("dl") / F.col("avgdl")
-    pairs = _matches(index, weighted, max_rows).select(
+    matches = _matches(index, weighted, max_rows) if found is None else candidate_matches(index, weighted, found, max_rows)
+    pairs = matches.select(
         "query_id", "id", "field", F.when(F.col("lone"), 0).otherwise(F.col("clause")).alias("clause"),
         "lone", "expanded", "times", "needed", "tf", "weight", ratio.alias("ratio"),
         (F.col("weight") * F.col("boost") * scores.tf_norm(F.col("tf"), ratio)).alias("part"),
@@ -266,4 +341,60 @@ def multi_match(
         terms = clause_terms(clauses)
     index = index or narrowed_index(docs, terms, fold_index=fold_index)
     weighted = materialize(weigh_terms(terms, index), "weights")
-    return best_fields(min_should_match(field_scores(index, weighted)))
+    return best_fields(min_should_match(field_scores(index, weighted, found=candidates(index, weighted))))
+
+
+def kept_levels(index: TextIndex, weighted: DataFrame, k: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``query_id, field, term, least, n, kept``: from which level on the postings of each term give candidates.
+
+    Documents of the terms with the largest contributions are scored first; the k-th best of them is a
+    score that a hit has to reach.  Then postings are left out, those of frequent terms first, while
+    the largest contributions of what is left out add up to less: a document that occurs there only
+    cannot be among the best.  Of the term at the border the lower levels go.  ``n`` counts the
+    postings of the term and ``kept`` those that stay; a term that is left out whole has no row.
+    """
+    gains = weighted.groupBy("query_id", "field", "term").agg(F.sum(F.col("weight") * F.col("boost")).alias("gain"))
+    levels = index.levels if index.levels is not None else impact_levels(index)
+    blocks = lookup_join(levels, gains, ["field", "term"], ["level"], max_rows=max_rows).select(
+        "query_id", "field", "term", "level", "n", (F.col("gain") * F.col("peak")).alias("top")
+    )
+    blocks = materialize(blocks, "blocks")
+    terms = blocks.groupBy("query_id", "field", "term").agg(F.sum("n").alias("df"), F.max("top").alias("most"))
+    strong = Window.partitionBy("query_id").orderBy(F.desc("most"), "field", "term").rowsBetween(Window.unboundedPreceding, -1)
+    seeds = terms.withColumn("before", F.coalesce(F.sum("df").over(strong), F.lit(0))).filter(F.col("before") < SEED_POSTINGS * k)
+    seeds = materialize(seeds.select("query_id", "field", "term"), "seeds")
+    first = _matches(index, seeds, max_rows).select("query_id", "id", "field").distinct()
+    scored = field_scores(index, weighted, max_rows, first)
+    floor = topk_per_query(scored, k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("hits"))
+    # scores are compared after rounding to six digits
+    floor = floor.filter(F.col("hits") == k).select("query_id", (F.col("floor") - 2e-6).alias("floor"))
+    frequent = Window.partitionBy("query_id").orderBy(F.desc("df"), "field", "term")
+    bounded = terms.withColumn("upto", F.sum("most").over(frequent.rowsBetween(Window.unboundedPreceding, 0)))
+    bounded = lookup_join(bounded, floor, ["query_id"], ["term"], "left", max_rows)
+    bounded = bounded.withColumn("room", F.col("floor") - (F.col("upto") - F.col("most"))).filter(
+        F.col("floor").isNull() | (F.col("upto") >= F.col("floor"))
+    )
+    left = blocks.join(bounded.select("query_id", "field", "term", "room", "df"), ["query_id", "field", "term"])
+    left = left.filter(F.col("room").isNull() | (F.col("top") >= F.col("room")))
+    return left.groupBy("query_id", "field", "term").agg(
+        F.min("level").alias("least"), F.max("df").alias("n"), F.sum("n").alias("kept")
+    )
+
+
+def bm25_topk(
+    index: TextIndex, analyzed: DataFrame, k: int, field: str = "content", max_rows: int = MAX_BROADCAST_ROWS,
+) -> DataFrame:
+    """The ``k`` best documents per query by plain BM25 over one field, without scoring every match.
+
+    The result is that of ``topk_per_query`` over ``bm25``; postings whose blocks cannot lift a
+    document into it are never looked at.
+    """
+    terms = clause_terms(materialize(query_clauses(analyzed, (field,)), "clauses"))
+    weighted = materialize(weigh_terms(terms, index), "weights")
+    least = materialize(kept_levels(index, weighted, k, max_rows), "least")
+    part = scores.tf_norm(F.col("tf"), F.col("dl") / F.col("avgdl"))
+    averages = F.broadcast(index.field_stats.select("field", "avgdl"))
+    found = _matches(index, least.select("query_id", "field", "term", "least"), max_rows).join(averages, "field")
+    found = found.filter(_level(part) >= F.col("least")).select("query_id", "id", "field").distinct()
+    scored = field_scores(index, weighted, max_rows, found)
+    return topk_per_query(scored.select("query_id", "id", F.round("score", 6).alias("score")), k)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import WORD, bind
 from .sizing import fits, lookup_join, salted_join
 
-PIECES = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+PIECES = rf"{WORD}|[^\p{{L}}\p{{N}}]+"
 HIT_FIELDS = [
     "id", "title", "content", "file_type", "language", "tags", "created_at",
     "github_stars", "view_count", "popularity_score", "freshness_score", "source",

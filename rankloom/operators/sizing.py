@@ -76,7 +76,7 @@ def salted_join(
 
     Rows of a hot key get a salt from a hash of ``spread_by``; the matching rows of
     ``other`` are repeated once per salt.  Keys that are not hot are left alone, so
-    only the few hot keys cost extra rows.  ``how`` may be inner, left or left_semi.
+    only the few hot keys cost extra rows.  ``how`` may be inner, left, left_semi or left_anti.
     """
     hot = hot_keys(big, keys, target_rows) if hot is None else hot
     # the hot-key list is bounded by rows/target_rows; it is broadcast only if measured small

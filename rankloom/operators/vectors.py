@@ -3,22 +3,30 @@
 Exact search scores blocks of the corpus with one matrix product per Arrow batch and
 keeps the best k rows per query and task, so no (query, document) pair table exists.
 Queries travel to the corpus when they are measured small; larger query sets use a grid
-of bounded blocks instead.
+of bounded blocks instead.  Approximate search joins queries and documents by buckets
+of sign signatures and compares only pairs that share one.
 """
 
+from dataclasses import dataclass
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.arrays import l2_normalize
 from ..functions.text import tokens
 from ..schema import EMBEDDING_DIM
+from ..workspace import materialize
 from .lexical import topk_per_query
-from .sizing import fits
+from .sizing import MAX_BROADCAST_BYTES, lookup_join
 
 MAX_QUERY_BLOCK = 4096
 CORPUS_BLOCK = 65_536
+#: vectors around which others are gathered, and how many rows call for one more of them
+MAX_PIVOTS = 1024
+PIVOT_ROWS = 512
+MAX_TABLES = 48
+MAX_BITS = 16
 FILTERS = {"filter_language": "language", "filter_source": "source", "filter_file_type": "file_type"}
 
 
@@ -129,13 +137,23 @@ def normalize_rows(df: DataFrame, column: str = "embedding") -> DataFrame:
 # block scoring (runs inside tasks)
 
 
-def _block_scorer(k, threshold, filters, planes):
+def _block_scorer(k, threshold, filters, size):
     """Function ``(docs table, queries table) -> result table`` for one block pair.
 
     Self-contained so that it reaches Python workers by value.  ``k`` keeps the best k rows
-    per query, ``threshold`` keeps every row at or above it.  ``planes`` restricts each
-    query to documents sharing one of its sign signatures.
+    per query, ``threshold`` keeps every row at or above it.  Rows without a vector match
+    nothing; a vector of another length than ``size`` fails the job with its length.
     """
+    def checked(table, name):
+        import pyarrow.compute as pc
+
+        table = table.filter(pc.is_valid(table.column(name)))
+        lengths = pc.list_value_length(table.column(name))
+        wrong = lengths.filter(pc.not_equal(lengths, size))
+        if len(wrong):
+            raise ValueError(f"a vector of length {size} was expected, not {wrong[0].as_py()}")
+        return table
+
     def unit_rows(column):
         import numpy as np
 
@@ -147,41 +165,35 @@ def _block_scorer(k, threshold, filters, planes):
         return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0), length[:, 0] > 0
 
     def allowed(docs, queries):
+        """Which documents (columns) each query (row) may see, by codes of the filter values."""
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
         mask = np.ones((queries.num_rows, docs.num_rows), dtype=bool)
         if filters is None:
             return mask
-        wanted = {name: queries.column(name).to_pylist() for name in [*filters, "date_from", "date_to"]}
-        values = {name: np.asarray(docs.column(name).to_pylist(), dtype=object) for name in filters.values()}
-        created = np.asarray([np.nan if t is None else t.timestamp() for t in docs.column("created_at").to_pylist()])
-        for row in range(queries.num_rows):
-            for name, field in filters.items():
-                if wanted[name][row]:
-                    mask[row] &= np.isin(values[field], wanted[name][row])
-            low, high = wanted["date_from"][row], wanted["date_to"][row]
-            if low is not None:
-                mask[row] &= created >= low.timestamp()
-            if high is not None:
-                mask[row] &= created <= high.timestamp()
-        return mask
-
-    def signatures(matrix):
-        import numpy as np
-
-        tables, bits = planes.shape[0], planes.shape[1]
-        side = np.einsum("nd,tbd->ntb", matrix, planes) >= 0
-        return (side @ (1 << np.arange(bits))).reshape(len(matrix), tables)
-
-    def near(doc_rows, query_rows):
-        import numpy as np
-
-        doc_sig, query_sig = signatures(doc_rows), signatures(query_rows)
-        mask = np.zeros((len(query_rows), len(doc_rows)), dtype=bool)
-        for table in range(planes.shape[0]):
-            for bit in range(-1, planes.shape[1]):  # own bucket, then those one bit away
-                probe = query_sig[:, table] ^ (0 if bit < 0 else 1 << bit)
-                mask |= probe[:, None] == doc_sig[None, :, table]
+        for name, field in filters.items():
+            coded = docs.column(field).combine_chunks().dictionary_encode()
+            codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
+            lists = queries.column(name).combine_chunks()
+            sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+            place = pc.index_in(lists.flatten(), value_set=coded.dictionary)
+            known = place.is_valid().to_numpy(zero_copy_only=False)
+            wanted = np.zeros((len(sizes), len(coded.dictionary) + 1), dtype=bool)  # the last one is null
+            wanted[np.repeat(np.arange(len(sizes)), sizes)[known], place.drop_null().to_numpy()] = True
+            wanted[sizes == 0] = True
+            mask &= wanted[:, codes]
+
+        def moments(column, missing):
+            times = column.combine_chunks().cast(pa.timestamp("us", "UTC")).cast(pa.int64())
+            return times.fill_null(missing).to_numpy(), times.is_null().to_numpy(zero_copy_only=False)
+
+        low, no_low = moments(queries.column("date_from"), -(1 << 62))
+        high, no_high = moments(queries.column("date_to"), 1 << 62)
+        created, unknown = moments(docs.column("created_at"), 0)
+        mask &= (created >= low[:, None]) & (created <= high[:, None])
+        mask[np.ix_(~(no_low & no_high), unknown)] = False
         return mask
 
     def best_of(values):
@@ -203,6 +215,7 @@ def _block_scorer(k, threshold, filters, planes):
         import numpy as np
         import pyarrow as pa
 
+        docs, queries = checked(docs, "vector"), checked(queries, "query_vector")
         ids = np.asarray(docs.column("id").to_pylist(), dtype=object)
         docs = docs.take(pa.array(np.argsort(ids, kind="stable")))  # ties go to the smaller id
         doc_rows, doc_ok = unit_rows(docs.column("vector").combine_chunks())
@@ -212,8 +225,6 @@ def _block_scorer(k, threshold, filters, planes):
             some = slice(at, at + 512)
             part = queries.slice(at, 512)
             mask = allowed(docs, part) & doc_ok[None, :] & query_ok[some, None]
-            if planes is not None:
-                mask &= near(doc_rows, query_rows[some])
             cosine = query_rows[some] @ doc_rows.T
             values = np.round(cosine if threshold is not None else (1.0 + cosine) / 2.0, 6)
             values[~mask] = -np.inf
@@ -304,24 +315,16 @@ def _scan_on_grid(docs: DataFrame, asked: DataFrame, scorer, schema: str, query_
     return left.groupBy("_d", "_q").cogroup(right.groupBy("_d", "_q")).applyInArrow(run, schema)
 
 
-def _checked(df: DataFrame, column: str, size: int) -> DataFrame:
-    """Rows with a vector; one of another length than ``size`` fails the job with its length."""
-    found = F.size(column)
-    wrong = F.concat(F.lit(f"a vector of length {size} was expected, not "), found.cast("string"))
-    return df.filter(F.col(column).isNotNull()).withColumn(
-        column, F.when(found == size, F.col(column)).otherwise(F.raise_error(wrong))
-    )
-
-
-def _search(docs, asked, k, threshold, filters, planes, max_queries):
-    size = asked.agg(F.max(F.size("query_vector"))).first()[0]
-    if size is not None and size >= 0:
-        docs, asked = _checked(docs, "vector", size), _checked(asked, "query_vector", size)
+def _search(docs, asked, k, threshold, filters, max_queries):
+    """Score ``docs`` against ``asked``.  Vectors may be computed columns: those of ``docs`` are computed once."""
+    rows, length, size = asked.agg(
+        F.count("*"), F.coalesce(F.sum(F.size("query_vector").cast("long")), F.lit(0)), F.max(F.size("query_vector"))
+    ).first()
     id_type = docs.schema["id"].dataType.simpleString()
     query_type = asked.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_type}, id {id_type}, score double"
-    scorer = _block_scorer(k, threshold, filters, planes)
-    if fits(asked, max_queries):
+    scorer = _block_scorer(k, threshold, filters, size)
+    if rows <= max_queries and length * 16 <= MAX_BROADCAST_BYTES:
         return _scan_with_queries(docs, asked, scorer, k, schema)
     return _scan_on_grid(docs, asked, scorer, schema, MAX_QUERY_BLOCK, CORPUS_BLOCK)
 
@@ -335,7 +338,7 @@ def knn_exact(
     Zero vectors have no direction and never match.
     """
     corpus = docs.select("id", F.col(vector).alias("vector"))
-    found = _search(corpus, query_vectors.select("query_id", "query_vector"), k, None, None, None, max_queries)
+    found = _search(corpus, query_vectors.select("query_id", "query_vector"), k, None, None, max_queries)
     return topk_per_query(found, k)
 
 
@@ -346,32 +349,275 @@ def knn_filtered(
     """Exact search in which each query sees only documents passing its filters."""
     corpus = docs.select("id", F.col(vector).alias("vector"), *FILTERS.values(), "created_at")
     asked = query_vectors.join(queries.select("query_id", *FILTERS, "date_from", "date_to"), "query_id")
-    found = _search(corpus, asked, k, None, FILTERS, None, max_queries)
+    found = _search(corpus, asked, k, None, FILTERS, max_queries)
     return topk_per_query(found, k)
 
 
+@dataclass
+class SignIndex:
+    """How vectors are put into buckets: ``tables`` signatures of ``bits`` signs each.
+
+    A query looks into the buckets within ``radius`` signs of its own.  The planes follow from the
+    seed; fewer tables or bits are a part of more, so settings can be compared on one set of planes.
+    """
+
+    dim: int
+    tables: int
+    bits: int
+    radius: int
+    seed: int = 7
+
+    def planes(self):
+        import numpy as np
+
+        return np.random.default_rng(self.seed).standard_normal((MAX_TABLES, MAX_BITS, self.dim))[: self.tables, : self.bits]
+
+    def flips(self) -> list:
+        """Every mask with at most ``radius`` bits set."""
+        found = {0}
+        for _ in range(self.radius):
+            found |= {mask ^ (1 << bit) for mask in found for bit in range(self.bits)}
+        return sorted(found)
+
+    def buckets(self, vector: Column, probes: bool = False) -> Column:
+        """``ARRAY<BIGINT>``: the buckets of a vector, or those a query looks into; null for no vector."""
+        planes, flips = self.planes(), self.flips() if probes else [0]
+        tables, bits, dim = planes.shape
+
+        @F.arrow_udf("array<long>")
+        def signed(vectors):
+            import numpy as np
+            import pyarrow as pa
+
+            valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+            matrix = vectors.drop_null().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
+            side = np.einsum("nd,tbd->ntb", matrix, planes) >= 0
+            own = side @ (1 << np.arange(bits)) + (np.arange(tables) << MAX_BITS)
+            found = (own[:, :, None] ^ np.array(flips)).reshape(len(matrix), -1)
+            sizes = np.where(valid, found.shape[1], 0)
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            if valid.all():
+                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found.ravel(), pa.int64()))
+            return pa.array([row if ok else None for row, ok in zip(np.split(found.ravel(), offsets[1:-1]), valid)], pa.list_(pa.int64()))
+
+        return signed(vector)
+
+
+def tune_lsh(
+    docs: DataFrame, query_vectors: DataFrame, k: int, dim: int, vector: str = "embedding", recall: float = 0.92, seed: int = 7,
+) -> SignIndex:
+    """The setting that compares the fewest vectors among those whose measured recall is at least ``recall``.
+
+    Recall is measured on true neighbours: up to 64 queries (fewer for very large ``k``) are searched
+    exactly, and the signatures of what they find tell which settings would have met it.  How many
+    vectors a setting compares is estimated on up to 2,000 of them.  None if no setting is good enough.
+    """
+    import numpy as np
+
+    def matrix(rows):
+        return np.array(rows, dtype="float64").reshape(-1, dim)
+
+    asked = query_vectors.filter(F.col("query_vector").isNotNull()).select("query_id", "query_vector")
+    asked = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(max(1, min(64, 50_000 // max(k, 1))))
+    asked = materialize(asked, "audit")
+    corpus = docs.select("id", F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
+    true = knn_exact(corpus, asked, k, "vector").select("query_id", "id")
+    pairs = corpus.join(F.broadcast(true), "id").join(F.broadcast(asked), "query_id").select("vector", "query_vector").collect()
+    some = corpus.orderBy(F.xxhash64("id"), "id").limit(2000).select("vector").collect()
+    queries = asked.select("query_vector").collect()
+    if not pairs or not some:
+        return None
+    planes = np.random.default_rng(seed).standard_normal((MAX_TABLES, MAX_BITS, dim))
+
+    def sides(rows):
+        return np.einsum("nd,tbd->ntb", matrix(rows), planes) >= 0
+
+    apart = sides([p[0] for p in pairs]) != sides([p[1] for p in pairs])
+    sample, asked_sides = sides([r[0] for r in some]), sides([r[0] for r in queries])
+    best = None
+    for bits in range(4, MAX_BITS + 1, 2):
+        found = np.minimum.accumulate(apart[:, :, :bits].sum(axis=2), axis=1)
+        nearest = [np.minimum.accumulate((sample[:, :, :bits] != q[:, :bits]).sum(axis=2), axis=1) for q in asked_sides]
+        for radius in (0, 1, 2):
+            for tables in (2, 4, 8, 12, 16, 24, 32, MAX_TABLES):
+                if (found[:, tables - 1] <= radius).mean() < recall:
+                    continue
+                share = float(np.mean([(n[:, tables - 1] <= radius).mean() for n in nearest]))
+                cost = share + 0.001 * tables  # rows of the index count too
+                if best is None or cost < best[0]:
+                    best = cost, SignIndex(dim, tables, bits, radius, seed)
+    return best and best[1]
+
+
+def lsh_candidates(docs: DataFrame, query_vectors: DataFrame, index: SignIndex, vector: str = "embedding") -> DataFrame:
+    """Distinct ``query_id, id`` of queries and documents that share a bucket.
+
+    Buckets meet by equality.  A crowded bucket is split by id when the queries do not fit a broadcast.
+    """
+    held = docs.filter(F.col(vector).isNotNull()).select("id", F.explode(index.buckets(F.col(vector))).alias("bucket"))
+    asked = query_vectors.filter(F.col("query_vector").isNotNull()).select(
+        "query_id", F.explode(index.buckets(F.col("query_vector"), probes=True)).alias("bucket")
+    )
+    return lookup_join(held, asked, ["bucket"], ["id"]).select("query_id", "id").distinct()
+
+
+def _cosine(one: Column, other: Column) -> Column:
+    @F.arrow_udf("double")
+    def cosine(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(column):
+            return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
+
+        if len(left) == 0:
+            return pa.array([], pa.float64())
+        left, right = rows(left), rows(right)
+        length = np.sqrt((left * left).sum(axis=1) * (right * right).sum(axis=1))
+        value = np.divide((left * right).sum(axis=1), length, out=np.zeros(len(left)), where=length > 0)
+        return pa.array(value, mask=length <= 0)
+
+    return cosine(one, other)
+
+
 def knn_lsh(
     docs: DataFrame, query_vectors: DataFrame, k: int, dim: int, vector: str = "embedding",
-    tables: int = 4, bits: int = 8, seed: int = 7, max_queries: int = MAX_QUERY_BLOCK,
+    index: SignIndex = None, recall: float = 0.92, seed: int = 7, max_queries: int = MAX_QUERY_BLOCK,
 ) -> DataFrame:
-    """Approximate search: only documents sharing a sign signature with the query compete.
+    """Approximate search: only documents that share a bucket with the query are compared.
+
+    ``index`` says how buckets are formed; without one it is chosen by a measurement
+    (``tune_lsh``), and where no setting reaches ``recall`` the search is exact.  Queries that meet
+    fewer than ``k`` documents are searched exactly too.  Candidates are distinct pairs, whose
+    cosine is computed once.
+    """
+    asked = materialize(query_vectors.select("query_id", "query_vector"), "asked")
+    index = index or tune_lsh(docs, asked, k, dim, vector, recall, seed)
+    if index is None:
+        return knn_exact(docs, asked, k, vector, max_queries)
+    pairs = materialize(lsh_candidates(docs, asked, index, vector), "candidates")
+    met = pairs.groupBy("query_id").count().filter(F.col("count") >= k).select("query_id")
+    full = materialize(lookup_join(asked, met, ["query_id"], ["query_id"], "left_semi"), "full")
+    rest = lookup_join(asked, met, ["query_id"], ["query_id"], "left_anti")
+    corpus = docs.select("id", F.col(vector).alias("vector"))
+    # pairs are many and small; each side is brought to them, or they to it, as sizes allow
+    both = lookup_join(lookup_join(corpus, pairs, ["id"], ["id"]), full, ["query_id"], ["id"])
+    scored = both.withColumn("cosine", _cosine(F.col("vector"), F.col("query_vector"))).filter("cosine IS NOT NULL")
+    near = scored.select("query_id", "id", F.round((1 + F.col("cosine")) / 2, 6).alias("score"))
+    return topk_per_query(near, k).unionByName(knn_exact(docs, rest, k, vector, max_queries))
+
+
+def _around_pivots(corpus: DataFrame, size: int, rows: int) -> tuple:
+    """(pivots, corpus with ``pivot`` and ``angle``): every vector beside the nearest of a bounded set of vectors.
 
-    Signatures come from seeded random planes; the query also probes buckets one bit away.
-    Candidates are scored where they are read, so a crowded bucket costs time in many
-    tasks but never gathers in one.
+    Rows without a direction (null or zero vectors) are left out; a vector of another length than
+    ``size`` fails the job.  Any pivots give right results, near ones prune more.
     """
     import numpy as np
 
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
-    corpus = docs.select("id", F.col(vector).alias("vector"))
-    found = _search(corpus, query_vectors.select("query_id", "query_vector"), k, None, None, planes, max_queries)
-    return topk_per_query(found, k)
+    wanted = int(min(MAX_PIVOTS, max(1, rows // PIVOT_ROWS)))
+    some = corpus.orderBy(F.xxhash64("id"), "id").limit(4 * wanted).select("vector").collect()
+    found = [v for v in (np.array(r[0], dtype="float64") for r in some) if len(v) == size and np.any(v)][:wanted]
+    pivots = np.array(found or [np.eye(1, max(size, 1))[0]])
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    kind = corpus.schema["id"].dataType.simpleString()
+
+    def nearest(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            lengths = pc.list_value_length(batch.column("vector"))
+            wrong = lengths.filter(pc.not_equal(lengths, size))
+            if len(wrong):
+                raise ValueError(f"a vector of length {size} was expected, not {wrong[0].as_py()}")
+            matrix = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, size)
+            length = np.linalg.norm(matrix, axis=1)
+            ok = length > 0
+            cosine = (matrix[ok] / length[ok, None]) @ pivots.T
+            best = cosine.argmax(axis=1) if len(cosine) else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(cosine[np.arange(len(best)), best], -1, 1))
+            kept = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("id"), kept.column("vector").cast(pa.list_(pa.float64())), pa.array(best.astype("int32")), pa.array(angle)],
+                ["id", "vector", "pivot", "angle"],
+            )
+
+    placed = corpus.mapInArrow(nearest, f"id {kind}, vector array<double>, pivot int, angle double")
+    return pivots, materialize(placed, "around-pivots")
+
+
+def near_pivots(pivots, radii: dict, threshold: float) -> list:
+    """Pairs (p, q), p <= q, of pivots around which vectors may reach ``threshold``.
+
+    Angles obey the triangle inequality: two vectors are at least as far apart as their pivots, less
+    the distances to them.
+    """
+    import numpy as np
+
+    held = sorted(radii)
+    reach = np.arccos(np.clip(threshold - 1e-6, -1, 1)) + 1e-7  # scores are rounded to six digits
+    radius = np.array([radii[p] for p in held])
+    between = np.arccos(np.clip(pivots[held] @ pivots[held].T, -1, 1))
+    first, second = np.nonzero(np.triu(between - radius[:, None] - radius[None, :] <= reach))
+    return [(held[i], held[j]) for i, j in zip(first, second)]
+
+
+def _similar_pairs(corpus: DataFrame, threshold: float, size: int, rows: int) -> DataFrame:
+    """All pairs at or above ``threshold``, comparing only vectors whose pivots are near enough.
+
+    The vectors of a pivot are split into blocks of bounded size; two blocks meet once and give their
+    pairs in both directions.
+    """
+    spark = corpus.sparkSession
+    pivots, placed = _around_pivots(corpus, size, rows)
+    known = {r["pivot"]: r for r in placed.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    blocks = {p: -(-r["n"] // MAX_QUERY_BLOCK) for p, r in known.items()}
+    near = [(p, q, blocks[p], blocks[q]) for p, q in near_pivots(pivots, {p: r["radius"] for p, r in known.items()}, threshold)]
+    pairs = F.broadcast(spark.createDataFrame(near, "p int, q int, _ps int, _qs int"))  # at most MAX_PIVOTS squared
+
+    def own_block(count):
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+    same = F.col("p") == F.col("q")
+    left = placed.join(pairs, F.col("pivot") == F.col("p")).withColumn("s", own_block("_ps")).select(
+        "id", "vector", "p", "q", "s", F.explode(F.sequence(F.when(same, F.col("s")).otherwise(0), F.col("_qs") - 1)).alias("t")
+    )
+    right = placed.join(pairs, F.col("pivot") == F.col("q")).withColumn("t", own_block("_qs")).select(
+        F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "p", "q",
+        F.explode(F.sequence(F.lit(0), F.when(same, F.col("t")).otherwise(F.col("_ps") - 1))).alias("s"), "t",
+    )
+    kind = corpus.schema["id"].dataType.simpleString()
+    scorer = _block_scorer(None, threshold, None, size)
+
+    def run(key, docs, queries):
+        import pyarrow as pa
+
+        if not docs.num_rows or not queries.num_rows:
+            return pa.table({"query_id": docs.column("id").slice(0, 0), "id": docs.column("id").slice(0, 0), "score": pa.array([], pa.float64())})
+        found = scorer(docs, queries)
+        one, other, score = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in found.values())
+        p, q, s, t = (k.as_py() for k in key)
+        if (p, s) != (q, t):
+            one, other, score = (pa.concat_arrays(x) for x in ((one, other), (other, one), (score, score)))
+        return pa.table({"query_id": one, "id": other, "score": score})
+
+    keys = ["p", "q", "s", "t"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, f"query_id {kind}, id {kind}, score double")
 
 
 def similarity_matrix(
     vectors: DataFrame, threshold: float, vector: str = "embedding", max_queries: int = MAX_QUERY_BLOCK,
 ) -> DataFrame:
-    """Cosine of all pairs of rows at or above ``threshold`` (``-1`` gives the full matrix)."""
-    corpus = vectors.select("id", F.col(vector).alias("vector"))
-    asked = vectors.select(F.col("id").alias("query_id"), F.col(vector).alias("query_vector"))
-    return _search(corpus, asked, None, threshold, None, None, max_queries)
+    """Cosine of all pairs of rows at or above ``threshold`` (``-1`` gives the full matrix).
+
+    Beyond ``max_queries`` rows, vectors are gathered around pivots and pairs that cannot reach the
+    threshold are not compared.
+    """
+    corpus = vectors.select("id", F.col(vector).alias("vector")).filter(F.col("vector").isNotNull())
+    rows, size = corpus.agg(F.count("*"), F.max(F.size("vector"))).first()
+    if rows > max_queries:
+        return _similar_pairs(corpus, threshold, size, rows)
+    asked = corpus.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    return _search(corpus, asked, None, threshold, None, max_queries)

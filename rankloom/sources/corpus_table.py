@@ -1,13 +1,16 @@
-"""The stored corpus: keyed upserts as change sets over a base, and table lifecycle."""
+"""The stored corpus: keyed upserts as loads of a partitioned table, and table lifecycle."""
 
 import hashlib
 import uuid
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.sizing import fits
-from ..workspace import list_names, materialize, move, path_exists
+from ..workspace import materialize
+
+#: partition columns of the stored corpus
+LOAD = ("_load", "_key")
 
 
 def with_generated_ids(batch: DataFrame) -> DataFrame:
@@ -46,57 +49,68 @@ def upsert_stats(batch: DataFrame) -> DataFrame:
     )
 
 
-def _versions(spark: SparkSession, path: str) -> dict:
-    """Names of the completely written versions below ``path`` by number, oldest first.
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """All loads below ``path``, None when there are none."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _loads(stored: DataFrame | None) -> list:
+    """The loads (number, key), oldest first; only the partition columns are read."""
+    if stored is None:
+        return []
+    return sorted(tuple(r) for r in stored.select(*LOAD).distinct().collect())
 
-    A name is ``v=<number>`` and, for a load that may be repeated, ``-<its key>``.
-    """
-    found = [name for name in list_names(spark, path) if name.startswith("v=")]
-    return {int(name[2:12]): name for name in found if path_exists(spark, f"{path}/{name}/_SUCCESS")}
+
+def _write(rows: DataFrame, path: str, number: int, key: str) -> None:
+    """Write one load as its own partition; the same load again replaces itself and nothing else."""
+    (
+        rows.withColumns({LOAD[0]: F.lit(number), LOAD[1]: F.lit(key)})
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*LOAD).parquet(path)
+    )
 
 
 def upsert_table(path: str, batch: DataFrame, seq: str = "seq", key: str = None) -> int:
-    """Add ``batch`` to the stored corpus as one change set and return its number.
+    """Add ``batch`` to the stored corpus as one load and return its number.
 
-    Only the batch is written, first aside and then under the next free number, so no load
-    replaces another one. A load with a ``key`` that is already there is a repetition and
-    changes nothing.
+    The corpus is a table partitioned by load, so only the batch is written.  A load with a ``key``
+    that is already there is written over itself: repeated after a failure it leaves the rows that one
+    complete run leaves.  Loads that run at the same time may share a number, then ``seq`` decides
+    between them.  A batch without rows leaves nothing.
     """
-    spark, changes = batch.sparkSession, f"{path}/changes"
-    mark = "" if key is None else "-" + hashlib.sha256(key.encode()).hexdigest()[:24]
-    if key is not None:
-        done = [number for number, name in _versions(spark, changes).items() if name.endswith(mark)]
-        if done:
-            return done[0]
-    aside = f"{path}/aside/{uuid.uuid4().hex}"
-    latest_per_id(with_generated_ids(batch), seq).write.parquet(aside)
-    while True:
-        taken = [int(n[2:12]) for n in list_names(spark, changes) if n.startswith("v=")]
-        version = max([-1, *taken, *_versions(spark, f"{path}/base")]) + 1
-        if move(spark, aside, f"{changes}/v={version:010d}{mark}"):
-            return version
+    named = f"load-{uuid.uuid4().hex if key is None else hashlib.sha256(key.encode()).hexdigest()[:24]}"
+    known = _loads(_stored(batch.sparkSession, path))
+    number = next((n for n, k in known if k == named), max((n for n, _ in known), default=-1) + 1)
+    _write(latest_per_id(with_generated_ids(batch), seq), path, number, named)
+    return number
 
 
 def read_corpus(spark: SparkSession, path: str, seq: str = "seq", by_time: bool = False) -> DataFrame:
-    """The current rows: the base with all later change sets applied; None when empty.
+    """The current rows: the base with all later loads applied; None when empty.
 
-    For each id the last load wins and, inside a load, the greatest ``seq``. With ``by_time``
-    the numbers in ``seq`` are times of events that hold across loads, and the greatest wins
-    wherever it stands. Changed ids are brought to the base scan when they are measured small,
-    so reading does not shuffle the base.
+    The base is the last compaction, or else the first load.  For each id the last load wins and,
+    inside a load, the greatest ``seq``.  With ``by_time`` the numbers in ``seq`` are times of events
+    that hold across loads, and the greatest wins wherever it stands.  Changed ids are brought to the
+    base scan when they are measured small, so reading does not shuffle the base.
     """
-    bases = _versions(spark, f"{path}/base")
-    at = max(bases, default=-1)
-    newer = {v: name for v, name in _versions(spark, f"{path}/changes").items() if v > at}
-    base = spark.read.parquet(f"{path}/base/{bases[at]}") if bases else None
-    if not newer:
+    stored = _stored(spark, path)
+    loads = _loads(stored)
+    if not loads:
+        return None
+    bases = [load for load in loads if load[1].startswith("base")]
+    at = bases[-1] if bases else loads[0]
+    is_base = (F.col(LOAD[0]) == at[0]) & (F.col(LOAD[1]) == at[1])
+    base = stored.filter(is_base).drop(*LOAD)
+    if loads[-1] == at:
         return base
-    loads = [spark.read.parquet(f"{path}/changes/{name}").withColumn("_load", F.lit(v)) for v, name in newer.items()]
-    loads = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loads)
-    order = F.struct(seq, "_load") if by_time else F.struct("_load", seq)
-    changed = materialize(latest_per_id(loads.withColumn("_order", order), "_order").drop("_order", "_load"), "changed")
-    if base is None:
-        return changed
+    newer = stored.filter((F.col(LOAD[0]) >= at[0]) & ~is_base)
+    order = F.struct(seq, *LOAD) if by_time else F.struct(LOAD[0], seq, LOAD[1])
+    changed = latest_per_id(newer.withColumn("_order", order), "_order").drop("_order", *LOAD)
+    changed = materialize(changed, "changed")
 
     def small(df):
         return F.broadcast(df) if fits(df) else df
@@ -109,11 +123,16 @@ def read_corpus(spark: SparkSession, path: str, seq: str = "seq", by_time: bool
 
 
 def compact(spark: SparkSession, path: str, seq: str = "seq", by_time: bool = False) -> int:
-    """Fold all change sets into a new base, after which reads no longer merge them."""
-    version = max(_versions(spark, f"{path}/changes"))
-    if version not in _versions(spark, f"{path}/base"):
-        read_corpus(spark, path, seq, by_time).write.mode("overwrite").parquet(f"{path}/base/v={version:010d}")
-    return version
+    """Write the current rows as a new base, from which on reads start; returns its number.
+
+    Meant to run while nothing is loaded.  Earlier loads are no longer read and may be deleted.
+    """
+    loads = _loads(_stored(spark, path))
+    number, key = loads[-1]
+    if not key.startswith("base"):
+        number += 1
+        _write(materialize(read_corpus(spark, path, seq, by_time), "base"), path, number, f"base-{number}")
+    return number
 
 
 def create_corpus(docs: DataFrame, table: str, force_recreate: bool = False) -> bool:

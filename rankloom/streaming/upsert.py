@@ -11,9 +11,9 @@ def stream_upsert(
 ) -> None:
     """Apply all JSON-lines files not yet seen to the stored corpus, then stop.
 
-    Each micro-batch becomes one change set under the next free number, beside batch loads. It
-    carries the stream's checkpoint and the batch id as its key, so a batch that is repeated
-    after a failure is not applied twice.
+    Each micro-batch becomes one load under the next free number, beside batch loads. It carries
+    the stream's checkpoint and the batch id as its key, so a batch that is repeated after a
+    failure replaces itself.
     """
     reader = spark.readStream.schema(schema)
     if max_files:

@@ -45,24 +45,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     return hadoop_path.getFileSystem(conf).exists(hadoop_path)
-
-
-def move(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder; False when ``target`` exists already."""
-    if path_exists(spark, target):
-        return False
-    jvm = spark.sparkContext._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(target.getParent())
-    return fs.rename(source, target)
-
-
-def list_names(spark: SparkSession, path: str) -> list:
-    """Names of the entries directly below ``path`` (empty when it is missing)."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return []
-    return sorted(status.getPath().getName() for status in fs.listStatus(hadoop_path))

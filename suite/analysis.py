@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import ascii_fold as fold_column, tokens
 from rankloom.operators import analysis as ops
-from rankloom.sources.synonyms import DEFAULT_RULES, default_synonyms
+from rankloom.sources.synonyms import DEFAULT_RULES, default_synonyms, parse_rules
 
 from .inputs import CORPUS, corpus, table, with_ctes
 
@@ -29,13 +30,21 @@ def ascii_fold(spark, sf_dir):
 
 
 def synonym_expand(spark, sf_dir):
-    tokens = ops.query_tokens(utterances(spark, sf_dir))
-    return ops.synonym_expand(tokens, default_synonyms(spark)).select("query_id", "position", "token", "term")
+    found = ops.query_tokens(utterances(spark, sf_dir))
+    return ops.synonym_expand(found, default_synonyms(spark)).select("query_id", "position", "token", "term")
+
+
+def synonym_phrases(spark, sf_dir):
+    """Beginnings of the passages, two and three words long, as inputs that documents and turns may hold."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", tokens(fold_column(F.lower("text"))).alias("w"))
+    sides = [F.array_join(F.slice("w", 1, n), " ") for n in (2, 3)]
+    lines = items.select(F.concat(sides[0], F.lit(", "), sides[1], F.lit(" => item"), F.col("item_id").cast("string")).alias("value"))
+    found = ops.query_tokens(utterances(spark, sf_dir))
+    return ops.synonym_expand(found, parse_rules(lines)).filter("expanded").select("query_id", "position", "token", "term")
 
 
 def stop_filter(spark, sf_dir):
-    tokens = ops.query_tokens(utterances(spark, sf_dir))
-    return ops.stop_filter(tokens, "token")
+    return ops.stop_filter(ops.query_tokens(utterances(spark, sf_dir)), "token")
 
 
 def analyze_query(spark, sf_dir):
@@ -65,11 +74,15 @@ def field_stats(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    analyze_index, ascii_fold, synonym_expand, stop_filter, analyze_query, keyword_term, postings, field_len,
+    analyze_index, ascii_fold, synonym_expand, synonym_phrases, stop_filter, analyze_query, keyword_term, postings, field_len,
     term_stats, field_stats,
 )}
 
-WORD = r"'[\p{L}\p{N}]+'"
+# the word rules without look-around; the tables hold no script that is written without blanks
+_INNER = r"[\p{L}\p{M}\p{N}_]"
+_JOINED = r"(?:\p{L}\p{M}*(?:[.''’:·]\p{L}\p{M}*)+|\p{N}(?:[.,''’;]\p{N})+)"
+WORD_RULE = rf"(?:[\p{{L}}\p{{N}}]{_INNER}*)?{_JOINED}(?:{_INNER}*{_JOINED})*{_INNER}*|[\p{{L}}\p{{N}}]{_INNER}*"
+WORD = f"'{WORD_RULE}'"
 _SHARP_S = "'ß', 'ss'"
 
 
@@ -92,7 +105,7 @@ def _rules_sql() -> str:
             left, arrow, right = line.partition("=>")
             inputs = [words(e) for e in left.split(",")]
             outputs = [w for e in (right if arrow else left).split(",") for w in words(e)]
-            pairs |= {(i[0], o) for i in inputs if len(i) == 1 for o in outputs}
+            pairs |= {(" ".join(i), o) for i in inputs if i for o in outputs}
     return "synonyms(lhs, rhs) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in sorted(pairs)) + ")"
 
 
@@ -110,9 +123,20 @@ def query_tokens_cte(source: str, name: str = "query_tokens") -> str:
        LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i) u)"""
 
 
-EXPANDED = """expanded AS (
+# inputs of two tokens, which cannot overlap in the default rules
+EXPANDED = """two_words AS (SELECT DISTINCT lhs, split_part(lhs, ' ', 1) AS one, split_part(lhs, ' ', 2) AS two FROM synonyms WHERE contains(lhs, ' ')),
+word_runs AS (
+  SELECT a.query_id, a.position, lhs AS token
+  FROM query_tokens a JOIN two_words ON a.token = one
+       JOIN query_tokens b ON b.query_id = a.query_id AND b.position = a.position + 1 AND b.token = two),
+runs_placed AS (
+  SELECT t.query_id, t.position, t.token FROM query_tokens t
+       ANTI JOIN (SELECT query_id, unnest([position, position + 1]) AS position FROM word_runs) r
+       ON r.query_id = t.query_id AND r.position = t.position
+  UNION ALL SELECT * FROM word_runs),
+expanded AS (
   SELECT DISTINCT query_id, position, token, coalesce(rhs, token) AS term, rhs IS NOT NULL AS is_synonym
-  FROM query_tokens LEFT JOIN synonyms ON token = lhs)"""
+  FROM runs_placed LEFT JOIN synonyms ON token = lhs)"""
 ANALYZED = f"""analyzed AS (SELECT * FROM expanded WHERE term NOT IN {STOP_LIST})"""
 
 _UTTERANCES = """utterances AS (
@@ -142,6 +166,28 @@ ORACLE = {
     "synonym_expand": with_ctes(
         "SELECT query_id, position, token, term FROM expanded",
         _UTTERANCES, SYNONYMS, query_tokens_cte("utterances"), EXPANDED),
+    "synonym_phrases": "WITH RECURSIVE " + ",\n".join((_UTTERANCES, query_tokens_cte("utterances"), f"""items AS (SELECT item_id, regexp_extract_all(lower({fold_sql('lower(text)')}), {WORD}) AS w FROM benchmark),
+        rules AS (
+          SELECT DISTINCT array_to_string(w[1:k], ' ') AS lhs, 'item' || item_id AS rhs
+          FROM items, (VALUES (2), (3)) r(k) WHERE len(w) > 0),
+        ahead AS (
+          SELECT *, token || ' ' || lead(token, 1) OVER w AS two, token || ' ' || lead(token, 1) OVER w || ' ' || lead(token, 2) OVER w AS three
+          FROM query_tokens WINDOW w AS (PARTITION BY query_id ORDER BY position)),
+        matches AS (
+          SELECT query_id, position, 2 AS words, two AS lhs FROM ahead SEMI JOIN rules ON two = lhs
+          UNION ALL SELECT query_id, position, 3, three FROM ahead SEMI JOIN rules ON three = lhs),
+        longest AS (
+          SELECT * FROM matches QUALIFY row_number() OVER (PARTITION BY query_id, position ORDER BY words DESC) = 1),
+        chosen(query_id, position, words) AS (
+          SELECT query_id, min(position), arg_min(words, position) FROM longest GROUP BY query_id
+          UNION ALL
+          SELECT l.query_id, min(l.position), arg_min(l.words, l.position) FROM chosen c JOIN longest l
+            ON l.query_id = c.query_id AND l.position >= c.position + c.words GROUP BY l.query_id),
+        covered AS (SELECT query_id, position + i AS position FROM chosen, range(3) r(i) WHERE i < words),
+        placed AS (
+          SELECT query_id, position, lhs AS token FROM chosen JOIN longest USING (query_id, position, words)
+          UNION ALL SELECT query_id, position, token FROM query_tokens t ANTI JOIN covered USING (query_id, position))
+        SELECT query_id, position, token, rhs AS term FROM placed JOIN rules ON token = lhs""")),
     "stop_filter": with_ctes(
         f"SELECT query_id, position, token FROM query_tokens WHERE token NOT IN {STOP_LIST}",
         _UTTERANCES, query_tokens_cte("utterances")),

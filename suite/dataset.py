@@ -99,6 +99,16 @@ def page_links(spark, sf_dir):
     return ops.page_links(table(spark, sf_dir, "pages").withColumn("html", html)).groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
+def link_targets(spark, sf_dir):
+    """Absolute targets of links written as five kinds of reference, by page."""
+    link, page = r'href="/([^"#?:&/%.]+)"', F.col("page_id") % 5
+    html = F.col("html")
+    for n, form in ((1, "$1"), (2, "../$1?y=1"), (3, "//other.example/$1"), (4, "?q=$1#top")):
+        html = F.when(page == n, F.regexp_replace("html", link, f'href="{form}"')).otherwise(html)
+    pages = table(spark, sf_dir, "pages").withColumn("html", html)
+    return ops.page_links(pages).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+
+
 def cast_id(spark, sf_dir):
     return ops.cast_id(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
 
@@ -126,7 +136,7 @@ def schema_diff(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     url_technology, group_count, stratified_topn, sample_n, split_tags, conform_schema, conform_code_docs,
-    html_text, page_metadata, page_links, cast_id, canonical_order, union_sources, dataset_build, schema_diff,
+    html_text, page_metadata, page_links, link_targets, cast_id, canonical_order, union_sources, dataset_build, schema_diff,
 )}
 
 _CASE = (
@@ -185,6 +195,22 @@ ORACLE = {
         SELECT page_id, link, count(*) AS n
         FROM (SELECT page_id, replace(unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)), '&amp;', '&') AS link FROM pages)
         GROUP BY ALL""",
+    "link_targets": r"""
+        WITH links AS (
+          SELECT page_id, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS host, regexp_extract(url, '^(https?):', 1) AS scheme,
+                 regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path,
+                 unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS written
+          FROM pages),
+        folders AS (
+          SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)[^/]*$', 1) END AS folder,
+                 replace(written, '&amp;', '&') AS link,
+                 CASE WHEN regexp_full_match(written, '/[^"#?:&/%.]+') THEN page_id % 5 ELSE 0 END AS form
+          FROM links)
+        SELECT page_id, CASE form WHEN 0 THEN host || link WHEN 1 THEN host || folder || link[2:]
+                 WHEN 2 THEN host || regexp_replace(folder, '[^/]+/$', '') || link[2:] || '?y=1'
+                 WHEN 3 THEN scheme || '://other.example' || link
+                 ELSE host || path || '?q=' || link[2:] || '#top' END AS target, count(*) AS n
+        FROM folders GROUP BY ALL""",
     "cast_id": "SELECT CAST(page_id AS VARCHAR) AS id, url FROM pages",
     "canonical_order": with_ctes("""
         SELECT id, title, content, file_type, path, strftime(created_at, '%Y-%m-%d') AS created_at,

@@ -10,7 +10,7 @@ from rankloom.sources.synonyms import default_synonyms
 from rankloom.workspace import fresh_path, materialize
 
 from .analysis import (
-    ANALYZED, EXPANDED, FIELD_LEN, FIELD_STATS, FIELD_TOKENS, POSTINGS, SYNONYMS, TERM_STATS, query_tokens_cte,
+    ANALYZED, EXPANDED, FIELD_LEN, FIELD_STATS, FIELD_TOKENS, POSTINGS, SYNONYMS, TERM_STATS, WORD, WORD_RULE, query_tokens_cte,
 )
 from .inputs import AS_OF, CORPUS, QUERIES as QUERIES_SQL, as_of, corpus, passages, with_ctes
 
@@ -64,6 +64,13 @@ def topk_per_query(spark, sf_dir):
     return ops.topk_per_query(_content_scores(spark, sf_dir), 10)
 
 
+def indexed_topk(spark, sf_dir):
+    """The same hits from a stored index whose blocks of small contributions are skipped."""
+    path = fresh_path(spark, "index")
+    ops.write_index(corpus(spark, sf_dir), path)
+    return ops.bm25_topk(ops.read_index(spark, path), _analyzed(spark, sf_dir), 10)
+
+
 def total_hits(spark, sf_dir):
     return ops.total_hits(_content_scores(spark, sf_dir), passages(spark, sf_dir))
 
@@ -126,7 +133,7 @@ def empty_query(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25, min_should_match, multi_match, indexed_search, multi_match_fuzzy, fuzzy_match, topk_per_query, total_hits,
+    bm25, min_should_match, multi_match, indexed_search, multi_match_fuzzy, fuzzy_match, topk_per_query, indexed_topk, total_hits,
     terms_filter, date_filter, hit_projection, highlight, snippet, hit_metadata, empty_query,
 )}
 
@@ -236,13 +243,13 @@ def _filtered(condition):
 
 
 def _mark(piece):
-    return f"""array_to_string(list_transform(regexp_extract_all({piece}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+'),
+    return f"""array_to_string(list_transform(regexp_extract_all({piece}, '{WORD_RULE}|[^\\p{{L}}\\p{{N}}]+'),
         lambda w: CASE WHEN list_contains(terms, lower(w)) THEN '<em>' || w || '</em>' ELSE w END), '')"""
 
 
 def _fragments(column, size, count):
     pieces = f"regexp_extract_all({column}, '(?s).{{1,{size}}}(?:\\s|\\z)|.{{{size}}}')"
-    hits = """len(list_filter(regexp_extract_all(lower(p), '[\\p{L}\\p{N}]+'), lambda w: list_contains(terms, w)))"""
+    hits = f"len(list_filter(regexp_extract_all(lower(p), {WORD}), lambda w: list_contains(terms, w)))"
     ranked = f"""list_sort(list_filter(list_transform({pieces}, lambda p, i: {{'misses': -{hits}, 'at': i, 'piece': p}}),
         lambda s: s.misses < 0))"""
     return f"list_transform(({ranked})[1:{count}], lambda s: trim({_mark('s.piece')}))"
@@ -262,6 +269,7 @@ ORACLE = {
         "asked AS (SELECT DISTINCT 'content' AS field, token AS query_term FROM query_tokens)",
         *fuzzy_ctes("asked", "vocabulary")),
     "topk_per_query": with_ctes("SELECT query_id, id, score, rank FROM top10", *BASE, CONTENT, TOP10),
+    "indexed_topk": with_ctes("SELECT query_id, id, score, rank FROM top10", *BASE, CONTENT, TOP10),
     "total_hits": with_ctes("""
         SELECT query_id, count(id) AS total_hits FROM queries LEFT JOIN content_scores USING (query_id)
         GROUP BY query_id""", *BASE, CONTENT),

@@ -10,6 +10,7 @@ from rankloom.sources.synonyms import load_rules
 from rankloom.streaming.upsert import stream_upsert as run_stream
 from rankloom.workspace import fresh_path, materialize
 
+from .analysis import WORD
 from .inputs import CORPUS, corpus, table, with_ctes
 
 
@@ -85,6 +86,10 @@ def json_write(spark, sf_dir):
     return back.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
 
 
+# ids of users begin here, so that documents and conversations keep some of theirs
+FIRST_USER = 50
+
+
 def _writes(spark, sf_dir):
     """``conversations`` as writes: one id per conversation, its turns in order."""
     return table(spark, sf_dir, "conversations").select(
@@ -133,11 +138,11 @@ def corpus_loads(spark, sf_dir):
     corpus_table.upsert_table(path, docs, "seq")
     corpus_table.compact(spark, path)
     corpus_table.upsert_table(path, _writes(spark, sf_dir), "seq")
-    events = table(spark, sf_dir, "events").filter("user_id % 10 = 0").select(
-        F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("source"),
+    events = table(spark, sf_dir, "events").select(
+        (F.col("user_id") + FIRST_USER).cast("string").alias("id"), F.col("event_type").alias("source"),
         F.col("props").alias("content"), (-F.col("event_id")).alias("seq"),
     )
-    events.coalesce(1).write.json(incoming)
+    events.repartitionByRange(3, "seq").write.json(incoming)
     run_stream(spark, incoming, events.schema, path, checkpoint, "seq")
     return corpus_table.read_corpus(spark, path).drop("seq")
 
@@ -193,11 +198,11 @@ ORACLE = {
         entries AS (
           SELECT page_id, host,
                  list_filter(list_transform(regexp_split_to_array(replace(replace(title, ',', ' '), 'ß', 'ss'), ' +'),
-                   lambda w: regexp_extract_all(w, '[\p{L}\p{N}]+')), lambda w: len(w) > 0) AS words
+                   lambda w: regexp_extract_all(w, """ + WORD + r""")), lambda w: len(w) > 0) AS words
           FROM titles),
         outputs AS (SELECT page_id, unnest(flatten(words)) AS rhs FROM entries),
         inputs AS (
-          SELECT page_id, w[1] AS lhs FROM (SELECT page_id, unnest(words) AS w FROM entries) WHERE len(w) = 1
+          SELECT page_id, array_to_string(w, ' ') AS lhs FROM (SELECT page_id, unnest(words) AS w FROM entries)
           UNION ALL SELECT page_id, host FROM entries WHERE host <> '')
         SELECT DISTINCT lhs, rhs FROM inputs JOIN outputs USING (page_id)""",
     "url_table": """
@@ -214,7 +219,7 @@ ORACLE = {
         SELECT id, source, content FROM (
           SELECT id, source, content, 0 AS load, 0 AS seq FROM corpus
           UNION ALL SELECT CAST(conv_id AS VARCHAR), role, text, 1, turn FROM conversations
-          UNION ALL SELECT CAST(user_id AS VARCHAR), event_type, props, 2, -event_id FROM events WHERE user_id % 10 = 0)
+          UNION ALL SELECT CAST(user_id + 50 AS VARCHAR), event_type, props, 2, -event_id FROM events)
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY load DESC, seq DESC) = 1""", CORPUS),
     "csv_bodies": "SELECT page_id, url, replace(html, '</p>', '</p>;' || chr(10) || chr(10)) AS body FROM pages",
     "upsert_stats": """

@@ -1,4 +1,4 @@
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from rankloom.functions.html import html_text
 from rankloom.operators import dataset as ops
@@ -62,3 +62,24 @@ def test_code_docs_read_the_old_language(spark):
 def test_schema_diff(spark):
     left, right = spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(1, 2)], "b int, c int")
     assert [r.column_name for r in ops.schema_diff(left, right).collect()] == ["a"]
+
+
+def test_samples_by_threshold_equal_a_full_sort(spark):
+    df = spark.range(4000).select(
+        "id", F.when(F.col("id") % 3 > 0, "big").when(F.col("id") % 9 == 0, F.lit(None)).when(F.col("id") < 30, "few").otherwise("mid").alias("g"),
+    )
+    rank = F.row_number().over(Window.partitionBy("g").orderBy(F.md5(F.col("id").cast("string")), "id"))
+    for n, edge_rows in ((1, 10_000), (15, 1), (700, 2), (5000, 1)):
+        want = {r.id for r in df.withColumn("rn", rank).filter(F.col("rn") <= n).collect()}
+        got = [r.id for r in ops.stratified_topn(df, "g", "id", n, edge_rows=edge_rows).collect()]
+        assert set(got) == want and len(got) == len(want), (n, edge_rows)
+        whole = {r.id for r in df.orderBy(F.md5(F.col("id").cast("string"))).limit(n).collect()}
+        assert {r.id for r in ops.sample_n(df, "id", n, edge_rows=edge_rows).collect()} == whole
+
+
+def test_samples_of_repeated_keys(spark):
+    """A key that is repeated often is cut to the wanted number."""
+    df = spark.range(900).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), F.lit("x").alias("g"))
+    for n in (1, 100, 650, 899):
+        assert ops.stratified_topn(df, "g", "k", n, edge_rows=1).count() == n
+    assert ops.sample_n(df.limit(0), "k", 5).count() == 0

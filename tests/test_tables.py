@@ -35,13 +35,33 @@ def test_stored_corpus(spark, tmp_path):
     # the later load wins whatever its numbers; a load with a key is applied once
     for _ in range(2):
         last = ops.upsert_table(path, spark.createDataFrame([("a", "late", 4), ("b", "3", 9)], SCHEMA), key="k")
-    assert last == 2
+    assert last == 3  # two loads and a compaction stand before it
     assert rows(ops.read_corpus(spark, path)) == {("a", "late"), ("b", "3"), ("c", "2")}
     # times of events hold across loads
     assert rows(ops.read_corpus(spark, path, by_time=True)) == {("a", "2"), ("b", "3"), ("c", "2")}
-    # a version without its success mark is not read
-    name = next(p for p in (tmp_path / "corpus" / "changes").iterdir() if p.name.startswith("v=0000000002"))
-    (name / "_SUCCESS").unlink()
+    assert ops.compact(spark, path) == ops.compact(spark, path) == 4
+    assert rows(ops.read_corpus(spark, path)) == {("a", "late"), ("b", "3"), ("c", "2")}
+    # an empty load and a load with further columns
+    ops.upsert_table(path, spark.createDataFrame([], SCHEMA))
+    ops.upsert_table(path, spark.createDataFrame([("c", "4", 0, "x"), (None, "anon", 1, "y")], f"{SCHEMA}, extra string"))
+    got = {(r.content, r.extra) for r in ops.read_corpus(spark, path).collect()}
+    assert got == {("late", None), ("3", None), ("4", "x"), ("anon", "y")}
+
+
+def test_a_failed_load_is_repaired_by_its_repetition(spark, tmp_path):
+    path = str(tmp_path / "corpus")
+    batch = spark.createDataFrame([(str(i), "1", i) for i in range(40)], SCHEMA)
+    ops.upsert_table(path, spark.createDataFrame([("0", "0", 0)], SCHEMA))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # several files
+    try:
+        number = ops.upsert_table(path, batch, key="k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ops.upsert_table(path, spark.createDataFrame([("1", "later", 0)], SCHEMA))
+    [folder] = (tmp_path / "corpus" / f"_load={number}").iterdir()
+    next(folder.glob("part-*")).unlink()  # as if the writer had died while it published its files
+    assert ops.upsert_table(path, batch, key="k") == number
+    want = {(str(i), "1") for i in range(40)} - {("1", "1")} | {("1", "later")}
     assert rows(ops.read_corpus(spark, path)) == want
 
 
@@ -72,6 +92,23 @@ def test_stream_applies_each_file_once(spark, tmp_path):
     assert rows(ops.read_corpus(spark, path)) == {("a", "2"), ("b", "1")}
 
 
+def test_stream_of_several_batches(spark, tmp_path):
+    """Five micro-batches and a batch load between them; the same stream again changes nothing."""
+    incoming, path, marks = tmp_path / "in", str(tmp_path / "corpus"), str(tmp_path / "marks")
+    incoming.mkdir()
+    events = [(str(i % 7), f"e{i}", i) for i in range(50)]
+    for n in range(5):
+        (incoming / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "content", "seq"), e))) for e in events[n::5]))
+    ops.upsert_table(path, spark.createDataFrame([("x", "kept", 0), ("3", "old", 10**6)], SCHEMA))
+    stream_upsert(spark, str(incoming), SCHEMA, path, marks, max_files=1)
+    want = {("x", "kept")} | {(str(k), max(((s, c) for i, c, s in events if i == str(k)))[1]) for k in range(7)}
+    assert rows(ops.read_corpus(spark, path, by_time=True)) == want - {("3", "e45")} | {("3", "old")}
+    loads = ops._loads(ops._stored(spark, path))
+    assert len(loads) == 6
+    stream_upsert(spark, str(incoming), SCHEMA, path, marks, max_files=1)
+    assert ops._loads(ops._stored(spark, path)) == loads
+
+
 def test_lifecycle(spark):
     docs = spark.range(3)
     assert ops.delete_corpus(spark, "c1") is False
@@ -100,7 +137,7 @@ def test_salted_join_equals_a_plain_join(spark):
     big = spark.range(5000).select(
         F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("n"))
     other = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    for how in ("inner", "left", "left_semi"):
+    for how in ("inner", "left", "left_semi", "left_anti"):
         plain = sorted(map(tuple, big.join(other, "k", how).collect()), key=str)
         salted = sorted(map(tuple, sizing.salted_join(big, other, ["k"], ["n"], how, target_rows=100).collect()), key=str)
         assert plain == salted

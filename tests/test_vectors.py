@@ -1,9 +1,12 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions.arrays import l2_normalize
 from rankloom.operators import vectors as ops
+from suite import vectors as suite
 
 
 def table(spark, matrix, id_name="id", vector="embedding"):
@@ -84,13 +87,53 @@ def test_lsh_recall(spark):
     centers = np.random.default_rng(9).standard_normal((20, 32))
     docs = (np.repeat(centers, 40, axis=0) + 0.25 * np.random.default_rng(10).standard_normal((800, 32))).astype("float32")
     queries = centers[:10].astype("float32")
-    asked = table(spark, queries, "query_id", "query_vector")
-    exact = ranked(ops.knn_exact(table(spark, docs), asked, 10))
-    near = ranked(ops.knn_lsh(table(spark, docs), asked, 10, dim=32))
+    asked, corpus = table(spark, queries, "query_id", "query_vector"), table(spark, docs)
+    index = ops.tune_lsh(corpus, asked, 10, 32)
+    met = ops.lsh_candidates(corpus, asked, index).count()
+    assert met < 0.25 * 10 * 800  # buckets, not the whole product
+    exact, near = ranked(ops.knn_exact(corpus, asked, 10)), ranked(ops.knn_lsh(corpus, asked, 10, dim=32))
     pairs = {(q, d) for q, d, _ in exact}
     assert len(pairs & {(q, d) for q, d, _ in near}) / len(pairs) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_lsh_recall_on_the_given_tables(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("test tables are not here")
+    pairs = [{(r.query_id, r.id) for r in q(spark, folder).collect()} for q in (suite.knn_exact, suite.knn_lsh)]
+    assert len(pairs[0]) == 500 and len(pairs[0] & pairs[1]) >= 0.9 * 500
+    corpus, asked = suite._vectors(spark, folder), suite._centroids(spark, folder)
+    index = ops.tune_lsh(corpus, asked, 50, suite.DIM)
+    # these vectors hardly gather, so most buckets have to be looked into; still not all
+    assert index is not None and ops.lsh_candidates(corpus, asked, index).count() < 0.9 * corpus.count() * asked.count()
+
+
+def test_lsh_beside_its_bounds(spark):
+    docs, queries = data(21, 90, 8), data(22, 5, 8)
+    corpus, asked = table(spark, docs), table(spark, queries, "query_id", "query_vector")
+    want = brute(docs, queries, 7)
+    narrow = ops.SignIndex(8, 2, 16, 0)  # too few candidates: searched exactly
+    assert ranked(ops.knn_lsh(corpus, asked, 7, 8, index=narrow)) == want
+    assert ranked(ops.knn_lsh(corpus, asked, 7, 8, recall=1.1)) == want  # no setting is that good
+    everything = ops.SignIndex(8, 2, 4, 2)
+    got = ops.lsh_candidates(corpus.unionByName(corpus), asked, everything)
+    assert got.count() == got.distinct().count()
+    nothing = corpus.withColumn("embedding", F.lit(None).cast("array<float>"))
+    assert ops.knn_lsh(nothing, asked, 7, 8).count() == 0
+    assert ops.knn_lsh(corpus, asked.limit(0), 7, 8).count() == 0
+
+
+def test_documents_are_embedded_once(spark):
+    docs = spark.createDataFrame([(str(i), f"title {i}", f"content {i} words") for i in range(20)], "id string, title string, content string")
+    queries = spark.createDataFrame([(1, "title 3"), (2, " ")], "query_id long, query string")
+    found = ops.knn_exact(ops.embed_docs(docs), ops.embed_query(queries), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # titles and contents are embedded, then blended: one node each way, none repeated
+    assert plan.count("ArrowEvalPython") == 2, plan
+    assert {r.query_id for r in found.collect()} == {1}
+
+
 @pytest.mark.parametrize("max_queries", [4096, 0])
 def test_similarity_threshold(spark, max_queries):
     docs = data(11, 60, 4)
@@ -101,6 +144,29 @@ def test_similarity_threshold(spark, max_queries):
     assert {(r.query_id, r.id) for r in got.collect()} == want
 
 
+def test_pairs_far_apart_are_not_compared(spark, monkeypatch):
+    """Groups far from each other: the pairs are those of a full product, few blocks are compared."""
+    rng = np.random.default_rng(31)
+    centers = rng.standard_normal((12, 24))
+    docs = (np.repeat(centers, 30, axis=0) + 0.15 * rng.standard_normal((360, 24))).astype("float32")
+    docs[7] = 0
+    docs[40:80] = docs[41]  # copies fill several blocks of one pivot
+    unit = docs / np.maximum(np.linalg.norm(docs, axis=1, keepdims=True), 1e-30)
+    cosine = np.round(unit.astype("float64") @ unit.astype("float64").T, 6)
+    monkeypatch.setattr(ops, "PIVOT_ROWS", 8)
+    monkeypatch.setattr(ops, "MAX_QUERY_BLOCK", 16)
+    for threshold in (0.8, 0.0, -1.0):
+        want = {(i, j) for i, j in zip(*np.nonzero(cosine >= threshold)) if i != 7 and j != 7}
+        rows = ops.similarity_matrix(table(spark, docs), threshold, max_queries=0).collect()
+        assert len(rows) == len(want) and {(r.query_id, r.id) for r in rows} == want
+    corpus = table(spark, docs).select("id", F.col("embedding").alias("vector"))
+    pivots, placed = ops._around_pivots(corpus, 24, 360)
+    held = {r.pivot: (r.n, r.radius) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()}
+    met = ops.near_pivots(pivots, {p: r for p, (_, r) in held.items()}, 0.8)
+    verified = sum(held[p][0] * held[q][0] * (1 if p == q else 2) for p, q in met)
+    assert verified < 0.5 * 359**2
+
+
 def test_default_embedder(spark):
     rows = [("0", "", "Python web framework"), ("1", "", "Flask web development"), ("2", "", "Database optimization"), ("3", "", " ")]
     got = ops.embed_text(spark.createDataFrame(rows, "id string, title string, content string"), "content")
