@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.operators.sizing import lookup_join
 
-from .shared import materialize, slices, spread, table
+from .shared import frugal, materialize, slices, spread, table
 
 MIN_COUNT = 10
 #: a phrase goes if a longer one around it has this share of its count, in per cent
@@ -30,7 +30,9 @@ TOP = 2000
 #: words with small numbers; their list goes to every task
 LISTED = 1 << 18
 #: words of a chunk, whose graph a task holds at once; a longer piece is a chunk of its own
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 19
+#: words or pairs that are sent to the phrases that hold them; more are joined by shuffling
+MAX_SENT = 200_000
 UNKNOWN = "und"
 END = 0
 _BITS = 21
@@ -71,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 ["lang", "word", "n"],
             )
 
-    counted = _rows(docs).mapInArrow(scan, "lang string, word string, n long")
+    counted = _rows(docs).mapInArrow(frugal(scan), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -99,17 +101,15 @@ def dictionary(words: DataFrame, listed: int = LISTED) -> tuple[DataFrame, dict,
         if total > listed:
             break
         least = row["step"]
-    known = []
-    if least is not None:
-        known = [tuple(r) for r in words.filter(F.floor(F.log2("n") * 16) >= least).select("lang", "word", "n").collect()]
-    known.sort(key=lambda r: (-r[2], r[0], r[1]))
+    spark = words.sparkSession
+    top = F.floor(F.log2("n") * 16) >= least if least is not None else F.lit(False)
+    known = words.filter(top).select("lang", "word", "n").toArrow()
+    known = known.sort_by([("n", "descending"), ("lang", "ascending"), ("word", "ascending")]).drop_columns("n")
+    known = known.append_column("listed", pa.array(np.arange(1, known.num_rows + 1)))
+    listing = spark.createDataFrame(known)
     codes = defaultdict(dict)
-    for code, (lang, word, _) in enumerate(known, 1):
+    for lang, word, code in zip(*(known.column(c).to_pylist() for c in known.column_names)):
         codes[lang][word.encode()] = code
-    spark = words.sparkSession
-    listing = spark.createDataFrame(
-        [(lang, word, code) for code, (lang, word, _) in enumerate(known, 1)], "lang string, word string, listed long"
-    )
     for seed in range(8):
         coded = words.join(F.broadcast(listing), ["lang", "word"], "left").select(
             "lang", "word", "n", F.coalesce("listed", _hashed(seed)).alias("code")
@@ -186,7 +186,7 @@ def paths(docs: DataFrame, codes: dict, seed: int) -> DataFrame:
         if sequence:
             yield from graph(numbers, sequence)
 
-    return _rows(docs).mapInArrow(scan, "words array<long>, weight long")
+    return _rows(docs).mapInArrow(frugal(scan), "words array<long>, weight long")
 
 
 def _key(x: Column, y: Column, z: Column) -> list:
@@ -262,22 +262,22 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, absorbed: int = ABSORB
     counts = materialize(gram_counts(docs, codes, seed, least), "grams")
     frequent = coded.filter(F.col("n") >= least)
     one = counts.filter("size = 1").select(F.col("x").alias("code"), F.col("n").alias("f"))
-    one = materialize(lookup_join(frequent.drop("n"), one, ["code"], ["word"]), "frequent")
+    one = materialize(lookup_join(frequent.drop("n"), one, ["code"], ["word"], max_rows=MAX_SENT), "frequent")
     two = counts.filter("size = 2").select("x", "y", F.col("n").alias("a"))
     three = counts.filter("size = 3").select("x", "y", "z", F.col("n").alias("a"))
 
     def with_word(df, at, *more):
         """Adds the word and the count of the code in column ``at``."""
         side = one.select(F.col("code").alias(at), F.col("word").alias(f"w{at}"), F.col("f").alias(f"f{at}"), *more)
-        return lookup_join(df, side, [at], [c for c in "xyz" if c in df.columns and c != at])
+        return lookup_join(df, side, [at], [c for c in "xyz" if c in df.columns and c != at], max_rows=MAX_SENT)
 
     def with_pair(df, one_, other):
         side = two.select(F.col("x").alias(one_), F.col("y").alias(other), F.col("a").alias(f"f{one_}{other}"))
-        return lookup_join(df, side, [one_, other], [c for c in "xyz" if c not in (one_, other)])
+        return lookup_join(df, side, [one_, other], [c for c in "xyz" if c not in (one_, other)], max_rows=MAX_SENT)
 
     around = three.select("x", "y", "a").unionByName(three.select(F.col("y").alias("x"), F.col("z").alias("y"), "a"))
     around = around.groupBy("x", "y").agg(F.max("a").alias("longer"))
-    pairs = lookup_join(two, around, ["x", "y"], ["a"], "left").filter(
+    pairs = lookup_join(two, around, ["x", "y"], ["a"], "left", max_rows=MAX_SENT).filter(
         (100 * F.coalesce("longer", F.lit(0)) < absorbed * F.col("a"))
     )
     pairs = with_word(with_word(pairs, "x", "lang"), "y").select(
@@ -294,9 +294,9 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, absorbed: int = ABSORB
         F.when(first, F.col("fyz")).otherwise(F.col("fz")).alias("r"), F.least("early", "late").alias("score"),
     )
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = pairs.unionByName(runs).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    best = pairs.unionByName(runs).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op13_collocations(spark, sf_dir):

@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rankloom.operators.sizing import fits, spread
 from rankloom.workspace import materialize
 
-__all__ = ["fits", "materialize", "spread", "table", "texts", "fold_hash", "bounded_rows", "slices"]
+__all__ = ["fits", "materialize", "spread", "table", "texts", "fold_hash", "bounded_rows", "slices", "frugal"]
 
 SLICE_ROWS = 256
 SLICE_BYTES = 2 << 20
@@ -54,3 +55,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
                 start, size, out = i + 1, 0, []
         if out:
             yield batch.slice(start, len(out)), out
+
+
+def frugal(work: Callable) -> Callable:
+    """``work`` for mapInArrow that gives freed memory back to the system when a task ends.
+
+    Workers are kept between tasks, and an allocator that keeps what a stage with large arrays has
+    freed takes it from the stages that follow on the same executor.
+    """
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+        if trim is not None:
+            trim(0)
+
+    return run

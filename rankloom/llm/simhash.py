@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankloom.operators.sizing import lookup_join, salted_join
 
 from .components import components
-from .shared import fits, materialize, slices, table, texts
+from .shared import fits, frugal, materialize, slices, table, texts
 
 HALF = (1 << 31) - 1
 HALF_STARTS = (0, 33)
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             values = pa.array([fingerprint(text, shingle) for text in found], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), values], ["doc_id", "fp"])
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, fp long")
+    return rows.mapInArrow(frugal(scan), f"doc_id {kind}, fp long")
 
 
 def _syndrome(value: Column) -> Column:
@@ -181,7 +181,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, hot_anchor: int = HOT_ANCHOR
     )
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = near.repartition(width, "anchor", "sub").sortWithinPartitions("anchor", "sub", "fp")
-    return grouped.mapInArrow(_compare(max_bits), "a long, b long")
+    return grouped.mapInArrow(frugal(_compare(max_bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

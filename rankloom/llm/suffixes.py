@@ -23,7 +23,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import fits, slices, spread, table
+from .shared import fits, frugal, slices, spread, table
 
 DEPTH = 50
 GRAM, LONG_GRAM = 10, 32
@@ -39,9 +39,12 @@ _U = np.uint64
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(32))
+    """Mix the bits of ``x`` in place, which has to be an array of the caller's own."""
+    for _ in range(2):
+        x ^= x >> _U(32)
+        x *= _U(0xD6E8FEB86659FD93)
+    x ^= x >> _U(32)
+    return x
 
 
 _BASE = 0x9E3779B97F4A7C15
@@ -68,15 +71,22 @@ class Spans:
     def __init__(self, data: bytes):
         up, self.down = _power_tables(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(_LETTERS[np.frombuffer(data, np.uint8)] * up[: len(data)], out=self.sums[1:])
+        letters = _LETTERS[np.frombuffer(data, np.uint8)]
+        letters *= up[: len(data)]
+        np.cumsum(letters, out=self.sums[1:])
 
     def every(self, size: int) -> np.ndarray:
         """Hash of the span of ``size`` bytes at each position."""
         many = len(self.sums) - size
-        return _scramble((self.sums[size:] - self.sums[:many]) * self.down[:many])
+        out = self.sums[size:] - self.sums[:many]
+        out *= self.down[:many]
+        return _scramble(out)
 
     def at(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _scramble((self.sums[end] - self.sums[start]) * self.down[start])
+        out = self.sums[end]
+        out -= self.sums[start]
+        out *= self.down[start]
+        return _scramble(out)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -436,10 +446,10 @@ def removed_ranges(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
     hot = frequent_keys(rows, depth)
-    dealt = rows.mapInArrow(_deal(groups, depth, hot), "grp int, settled boolean, blob binary")
+    dealt = rows.mapInArrow(frugal(_deal(groups, depth, hot)), "grp int, settled boolean, blob binary")
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 20_000))
     return dealt.repartition(width, "grp").sortWithinPartitions("grp").mapInArrow(
-        _settle(depth), "_id long, _slot long, start long, end long"
+        frugal(_settle(depth)), "_id long, _slot long, start long, end long"
     )
 
 
@@ -453,7 +463,7 @@ def frequent_keys(rows: DataFrame, depth: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many.astype(np.int64))], ["key", "n"])
 
     sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE_EVERY)) == 0)
-    counts = sample.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(frugal(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.filter(F.col("n") > max(64, total * HOT_SHARE)).select("key").toArrow().column("key")
     return np.sort(found.to_numpy().view(_U))
