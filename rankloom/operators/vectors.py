@@ -585,7 +585,7 @@ def _similar_pairs(corpus: DataFrame, threshold: float, size: int, rows: int) ->
         "id", "vector", "p", "q", "s", F.explode(F.sequence(F.when(same, F.col("s")).otherwise(0), F.col("_qs") - 1)).alias("t")
     )
     right = placed.join(pairs, F.col("pivot") == F.col("q")).withColumn("t", own_block("_qs")).select(
-        F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), "p", "q",
+        F.col("id").alias("query_id"), F.col("vector").alias("query_vector"), F.col("p").alias("p"), F.col("q").alias("q"),
         F.explode(F.sequence(F.lit(0), F.when(same, F.col("t")).otherwise(F.col("_ps") - 1))).alias("s"), "t",
     )
     kind = corpus.schema["id"].dataType.simpleString()
