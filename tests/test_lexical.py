@@ -287,3 +287,21 @@ def test_blank_queries_report_an_error(spark):
     hits = ops.bm25(docs(spark), analyze_query(queries.filter("query_id = 1"), no_synonyms(spark)))
     got = {r.query_id: (r.total_hits, r.error is None) for r in empty_query(queries, hits).collect()}
     assert got == {1: (2, True), 2: (0, False), 3: (0, False)}
+
+
+def test_scoring_tasks_follow_the_number_of_pairs(spark, monkeypatch):
+    """Many queries that share their terms multiply the postings; the tasks grow with the products."""
+    corpus = spark.createDataFrame(
+        [(str(i), "x", f"red fox w{i}", ["en"]) for i in range(100)], "id string, title string, content string, tags array<string>"
+    )
+    counts = []
+    for n in (1, 40):
+        queries = spark.createDataFrame([(i, "red fox") for i in range(n)], "query_id long, query string")
+        terms = ops.clause_terms(ops.query_clauses(analyze_query(queries, no_synonyms(spark)), ("content",)))
+        index = ops.narrowed_index(corpus, terms, ("content",))
+        weighted = ops.weigh_terms(terms, index)
+        monkeypatch.setattr(ops, "PAIRS_PER_TASK", 200)
+        scored = ops.field_scores(index, weighted)
+        assert scored.count() == 100 * n
+        counts.append(scored.rdd.getNumPartitions())
+    assert counts == [4, 40]
