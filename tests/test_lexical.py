@@ -289,6 +289,31 @@ def test_blank_queries_report_an_error(spark):
     assert got == {1: (2, True), 2: (0, False), 3: (0, False)}
 
 
+def test_close_terms_are_not_looked_up_for_every_candidate(spark, monkeypatch):
+    """A fuzzy search has far more terms than a document holds; its matches are formed by document."""
+    rng = random.Random(15)
+    vocabulary = [a + b + c for a in ("mel", "mol", "mal", "mul") for b in ("t", "d", "r", "n") for c in ("er", "ar", "or", "ir", "en", "an")]
+    corpus_rows = [(str(i), " ".join(rng.choices(vocabulary, k=2)), " ".join(rng.choices(vocabulary, k=9)), ["en"]) for i in range(60)]
+    corpus = spark.createDataFrame(corpus_rows, "id string, title string, content string, tags array<string>")
+    texts = [" ".join(rng.choices(vocabulary, k=6)) for _ in range(5)]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    analyzed = analyze_query(queries, no_synonyms(spark))
+
+    def hits(**options):
+        return {tuple(r) for r in ops.multi_match(queries, analyzed, corpus, **options).collect()}
+
+    with monkeypatch.context() as patch:
+        patch.setattr(ops, "lookups_pay", lambda weighted: True)
+        want = hits()
+    assert want
+
+    def refuse(*_):
+        raise AssertionError("candidates times terms")
+
+    monkeypatch.setattr(ops, "candidate_matches", refuse)
+    assert hits() == want
+
+
 def test_scoring_tasks_follow_the_number_of_pairs(spark, monkeypatch):
     """Many queries that share their terms multiply the postings; the tasks grow with the products."""
     corpus = spark.createDataFrame(
