@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.edits import swap_distance
 from rankloom.functions.text import term_counts
-from rankloom.operators import lexical as ops
+from rankloom.operators import analysis, lexical as ops
 from rankloom.operators.analysis import analyze_query, query_tokens, synonym_expand
 from rankloom.operators.fuzzy import fuzzy_match
 from rankloom.operators.present import best_fragments, empty_query, snippet
@@ -330,3 +330,20 @@ def test_scoring_tasks_follow_the_number_of_pairs(spark, monkeypatch):
         assert scored.count() == 100 * n
         counts.append(scored.rdd.getNumPartitions())
     assert counts == [4, 40]
+
+
+def test_runs_are_found_once(spark, monkeypatch):
+    """Windows over the queries are not part of the plan that replaces tokens; many runs take a join of their own."""
+    texts = ["a b c a b", "b a", "a b", "c c", ""]
+    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
+    parsed = parse_rules(spark.createDataFrame([("a b => x",)], "value string"))
+
+    def expanded():
+        return synonym_expand(query_tokens(queries), parsed)
+
+    plan = expanded()._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan, plan
+    want = {tuple(r) for r in expanded().collect()}
+    assert (0, 0, "a b", "x", True) in want and (0, 4, "b", "b", False) not in want and (1, 0, "b", "b", False) in want
+    monkeypatch.setattr(analysis, "fits", lambda *_: False)
+    assert {tuple(r) for r in expanded().collect()} == want
