@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators import extras, rerank as ops
 from rankloom.operators.fusion import rrf_fusion
+from rankloom.operators.lexical import topk_per_query
 from rankloom.plans import search
 from rankloom.plans.ingest import enrich
 from rankloom.sources.synonyms import default_synonyms
@@ -123,3 +124,14 @@ def test_metrics(spark):
     pairs = spark.createDataFrame([(1, "a"), (2, "q")], "query_id long, id string")
     got = {r.query_id: r for r in extras.retrieval_metrics(ranked, pairs, 2).collect()}
     assert got[1].recall_at_k == 1.0 and got[2].recall_at_k == 0.0
+
+
+def test_metrics_rank_once(spark):
+    """Ranked lists are sized, joined and counted; the ranking itself is not repeated for each."""
+    rows = [(q, str(i), float(i % 7)) for q in (1, 2) for i in range(20)]
+    ranked = topk_per_query(spark.createDataFrame(rows, "query_id long, id string, score double"), 5)
+    relevant = spark.createDataFrame([("6",), ("13",)], "id string")
+    found = extras.retrieval_metrics(ranked, relevant, 5)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.query_id, r.precision_at_k, r.recall_at_k, r.reciprocal_rank) for r in found.collect()} == {
+        (1, 0.4, 1.0, 1.0), (2, 0.4, 1.0, 1.0)}
