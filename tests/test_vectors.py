@@ -208,3 +208,24 @@ def test_null_and_uneven_vectors(spark):
     uneven = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0] * 6)], "id string, embedding array<double>")
     with pytest.raises(Exception, match="a vector of length 4 was expected"):
         ops.knn_exact(uneven, asked, 5).collect()
+
+
+def test_pivots_that_all_meet_share_cells(spark, monkeypatch):
+    """Where no pair of pivots is ruled out, vectors are sent to few large cells, and the pairs stay the same."""
+    every = [(p, q) for p in range(40) for q in range(p, 40)]
+    assert len(set(ops.joined_cells(every, {p: 100 for p in range(40)}, 1000).values())) == 4
+    alone = {p: p for p in range(40)}
+    assert ops.joined_cells([(p, p) for p in range(40)], {p: 100 for p in range(40)}, 1000) == alone
+    assert ops.joined_cells(every, {p: 5000 for p in range(40)}, 1000) == alone
+    rng = np.random.default_rng(8)
+    docs = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(200, 8)))]
+    frame = spark.createDataFrame(docs, "id long, embedding array<double>")
+    monkeypatch.setattr(ops, "PIVOT_ROWS", 8)
+    sent = []
+    for most in (60, 9):
+        monkeypatch.setattr(ops, "MAX_QUERY_BLOCK", most)
+        got = {(r.query_id, r.id, round(r.score, 6)) for r in ops.similarity_matrix(frame, 0.3, max_queries=0).collect()}
+        sent.append(got)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v in docs]
+    near = {(i, j) for i in range(200) for j in range(200) if unit[i] @ unit[j] >= 0.3}
+    assert {(a, b) for a, b, _ in sent[0]} == near and sent[0] == sent[1]
