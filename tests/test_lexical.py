@@ -294,6 +294,7 @@ def test_close_terms_are_not_looked_up_for_every_candidate(spark, monkeypatch):
     rng = random.Random(15)
     vocabulary = [a + b + c for a in ("mel", "mol", "mal", "mul") for b in ("t", "d", "r", "n") for c in ("er", "ar", "or", "ir", "en", "an")]
     corpus_rows = [(str(i), " ".join(rng.choices(vocabulary, k=2)), " ".join(rng.choices(vocabulary, k=9)), ["en"]) for i in range(60)]
+    corpus_rows += corpus_rows[::3]  # ids that come twice count their matches twice in either plan
     corpus = spark.createDataFrame(corpus_rows, "id string, title string, content string, tags array<string>")
     texts = [" ".join(rng.choices(vocabulary, k=6)) for _ in range(5)]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, query string")
