@@ -315,6 +315,38 @@ def test_close_terms_are_not_looked_up_for_every_candidate(spark, monkeypatch):
     assert hits() == want
 
 
+def test_many_close_terms_are_scored_in_groups_of_queries(spark, monkeypatch):
+    """Terms beyond the broadcast bound: the same hits, postings partitioned once, no match shuffled."""
+    rng = random.Random(8)
+    pool = words(8, 300, 4, 7, "abc")
+    texts = [(str(i), rng.choice(pool), " ".join(rng.choices(pool, k=12)), [rng.choice("xyz")]) for i in range(120)]
+    corpus = spark.createDataFrame(texts, "id string, title string, content string, tags array<string>")
+    queries = spark.createDataFrame([(q, " ".join(rng.choices(pool, k=3))) for q in range(12)], "query_id int, query string")
+    analyzed = analyze_query(queries, no_synonyms(spark))
+    monkeypatch.setattr(ops, "lookups_pay", lambda weighted: False)
+    want = {tuple(r) for r in ops.multi_match(queries, analyzed, corpus).collect()}
+    assert len(want) > 50
+
+    scored, plans = ops.scored_in_groups, []
+
+    def bounded(index, weighted, finish):
+        def watched(sums):
+            plans.append(sums._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+            return finish(sums)
+
+        return scored(index, weighted, watched, max_rows=weighted.count() // 3)
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("every match is shuffled")
+
+    monkeypatch.setattr(ops, "scored_in_groups", bounded)
+    monkeypatch.setattr(ops, "salted_join", refuse)
+    assert {tuple(r) for r in ops.multi_match(queries, analyzed, corpus).collect()} == want
+    assert len(plans) >= 4
+    for plan in plans:
+        assert "BroadcastHashJoin" in plan and not re.search(r"(?<!Broadcast)Exchange hashpartitioning\(query_id", plan), plan
+
+
 def test_scoring_tasks_follow_the_number_of_pairs(spark, monkeypatch):
     """Many queries that share their terms multiply the postings; the tasks grow with the products."""
     corpus = spark.createDataFrame(
