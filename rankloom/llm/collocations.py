@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.operators.sizing import lookup_join
 
-from .shared import frugal, materialize, slices, spread, table
+from .shared import frugal, give_back, materialize, slices, spread, table
 
 MIN_COUNT = 10
 #: a phrase goes if a longer one around it has this share of its count, in per cent
@@ -108,12 +108,17 @@ def dictionary(words: DataFrame, listed: int = LISTED) -> tuple[DataFrame, dict,
     known = known.append_column("listed", pa.array(np.arange(1, known.num_rows + 1)))
     listing = spark.createDataFrame(known)
     codes = defaultdict(dict)
-    for lang, word, code in zip(*(known.column(c).to_pylist() for c in known.column_names)):
-        codes[lang][word.encode()] = code
+    for batch in known.to_batches(max_chunksize=1 << 12):
+        for lang, word, code in zip(*(column.to_pylist() for column in batch.columns)):
+            codes[lang][word.encode()] = code
+    del known
+    give_back()
     for seed in range(8):
         coded = words.join(F.broadcast(listing), ["lang", "word"], "left").select(
             "lang", "word", "n", F.coalesce("listed", _hashed(seed)).alias("code")
         )
+        # written once: the listing is brought to the words a single time, not by each reader
+        coded = materialize(coded, "coded")
         if coded.groupBy("code").count().filter("count > 1").isEmpty():
             return coded, dict(codes), seed
     raise RuntimeError("words share their hashes under every seed")
@@ -260,24 +265,31 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, absorbed: int = ABSORB
     words = materialize(word_counts(docs), "words")
     coded, codes, seed = dictionary(words, listed)
     counts = materialize(gram_counts(docs, codes, seed, least), "grams")
+    del codes
+    give_back()
     frequent = coded.filter(F.col("n") >= least)
     one = counts.filter("size = 1").select(F.col("x").alias("code"), F.col("n").alias("f"))
     one = materialize(lookup_join(frequent.drop("n"), one, ["code"], ["word"], max_rows=MAX_SENT), "frequent")
     two = counts.filter("size = 2").select("x", "y", F.col("n").alias("a"))
     three = counts.filter("size = 3").select("x", "y", "z", F.col("n").alias("a"))
 
+    def joined(big, side, keys, spread_by, how="inner"):
+        # written, as a join that splits hot keys reads its large side twice and such joins follow each other
+        return materialize(lookup_join(big, side, keys, spread_by, how, max_rows=MAX_SENT), "joined")
+
     def with_word(df, at, *more):
         """Adds the word and the count of the code in column ``at``."""
         side = one.select(F.col("code").alias(at), F.col("word").alias(f"w{at}"), F.col("f").alias(f"f{at}"), *more)
-        return lookup_join(df, side, [at], [c for c in "xyz" if c in df.columns and c != at], max_rows=MAX_SENT)
+        return joined(df, side, [at], [c for c in "xyz" if c in df.columns and c != at])
 
     def with_pair(df, one_, other):
         side = two.select(F.col("x").alias(one_), F.col("y").alias(other), F.col("a").alias(f"f{one_}{other}"))
-        return lookup_join(df, side, [one_, other], [c for c in "xyz" if c not in (one_, other)], max_rows=MAX_SENT)
+        return joined(df, side, [one_, other], [c for c in "xyz" if c not in (one_, other)])
 
     around = three.select("x", "y", "a").unionByName(three.select(F.col("y").alias("x"), F.col("z").alias("y"), "a"))
     around = around.groupBy("x", "y").agg(F.max("a").alias("longer"))
-    pairs = lookup_join(two, around, ["x", "y"], ["a"], "left", max_rows=MAX_SENT).filter(
+    around = materialize(around, "around")
+    pairs = joined(two, around, ["x", "y"], ["a"], "left").filter(
         (100 * F.coalesce("longer", F.lit(0)) < absorbed * F.col("a"))
     )
     pairs = with_word(with_word(pairs, "x", "lang"), "y").select(

@@ -91,3 +91,22 @@ def test_paths_hold_the_edges_once():
     assert got == want
     assert any(m == 40 and c == 7 for m, c in zip(edges, weight))
     assert len(start) < len(want)
+
+
+def test_the_listing_is_brought_to_the_words_once(spark):
+    """Readers of the coded words do not broadcast the list of words again."""
+    words = spark.createDataFrame([("en", f"w{i}", 1 + i) for i in range(40)], "lang string, word string, n long")
+    coded, codes, seed = co.dictionary(words, 16)
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "LocalTableScan" not in plan, plan
+    got = {r.word: r.code for r in coded.collect()}
+    assert len(set(got.values())) == 40 and codes["en"]
+    assert all(got[w.decode()] == code for w, code in codes["en"].items())
+
+
+def test_shuffled_joins_do_not_multiply_the_plan(spark, docs, monkeypatch):
+    """Joins that split hot keys read their large side twice; a chain of them must not double at each step."""
+    monkeypatch.setattr(co, "MAX_SENT", 0)
+    found = co.collocations(_table(spark, docs), 2, 50, 50)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Join") <= 4
+    assert Counter(tuple(r) for r in found.collect()) == _brute(docs, 2, 50, 50)
