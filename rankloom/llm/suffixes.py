@@ -33,20 +33,43 @@ GROUP_BYTES = 8 << 20
 MAX_RUN = 512
 SAMPLE_EVERY = 64
 HOT_SHARE = 1e-5
-_SORT_BYTES = 1 << 20
+_SORT_BYTES = 1 << 19
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
 
 
+#: positions whose hashes are mixed and compared at once, so that they stay in a core's cache
+_STRETCH = 1 << 14
+
+
 def _scramble(x: np.ndarray) -> np.ndarray:
     """Mix the bits of ``x`` in place, which has to be an array of the caller's own."""
-    for _ in range(2):
-        x ^= x >> _U(32)
-        x *= _U(0xD6E8FEB86659FD93)
-    x ^= x >> _U(32)
+    shifted = np.empty(min(len(x), _STRETCH), _U)
+    for start in range(0, len(x), _STRETCH):
+        part = x[start:start + _STRETCH]
+        high = shifted[: len(part)]
+        for _ in range(2):
+            part ^= np.right_shift(part, _U(32), out=high)
+            part *= _U(0xD6E8FEB86659FD93)
+        part ^= np.right_shift(part, _U(32), out=high)
     return x
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of hashes in which equal ones are neighbours."""
+    low = _U((1 << len(x).bit_length()) - 1)
+    packed = x & ~low
+    packed |= np.arange(len(x), dtype=_U)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    # only the high bits were sorted; where they agree and the rest does not, equal hashes may lie apart
+    packed &= ~low
+    found = x[order]
+    if ((packed[1:] == packed[:-1]) & (found[1:] != found[:-1])).any():
+        return np.argsort(x, kind="stable")
+    return order
+
+
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = _scramble(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _powers = np.ones(1, _U), np.ones(1, _U)
@@ -55,7 +78,7 @@ _powers = np.ones(1, _U), np.ones(1, _U)
 def _power_tables(size: int):
     global _powers
     if len(_powers[0]) < size:
-        size = max(size, UNIT + 1024)
+        size += size >> 3
         tables = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             steps = np.full(size, _U(base))
@@ -65,6 +88,16 @@ def _power_tables(size: int):
     return _powers
 
 
+def _lean(work):
+    """``frugal`` work that leaves no tables in an idle worker."""
+    def run(batches):
+        global _powers
+        yield from work(batches)
+        _powers = np.ones(1, _U), np.ones(1, _U)
+
+    return frugal(run)
+
+
 class Spans:
     """Hashes of any spans of one buffer from a running polynomial sum."""
 
@@ -91,35 +124,60 @@ class Spans:
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each ``width`` neighbours."""
-    size = 1
-    while size * 2 <= width:
-        values = np.minimum(values[:-size], values[size:])
-        size *= 2
-    return np.minimum(values[: len(values) - (width - size)], values[width - size:]) if width > size else values
+    out = np.empty(max(len(values) - width + 1, 0), values.dtype)
+    for start in range(0, len(out), _STRETCH):
+        part, size = values[start:start + _STRETCH + width - 1], 1
+        while size * 2 <= width:
+            part = np.minimum(part[:-size], part[size:])
+            size *= 2
+        out[start:start + _STRETCH] = np.minimum(part[: len(part) - (width - size)], part[width - size:]) if width > size else part
+    return out
 
 
 def _keys(spans: Spans, depth: int, hot: np.ndarray):
-    """The group key of the window at each position, and whether it is that of a long gram."""
+    """The group key of the window at each position, whether it is that of a long gram, and all short grams."""
     gram = min(GRAM, depth)
-    keys = _least(spans.every(gram), depth - gram + 1)
+    grams = spans.every(gram)
+    keys = _least(grams, depth - gram + 1)
     long = np.zeros(len(keys), bool)
-    if len(hot):
-        long = hot[np.minimum(np.searchsorted(hot, keys), len(hot) - 1)] == keys
-        if long.any():
+    if len(hot) and len(keys):
+        # neighbours mostly share their key, so only changes are looked up
+        change = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        found = hot[np.minimum(np.searchsorted(hot, keys[change]), len(hot) - 1)] == keys[change]
+        long = np.repeat(found, np.diff(change, append=len(keys)))
+        if found.any():
             gram = min(LONG_GRAM, depth)
-            keys[long] = _least(spans.every(gram), depth - gram + 1)[long]
-    return keys, long
-
-
-def _gram_places(spans: Spans, begin: np.ndarray, keys: np.ndarray, long: np.ndarray, depth: int) -> np.ndarray:
+            width = depth - gram + 1
+            # the long grams inside these windows only; those of one window are neighbours among them
+            inside = np.zeros(len(keys) + width - 1, bool)
+            inside[: len(keys)] = long
+            size = 1
+            while size < width:
+                step = min(size, width - size)
+                inside[step:] |= inside[:-step].copy()
+                size += step
+            start = np.flatnonzero(inside)
+            at = np.flatnonzero(long)
+            keys[at] = _least(spans.at(start, start + gram), width)[np.searchsorted(start, at)]
+    return keys, long, grams
+
+
+def _gram_places(
+    spans: Spans, grams: np.ndarray, begin: np.ndarray, keys: np.ndarray, long: np.ndarray, depth: int,
+) -> np.ndarray:
     """Where in its first window each run has the gram of its key; long grams are marked by the top bit."""
     out = np.zeros(len(begin), np.uint16)
     for flag, gram in ((False, min(GRAM, depth)), (True, min(LONG_GRAM, depth))):
-        own = np.flatnonzero(long == flag)
-        grams = spans.every(gram) if len(own) else None
-        for start in range(0, len(own), 16384):
-            part = own[start:start + 16384]
-            same = grams[begin[part][:, None] + np.arange(depth - gram + 1)] == keys[part][:, None]
+        own, last = np.flatnonzero(long == flag), depth - gram
+        for start in range(0, len(own), 4096):
+            part = own[start:start + 4096]
+            # many runs begin where their gram comes in at the end of the window
+            ends = begin[part] + last
+            at_end = (spans.at(ends, ends + gram) if flag else grams[ends]) == keys[part]
+            out[part] = last | (0x8000 if flag else 0)
+            part = part[~at_end]
+            at = begin[part][:, None] + np.arange(last + 1)
+            same = (spans.at(at.ravel(), at.ravel() + gram).reshape(at.shape) if flag else grams[at]) == keys[part][:, None]
             out[part] = same.argmax(axis=1) | (0x8000 if flag else 0)
     return out
 
@@ -144,31 +202,40 @@ class Unit:
         self.windows = np.maximum(sizes - depth + 1, 0)
 
     def runs(self, depth: int, hot: np.ndarray):
-        """(start, windows, piece, key, whether of a long gram, hash) of each run of windows with one key."""
-        self.spans = spans = Spans(self.data)
-        keys, long = _keys(spans, depth, hot)
-        inside = np.zeros(len(keys) + 1, np.int8)
+        """(start, windows, piece, key, place of its gram, hash) of each run of windows with one key.
+
+        A run also ends where a stretch of _SORT_BYTES does, so that sums and hashes of one stretch are held at a time.
+        """
         full = self.windows > 0
-        np.add.at(inside, self.starts[full], 1)
-        np.add.at(inside, self.starts[full] + self.windows[full], -1)
-        inside = np.cumsum(inside[:-1]).astype(bool)
-        cut = np.ones(len(keys), bool)
-        cut[1:] = keys[1:] != keys[:-1]
-        cut[self.starts[full]] = True
-        begin = np.flatnonzero(cut & inside)
-        # a run ends where the next cut is or where windows stop fitting
-        stops = np.flatnonzero(cut | ~inside)
-        stops = np.append(stops, len(keys))
-        size = stops[np.searchsorted(stops, begin, side="right")] - begin
-        if len(size) and size.max() > MAX_RUN:
-            parts = -(-size // MAX_RUN)
-            first = np.repeat(np.cumsum(parts) - parts, parts)
-            step = np.arange(parts.sum()) - first
-            begin = np.repeat(begin, parts) + step * MAX_RUN
-            size = np.minimum(np.repeat(size, parts) - step * MAX_RUN, MAX_RUN)
-        piece = np.searchsorted(self.starts, begin, side="right") - 1
+        edges = np.sort(np.concatenate([self.starts[full], self.starts[full] + self.windows[full]]))
+        found = []
+        for base in range(0, len(self.data) - depth + 1, _SORT_BYTES):
+            spans = Spans(self.data[base:base + _SORT_BYTES + depth - 1])
+            keys, long, grams = _keys(spans, depth, hot)
+            cut = np.ones(len(keys), bool)
+            cut[1:] = keys[1:] != keys[:-1]
+            own = edges[np.searchsorted(edges, base):np.searchsorted(edges, base + len(keys))] - base
+            cut[own] = True
+            begin = np.flatnonzero(cut)
+            size = np.diff(begin, append=len(keys))
+            # no window fits between the end of a piece's windows and the next piece
+            at = np.searchsorted(self.starts, begin + base, side="right") - 1
+            inside = begin + base < self.starts[at] + self.windows[at]
+            begin, size = begin[inside], size[inside]
+            if len(size) and size.max() > MAX_RUN:
+                parts = -(-size // MAX_RUN)
+                first = np.repeat(np.cumsum(parts) - parts, parts)
+                step = np.arange(parts.sum()) - first
+                begin = np.repeat(begin, parts) + step * MAX_RUN
+                size = np.minimum(np.repeat(size, parts) - step * MAX_RUN, MAX_RUN)
+            places = _gram_places(spans, grams, begin, keys[begin], long[begin], depth)
+            found.append((begin + base, size, keys[begin], places, spans.at(begin, begin + size + depth - 1)))
+        if not found:
+            found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, _U), np.zeros(0, np.uint16), np.zeros(0, _U))]
+        begin, size, keys, places, hashes = (np.concatenate(x) for x in zip(*found))
         # pieces without bytes share their start with the next one; the last of them holds the window
-        return begin, size, piece, keys[begin], long[begin], spans.at(begin, begin + size + depth - 1)
+        piece = np.searchsorted(self.starts, begin, side="right") - 1
+        return begin, size, piece, keys, places, hashes
 
 
 def _pieces(batches, depth: int):
@@ -233,12 +300,12 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
     def deal(batches):
         for number, pieces in enumerate(_pieces(batches, depth)):
             unit = Unit(pieces, depth)
-            begin, size, piece, keys, long, hashes = unit.runs(depth, hot)
+            begin, size, piece, keys, places, hashes = unit.runs(depth, hot)
             if not len(begin):
                 continue
             ids = unit.ids[piece]
             same = hashes ^ (keys + size.astype(_U))
-            order = np.argsort(same, kind="stable")  # ids ascend within equal runs
+            order = _order(same)  # ids ascend within equal runs
             first = np.ones(len(order), bool)
             first[1:] = same[order][1:] != same[order][:-1]
             head = np.flatnonzero(first)
@@ -262,7 +329,6 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
             offsets = np.concatenate([[0], np.cumsum(many)])
             edges = np.searchsorted(group[by_group], np.arange(groups + 1, dtype=_U))
             out_group, out_blob = [], []
-            places = _gram_places(unit.spans, begin[heads], keys[heads], long[heads], depth)
             data = unit.data
             for g in np.flatnonzero(edges[1:] > edges[:-1]):
                 own = by_group[edges[g]:edges[g + 1]]
@@ -274,7 +340,7 @@ def _deal(groups: int, depth: int, hot: np.ndarray):
                 blob = b"".join([data[s:s + n + depth - 1] for s, n in zip(begin[runs].tolist(), size[runs].tolist())])
                 out_group.append(int(g))
                 out_blob.append(_pack(
-                    places[own], size[runs].astype(np.uint16), _steps(ids[runs]),
+                    places[runs], size[runs].astype(np.uint16), _steps(ids[runs]),
                     uses.astype(np.uint32), _steps(unit.slots[piece[use]]), _steps(at), np.frombuffer(blob, np.uint8),
                 ))
             yield pa.RecordBatch.from_arrays(
@@ -300,9 +366,10 @@ def _repeated(data: bytes, size: np.ndarray, ids: np.ndarray, keys: np.ndarray,
         value = spans.at(at[alive] + done, at[alive] + done + digit)
         done += digit
         mixed = _scramble(group * _U(0xFF51AFD7ED558CCD) ^ value)
-        order = np.argsort(mixed, kind="stable")
+        order = _order(mixed)
+        mixed = mixed[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = mixed[order][1:] != mixed[order][:-1]
+        fresh[1:] = mixed[1:] != mixed[:-1]
         first = np.flatnonzero(fresh)
         if not len(first):
             return out
@@ -326,34 +393,42 @@ def _digits(depth: int) -> list:
 
 
 def _settle_group(blobs: list, depth: int):
-    """(ids, slots, starts, ends) removed from the runs of one group."""
-    parts = [_unpack(b, *_RUN_ARRAYS) for b in blobs]
-    for part in parts:
-        part[2], part[4], part[5] = np.cumsum(part[2]), np.cumsum(part[4]), np.cumsum(part[5])
-    text = b"".join(part.pop() for part in parts)
-    places, size, ids, uses, slots, at = (np.concatenate(x) for x in zip(*parts))
+    """(ids, slots, starts, ends) removed from the runs of one group; the list of blobs is used up."""
+    # texts are read where they were unpacked; of each blob only the numbers are laid end to end
+    texts, parts = [], []
+    while blobs:
+        *numbers, text = _unpack(blobs.pop(0), *_RUN_ARRAYS)
+        places, size, ids, uses, slots, at = numbers
+        texts.append(text.tobytes())
+        lengths = size.astype(np.int64) + depth - 1
+        starts = np.cumsum(lengths) - lengths
+        hashes, keys = np.zeros(len(size), _U), np.zeros(len(size), _U)
+        step = 0
+        while step < len(size):  # hash the runs in stretches, to bound the running sums
+            end = int(np.searchsorted(starts, starts[step] + _SORT_BYTES, side="right"))
+            own = starts[step:end] - starts[step]
+            spans = Spans(texts[-1][starts[step]:starts[end - 1] + lengths[end - 1]])
+            hashes[step:end] = spans.at(own, own + lengths[step:end])
+            keys[step:end] = _keys_at(spans, own, places[step:end], depth)
+            step = end
+        of_blob = np.full(len(size), len(texts) - 1, np.int32)
+        parts.append((of_blob, starts, size.copy(), np.cumsum(ids), uses.copy(), np.cumsum(slots), np.cumsum(at), hashes, keys))
+    of_blob, starts, size, ids, uses, slots, at, hashes, keys = (np.concatenate(x) for x in zip(*parts))
     del parts
     size, uses = size.astype(np.int64), uses.astype(np.int64)
     lengths = size + depth - 1
-    starts = np.cumsum(lengths) - lengths
-    hashes, keys = np.zeros(len(size), _U), np.zeros(len(size), _U)
-    step = 0
-    while step < len(size):  # hash the runs in stretches, to bound the running sums
-        end = int(np.searchsorted(starts, starts[step] + _SORT_BYTES, side="right"))
-        own = starts[step:end] - starts[step]
-        spans = Spans(text[starts[step]:starts[end - 1] + lengths[end - 1]])
-        hashes[step:end] = spans.at(own, own + lengths[step:end])
-        keys[step:end] = _keys_at(spans, own, places[step:end], depth)
-        step = end
     same = hashes ^ (keys + size.astype(_U))
-    order = np.lexsort((ids, same))
+    order = np.argsort(ids, kind="stable")  # each blob comes in this order
+    order = order[_order(same[order])]
+    same = same[order]
     fresh = np.ones(len(order), bool)
-    fresh[1:] = same[order][1:] != same[order][:-1]
+    fresh[1:] = same[1:] != same[:-1]
     rep = np.empty(len(order), np.int64)
     rep[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-    reps = np.unique(rep)
+    reps = np.flatnonzero(rep == np.arange(len(rep)))
+    del same, order, fresh
     # a rep can hold a repeated window only if another run shares its gram
-    by_key = reps[np.argsort(keys[reps], kind="stable")]
+    by_key = reps[_order(keys[reps])]
     k = keys[by_key]
     paired = np.zeros(len(k), bool)
     if len(k) > 1:
@@ -369,7 +444,8 @@ def _settle_group(blobs: list, depth: int):
         while end < len(by_key) and keys[by_key[end]] == keys[by_key[end - 1]]:
             end += 1
         own = by_key[step:end]
-        piece = b"".join([text[s:s + n] for s, n in zip(starts[own].tolist(), lengths[own].tolist())])
+        cuts = zip(of_blob[own].tolist(), starts[own].tolist(), lengths[own].tolist())
+        piece = b"".join([texts[b][s:s + n] for b, s, n in cuts])
         hit = _repeated(piece, size[own], ids[own], keys[own], depth)
         if hit.any():
             run = np.repeat(np.arange(len(own)), size[own])
@@ -414,7 +490,7 @@ def _settle(depth: int):
         current, blobs = None, []
         for batch in batches:
             for group, settled, blob in zip(*(batch.column(n) for n in ("grp", "settled", "blob"))):
-                group, settled, blob = group.as_py(), settled.as_py(), blob.as_py()
+                group, settled, blob = group.as_py(), settled.as_py(), blob.as_buffer()
                 if settled:
                     yield rows(*_unpack(blob, *_RANGE_ARRAYS))
                     continue
@@ -446,10 +522,11 @@ def removed_ranges(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = max(1, -(-size // GROUP_BYTES))
     hot = frequent_keys(rows, depth)
-    dealt = rows.mapInArrow(frugal(_deal(groups, depth, hot)), "grp int, settled boolean, blob binary")
+    dealt = rows.mapInArrow(_lean(_deal(groups, depth, hot)), "grp int, settled boolean, blob binary")
     width = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(groups, 20_000))
-    return dealt.repartition(width, "grp").sortWithinPartitions("grp").mapInArrow(
-        frugal(_settle(depth)), "_id long, _slot long, start long, end long"
+    # by their numbers, so that no task gets several groups by chance while others have none
+    return dealt.repartitionById(width, "grp").sortWithinPartitions("grp").mapInArrow(
+        _lean(_settle(depth)), "_id long, _slot long, start long, end long"
     )
 
 
@@ -463,7 +540,7 @@ def frequent_keys(rows: DataFrame, depth: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(many.astype(np.int64))], ["key", "n"])
 
     sample = rows.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE_EVERY)) == 0)
-    counts = sample.mapInArrow(frugal(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(_lean(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     found = counts.filter(F.col("n") > max(64, total * HOT_SHARE)).select("key").toArrow().column("key")
     return np.sort(found.to_numpy().view(_U))

@@ -625,3 +625,81 @@ def test_licenses_against_every_template(spark, docs, empty):
     assert set(got) == want and len(got) == len(want)
     assert licenses.scan(empty).count() == 0
     assert licenses.scan(docs).filter("license = 'MIT'").count() == 3
+
+
+def test_suffix_hashes_are_ordered_and_grams_found():
+    """Equal hashes are neighbours also where only their low bits differ; places and keys hold for hot grams too."""
+    u = np.uint64
+    clash = np.array([5 << 20 | 1, 5 << 20 | 2, 5 << 20 | 1, 5 << 20 | 2, 9 << 40], u)
+    assert suffixes._order(clash).tolist() == [0, 2, 1, 3, 4]
+    some = np.random.default_rng(1).integers(0, 50, 3000).astype(u) * u(0x9E3779B97F4A7C15)
+    assert suffixes._order(some).tolist() == np.argsort(some, kind="stable").tolist()
+    text = b" ".join(random.Random(4).choices([b"one", b"twenty", b"of the many"], k=400))
+    spans = suffixes.Spans(text)
+    short, long = spans.every(10), spans.every(32)
+    least = [short[i:i + 41].min() for i in range(len(text) - 49)]
+    hot = np.unique(least)[::2]
+    keys, is_long, grams = suffixes._keys(spans, 50, hot)
+    want = [long[i:i + 19].min() if k in hot else k for i, k in enumerate(least)]
+    assert keys.tolist() == [int(k) for k in want] and is_long.tolist() == [k in hot for k in least]
+    begin = np.arange(len(keys))
+    places = suffixes._gram_places(spans, grams, begin, keys, is_long, 50)
+    assert suffixes._keys_at(spans, begin, places, 50).tolist() == keys.tolist()
+
+
+def test_suffix_memory_is_that_of_one_stretch(monkeypatch):
+    """Hashes of a unit and of a group are held by stretches; blobs of a group are given up as they are read."""
+    u, rng = np.uint64, random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=3000)).encode() for _ in range(6)]
+    texts[4] = texts[4][:900] + texts[1][200:9000] + texts[4][900:]
+    sizes = []
+
+    class Watched(suffixes.Spans):
+        def __init__(self, data):
+            sizes.append(len(data))
+            super().__init__(data)
+
+    monkeypatch.setattr(suffixes, "Spans", Watched)
+    found = []
+    for stretch in (4096, 1 << 20):
+        monkeypatch.setattr(suffixes, "_SORT_BYTES", stretch)
+        sizes.clear()
+        unit = [(i, 0, 0, x) for i, x in enumerate(texts)]
+        monkeypatch.setattr(suffixes, "_pieces", lambda batches, depth: iter([list(unit)]))
+        covered, blobs = [], []
+        for out in suffixes._deal(1, 50, np.zeros(0, u))(iter([])):
+            for settled, blob in zip(out.column("settled").to_pylist(), out.column("blob").to_pylist()):
+                if settled:
+                    covered += zip(*suffixes._unpack(blob, *suffixes._RANGE_ARRAYS))
+                else:
+                    blobs.append(blob)
+        assert stretch > 1 << 16 or max(sizes) < 2 * stretch
+        covered += zip(*suffixes._settle_group(blobs, 50))
+        assert not blobs
+        found.append({i for d, _, a, b in covered for i in range(a, b) if d == 4})
+        assert {d for d, *_ in covered} == {4}
+    assert found[0] == found[1] and found[0] >= set(range(900, 900 + 8800))
+
+
+def test_suffix_groups_do_not_share_tasks(spark, monkeypatch):
+    """Each group is a task of its own, not several by the chance of a hash."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(2000)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=900))) for i in range(60)], "doc_id long, text string")
+
+    def counting(depth):
+        def count(batches):
+            import pyarrow as pa
+
+            groups = {g for b in batches for g in b.column("grp").to_pylist()}
+            kinds = [pa.array([len(groups)], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays(kinds, ["_id", "_slot", "start", "end"])
+
+        return count
+
+    size = sum(len(r["text"]) for r in docs.collect())
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", size // 11)
+    monkeypatch.setattr(suffixes, "_settle", counting)
+    found = [r["start"] for r in suffixes.removed_ranges(suffixes.keyed(docs)).collect()]
+    assert sum(found) >= 11 and max(found) == 1
