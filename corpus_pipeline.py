@@ -9,27 +9,27 @@ mix of what they leave), so ORACLE_SQL is None and tests compare the run with br
 """
 
 from rankloom.llm import decontamination, mixing, quality, simhash, suffixes
-from rankloom.llm.shared import materialize, table
+from rankloom.llm.shared import materialize, short_batches, table
 
 
 def good_quality(spark, docs, sf_dir):
     """Documents that the quality classifier does not reject."""
-    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+    return quality.keep_good(short_batches(docs), table(spark, sf_dir, "labels"))
 
 
 def without_near_copies(spark, docs, sf_dir):
     """One document of each group of near copies: the one with the smallest doc_id."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(short_batches(docs))
 
 
 def without_repeats(spark, docs, sf_dir):
     """Texts without the passages of 50 bytes or more that a smaller doc_id holds too."""
-    return suffixes.cut_repeats(docs)
+    return suffixes.cut_repeats(short_batches(docs))
 
 
 def without_benchmark(spark, docs, sf_dir):
     """Texts without the passages of 10 words or more that the benchmark holds too."""
-    return decontamination.cut_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return decontamination.cut_benchmark(short_batches(docs), table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark, docs, sf_dir):

@@ -11,12 +11,13 @@ words too short for the shortest window; neither can be part of an occurrence.
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import slices, spread, table
+from .shared import frugal, slices, spread, table
 
 WINDOW = 10
 SHARD_WORDS = 1 << 19
@@ -256,7 +257,7 @@ def _search(rows: DataFrame, phrases: Phrases) -> DataFrame:
             }
             yield pa.RecordBatch.from_arrays([arrays.get(n, batch.column(n)) for n in names], names)
 
-    return rows.mapInArrow(scan, rows.schema)
+    return rows.mapInArrow(frugal(scan), rows.schema)
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
@@ -297,21 +298,23 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_by
     )
 
 
-def _without(texts, spans):
-    import pandas as pd
-
-    def one(text, found):
-        if text is None or not len(found):
-            return text
-        data = text.encode()
+def _without(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def one(data, found):
+        if data is None or not found:
+            return data
         places = [m.span() for m in _WORD_PLACES.finditer(data)]
         out, at = [], 0
         for s in found:
             out.append(data[at:places[s["start"]][0]])
             at = places[s["end"] - 1][1]
-        return b"".join([*out, data[at:]]).decode()
+        return b"".join([*out, data[at:]])
+
+    def work(columns):
+        for texts, spans in columns:
+            found = zip(texts.cast(pa.large_binary()), spans)
+            yield pa.array([one(text.as_py(), own.as_py()) for text, own in found], pa.binary()).cast(pa.string())
 
-    return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+    yield from frugal(work)(columns)
 
 
 def cut_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -319,7 +322,7 @@ def cut_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     n_chars, where there is such a column, follows the new text.
     """
-    cut = F.pandas_udf(_without, "string")
+    cut = F.arrow_udf(_without, "string")
     rows = hits(docs, benchmark, window).withColumn("text", F.when(F.size("_spans") > 0, cut("text", "_spans")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

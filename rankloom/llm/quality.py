@@ -6,13 +6,14 @@ of equal depth whose nodes 2i+1 and 2i+2 follow node i, so a whole Arrow batch w
 by index arithmetic.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import bounded_rows, fold_hash, materialize, slices, table, texts
+from .shared import bounded_rows, fold_hash, frugal, materialize, slices, table, texts
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -161,7 +162,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             stats = pa.array([statistics(text) for text in found], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), stats], ["doc_id", "stats"])
 
-    return rows.mapInArrow(scan, f"doc_id {kind}, stats array<double>")
+    return rows.mapInArrow(frugal(scan), f"doc_id {kind}, stats array<double>")
 
 
 def agreed_labels(labels: DataFrame, column: str) -> DataFrame:
@@ -223,11 +224,15 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, thre
     sample = _sample(labels, max_rows)
     model = _fit(document_statistics(docs.join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")).join(sample, "doc_id"))
 
+    def judge(columns):
+        for texts_ in columns:
+            found = [statistics(text.as_py() or b"") for text in texts_.cast(pa.large_binary())]
+            values = np.array(found, float).reshape(-1, len(STATISTICS))
+            yield pa.array(np.concatenate([model.probability(values[i:i + 4096]) for i in range(0, len(values), 4096)] or [[]]))
+
     @F.arrow_udf("double")
-    def judged(texts_):
-        found = [statistics(text.as_py() or b"") for text in texts_.cast(pa.large_binary())]
-        values = np.array(found, float).reshape(-1, len(STATISTICS))
-        return pa.array(np.concatenate([model.probability(values[i:i + 4096]) for i in range(0, len(values), 4096)] or [[]]))
+    def judged(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from frugal(judge)(columns)
 
     return docs.filter(judged(F.col("text")) >= threshold)
 

@@ -16,9 +16,9 @@ Every byte position starts a suffix; only its first ``depth`` bytes (the window)
 """
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -546,9 +546,14 @@ def frequent_keys(rows: DataFrame, depth: int) -> np.ndarray:
     return np.sort(found.to_numpy().view(_U))
 
 
-def _squeeze(texts: pd.Series) -> pd.Series:
-    pack = zstandard.ZstdCompressor(level=6).compress
-    return texts.map(lambda t: None if t is None else pack(t.encode()))
+def _squeeze(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def work(columns):
+        pack = zstandard.ZstdCompressor(level=6).compress
+        for texts in columns:
+            found = (text.as_py() for text in texts.cast(pa.large_binary()))
+            yield pa.array([None if text is None else pack(text) for text in found], pa.binary())
+
+    yield from frugal(work)(columns)
 
 
 def _cut(text: bytes, ranges) -> tuple:
@@ -572,7 +577,7 @@ def _with_ranges(docs: DataFrame, depth: int) -> DataFrame:
     rows = keyed(docs)
     # equal rows share their ranges, so a set is enough however often a row is repeated
     ranges = removed_ranges(rows, depth).groupBy("_id", "_slot").agg(F.collect_set(F.struct("start", "end")).alias("_ranges"))
-    packed = rows.withColumn("_z", F.pandas_udf(_squeeze, "binary")("text")).drop("text")
+    packed = rows.withColumn("_z", F.arrow_udf(_squeeze, "binary")("text")).drop("text")
     return packed.join(ranges, ["_id", "_slot"], "left")
 
 
@@ -608,7 +613,7 @@ def digest(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     )
 
 
-def _kept_text(packed: pd.Series, ranges: pd.Series) -> pd.Series:
+def _kept_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     unpack = zstandard.ZstdDecompressor().decompress
 
     def one(z, found):
@@ -624,7 +629,11 @@ def _kept_text(packed: pd.Series, ranges: pd.Series) -> pd.Series:
             whole.append({"start": a, "end": b})
         return _cut(text, whole)[0].decode()
 
-    return pd.Series([one(z, found) for z, found in zip(packed, ranges)], dtype=object)
+    def work(columns):
+        for packed, ranges in columns:
+            yield pa.array([one(z.as_py(), found.as_py()) for z, found in zip(packed, ranges)], pa.string())
+
+    yield from frugal(work)(columns)
 
 
 def cut_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -633,7 +642,7 @@ def cut_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     A character of which only some bytes are covered stays whole. n_chars, where there is such a
     column, follows the new text.
     """
-    rows = _with_ranges(docs, depth).withColumn("text", F.pandas_udf(_kept_text, "string")("_z", "_ranges"))
+    rows = _with_ranges(docs, depth).withColumn("text", F.arrow_udf(_kept_text, "string")("_z", "_ranges"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)

@@ -1,12 +1,16 @@
 """The corpus pipeline, stage by stage, against brute force on the smallest tables."""
 
+import os
 import re
+import subprocess
+import sys
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from rankloom.llm import quality
-from rankloom.llm.shared import materialize
+from rankloom.llm import decontamination, quality, suffixes
+from rankloom.llm.shared import BATCH_ROWS, materialize, short_batches
 
 from .test_small import _UPPER, _WORD, _classes, _fingerprint, _targets, _word_count
 
@@ -89,3 +93,39 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == stages[0][-1]
     assert all(re.fullmatch(r"[a-z -]+", name) for name, _ in corpus_pipeline.STAGES)
+
+
+def test_workers_get_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    try:
+        docs = spark.range(0, 3 * BATCH_ROWS, 1, 1).selectExpr("id AS doc_id", "CAST(id AS string) AS text")
+        corpus_pipeline.without_repeats(spark, docs, None)
+        assert max(r["n"] for r in docs.mapInArrow(rows, "n long").collect()) <= BATCH_ROWS
+        spark.conf.set(name, 7)
+        short_batches(docs)
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_stages_do_not_load_pandas():
+    code = "import corpus_pipeline, sys; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(corpus_pipeline.__file__)).returncode == 0
+
+
+def test_cut_texts_keep_nulls_and_whole_characters(spark):
+    passage = "\u00e4\u00f6\u20ac" * 30
+    rows = [(1, "a " + passage), (2, None), (3, passage + " z"), (4, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in suffixes.cut_repeats(docs).collect()}
+    assert got == {1: "a " + passage, 2: None, 3: " z", 4: "", None: None}
+    items = spark.createDataFrame([("x", "one two three four five six seven eight nine ten")], "item_id string, text string")
+    rows = [(1, "\u20ac, One two three four five six seven eight nine TEN. \u00e4"), (2, None), (3, "one two")]
+    cut = decontamination.cut_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {1: "\u20ac, . \u00e4", 2: None, 3: "one two"}
