@@ -12,9 +12,6 @@ The counts come from one pass: words of a few MB of documents are counted there
 each group sums its words' counts and gives back the part of each document's score that it holds.
 """
 
-
-import itertools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -59,6 +56,30 @@ def read_ranks(path: str) -> dict:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+class _Numbers(dict):
+    """Words and their numbers, given when a word is first asked for; ``new`` holds the words numbered since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, word):
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
+
+
+def _appended(held: np.ndarray, used: int, more) -> np.ndarray:
+    """``held`` with ``more`` behind its first ``used`` values; its room doubles, so that few calls copy it."""
+    size = used + len(more)
+    if size > len(held):
+        grown = np.empty(max(size, 2 * len(held)), held.dtype)
+        grown[:used] = held[:used]
+        held = grown
+    held[used:size] = more
+    return held
+
+
 class Subwords:
     """Words to subword ids; every word is cut by itself and kept, with a number of its own."""
 
@@ -72,7 +93,8 @@ class Subwords:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict = {}
+        self.place, self.used = _Numbers(), 0
+        # with room behind the values of the words so far
         self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, word: bytes) -> list:
@@ -82,15 +104,15 @@ class Subwords:
         """(number of each word, the words that are new since the last call)."""
         if len(self.place) > _CACHE:
             self._clear()
-        place, known = self.place, len(self.place)
-        at = np.array([place.setdefault(w, len(place)) for w in words], np.int64)
-        new = list(itertools.islice(place, known, None))
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        new, self.place.new = self.place.new, []
         if new:
-            parts = [self.encode(w) for w in new]
+            parts, known = [self.encode(w) for w in new], len(self.place) - len(new)
             size = np.array([len(x) for x in parts], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.array([i for x in parts for i in x], np.int32)])
+            self.start = _appended(self.start, known, self.used + np.cumsum(size) - size)
+            self.size = _appended(self.size, known, size)
+            self.flat = _appended(self.flat, self.used, [i for x in parts for i in x])
+            self.used += int(size.sum())
         return at, new
 
     def spell(self, at: np.ndarray) -> np.ndarray:
@@ -153,6 +175,7 @@ class Attention:
     def train(self, pools, rate: float = 6e-3, batch: int = STEP, warm: int = 20) -> int:
         """Adam over pools of windows of SPAN inputs and their next symbols (-1: none); gives the number of symbols."""
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        room = {k: np.empty_like(v) for k, v in self.p.items()}  # arrays of this size are slow to allocate in each step
         rng = np.random.default_rng(11)
         step, total = 0, 0
         for windows, targets in pools:
@@ -164,10 +187,21 @@ class Attention:
                 # a rest of few windows moves the parameters by its share of a step
                 now = rate * min(1.0, (step + 1) / warm) * len(own) / batch
                 for k, g in gradients.items():
-                    first, second = state[k]
-                    first += 0.1 * (g - first)
-                    second += 0.02 * (g * g - second)
-                    self.p[k] -= now * (first / (1 - 0.9 ** (step + 1))) / (np.sqrt(second / (1 - 0.98 ** (step + 1))) + 1e-8)
+                    (first, second), held = state[k], room[k]
+                    np.subtract(g, first, out=held)
+                    held *= 0.1
+                    first += held
+                    np.multiply(g, g, out=g)
+                    g -= second
+                    g *= 0.02
+                    second += g
+                    np.divide(first, 1 - 0.9 ** (step + 1), out=held)
+                    held *= now
+                    np.divide(second, 1 - 0.98 ** (step + 1), out=g)
+                    np.sqrt(g, out=g)
+                    g += 1e-8
+                    held /= g
+                    self.p[k] -= held
                 step += 1
         return total
 
@@ -207,13 +241,20 @@ class Attention:
         g = {"C": yg.T @ pc, "c": pc.sum(axis=0), "M": np.zeros_like(p["M"]), "m": np.zeros_like(p["m"])}
         order = np.argsort(kind, kind="stable")
         edges = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in np.flatnonzero(np.diff(edges)):
-            own = order[edges[c]:edges[c + 1]]
-            pm = self._softmax(yg[own] @ p["M"][c] + p["m"][c])
-            pm[np.arange(len(own)), place[own]] -= 1
-            pm /= n
-            g["M"][c], g["m"][c] = yg[own].T @ pm, pm.sum(axis=0)
-            dyg[own] += pm @ p["M"][c].T
+        # symbols of a class follow each other, so only the products are taken class by class
+        ys, pm, back = yg[order], np.empty((len(good), PER_CLASS), yg.dtype), np.empty_like(yg)
+        classes = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges))]
+        for c, own in classes:
+            np.matmul(ys[own], p["M"][c], out=pm[own])
+        pm += p["m"][kind[order]]
+        self._softmax(pm)
+        pm[np.arange(len(good)), place[order]] -= 1
+        pm /= n
+        for c, own in classes:
+            np.matmul(ys[own].T, pm[own], out=g["M"][c])
+            pm[own].sum(axis=0, out=g["m"][c])
+            np.matmul(pm[own], p["M"][c].T, out=back[own])
+        dyg[order] += back
         dy[good] = dyg
         dy = dy.reshape(many, size, WIDTH)
         f2, dy2 = f.reshape(-1, HIDDEN), dy.reshape(-1, WIDTH)
@@ -235,9 +276,10 @@ class Attention:
             g[name] = x2.T @ d.reshape(-1, WIDTH)
         dx = (dh + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T).reshape(-1, WIDTH)
         order = np.argsort(inputs.ravel(), kind="stable")
-        ids, first = np.unique(inputs.ravel()[order], return_index=True)
+        ids = inputs.ravel()[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         g["E"] = np.zeros_like(p["E"])
-        g["E"][ids] = np.add.reduceat(dx[order], first)
+        g["E"][ids[first]] = np.add.reduceat(dx[order], first)
         return g
 
     def prepare(self) -> None:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -533,6 +534,37 @@ def test_model_keeps_its_size():
     assert len(set(lm.Symbols(counts, 5000).of[:4094].tolist())) == 4094
 
 
+def test_known_words_cost_no_walk_over_all_words(monkeypatch):
+    subwords = lm.Subwords(lm.read_ranks(lm.TOKENIZER))
+    monkeypatch.setattr(subwords, "encode", lambda word: list(word))
+    many = [b"%d" % i for i in range(lm._CACHE)]
+    assert subwords.numbers(many)[1] == many
+    began = time.process_time()
+    for word in many[:3000]:
+        assert subwords.ids([word, word]).tolist() == [*word, *word]
+    assert time.process_time() - began < 1
+    # one word more than are kept: the next call begins anew
+    assert subwords.numbers([b"new", b"0", b"new"])[0].tolist() == [lm._CACHE, 0, lm._CACHE]
+    at, new = subwords.numbers([b"b", b"a", b"b"])
+    assert at.tolist() == [0, 1, 0] and new == [b"b", b"a"] and subwords.spell(at).tolist() == list(b"bab")
+
+
+def test_steps_are_those_of_adam():
+    rng = np.random.default_rng(3)
+    inputs, goals = rng.integers(0, 90, (70, lm.SPAN)), rng.integers(0, 90, (70, lm.SPAN))
+    model, plain = (lm.Attention(np.log(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))) for _ in range(2))
+    model.train([(inputs, goals)], rate=0.01, batch=64, warm=1)
+    order = np.random.default_rng(11).permutation(70)
+    first = second = 0
+    for step, own in enumerate((order[:64], order[64:]), 1):
+        found = plain._gradients(inputs[own], goals[own])
+        g = np.concatenate([found[k].ravel() for k in plain.p]).astype(float)
+        first, second = 0.9 * first + 0.1 * g, 0.98 * second + 0.02 * g * g
+        move = 0.01 * len(own) / 64 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.98**step)) + 1e-8)
+        plain.load(plain.flat() - move)
+    assert np.allclose(model.flat(), plain.flat(), atol=1e-4)
+
+
 def test_windows_score_each_symbol_once():
     rng = np.random.default_rng(6)
     model = lm.Attention(np.log(np.full(lm.SYMBOLS, 1 / lm.SYMBOLS)))
