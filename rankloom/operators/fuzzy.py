@@ -5,9 +5,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.edits import (
     HALVED_TERM, SHORT_TERM, allowed_edits, piece_signatures, sorted_letters, swap_distance, with_deletions, with_halves,
 )
+from ..functions.sieve import close_terms
 from ..workspace import materialize
 from .sizing import MAX_BROADCAST_ROWS, in_parallel, lookup_join
 
+SENT_TERMS = 20_000  # query terms whose signatures are sent to the vocabulary as hashes
+
 
 def _of_length(df: DataFrame, column: str, low: int, high: int = None) -> DataFrame:
     size = F.char_length(column)
@@ -79,10 +82,15 @@ def fuzzy_match(
         "letters", sorted_letters(F.col("term"))
     )
     loose = wanted.filter("edits_allowed > 0")
-    longest = loose.agg(F.max(F.char_length("query_term"))).first()[0] or 0
-    close = _verified(_short_pairs(loose, words, max_rows))
-    if longest >= SHORT_TERM - 1:
-        close = close.unionByName(_verified(_halved_pairs(loose, words, max_rows)))
+    longest, asked = loose.agg(F.max(F.char_length("query_term")), F.count("*")).first()
+    longest = longest or 0
+    if asked <= min(SENT_TERMS, max_rows):
+        sent = [(r.query_term, r.edits_allowed) for r in loose.select("query_term", "edits_allowed").collect()]
+        close = words.select("term").mapInArrow(close_terms(sent), "query_term string, term string, edits int")
+    else:
+        close = _verified(_short_pairs(loose, words, max_rows))
+        if longest >= SHORT_TERM - 1:
+            close = close.unionByName(_verified(_halved_pairs(loose, words, max_rows)))
     if longest >= HALVED_TERM - 1:
         close = close.unionByName(_verified(_long_pairs(loose, words, max_rows)))
     same = wanted.filter("edits_allowed = 0").select(
